@@ -87,15 +87,17 @@ def chunk_nested(documents: DataFrame, settings: ChunkSettings = ChunkSettings()
     )
     staged = documents.select(
         F.col("doc_id").alias("document_id"), "source", "text", pages.alias("pages")
-    ).withColumn("words", F.flatten("pages.words"))
+    ).withColumn("words", T.words(F.col("text")))
     staged = staged.withColumn("n", F.size("words").cast("bigint")).withColumn(
         "ends", _running_ends(F.col("pages"))
     )
-    exploded = staged.where("n > 0").select(
+    # The outer form keeps the size test above the explode instead of splitting
+    # every text a second time in an inferred filter below it.
+    numbers = F.when(F.col("n") > 0, F.sequence(F.lit(0).cast("bigint"), window_count(F.col("n"), settings) - 1))
+    exploded = staged.select(
         "document_id", "source", "pages", "ends", "words", "n",
-        F.sha2("text", 256).alias("document_sha256"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), window_count(F.col("n"), settings) - 1)).alias("chunk_index"),
-    )
+        F.sha2("text", 256).alias("document_sha256"), F.explode_outer(numbers).alias("chunk_index"),
+    ).where(F.col("chunk_index").isNotNull())
     start = F.col("chunk_index") * stride
     end = F.least(start + size, F.col("n"))
     first_page = F.size(F.filter("ends", lambda e: e <= start))

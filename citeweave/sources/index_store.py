@@ -23,13 +23,12 @@ def latest_wins(stored: DataFrame, incoming: DataFrame, key: str, version: str)
 
 
 def save_lexical(index: LexicalIndex, table: str, buckets: int, mode: str = "overwrite") -> None:
-    """Store postings bucketed by chunk so that scoring reads them without a shuffle."""
-    index.postings.write.mode(mode).bucketBy(buckets, "chunk_id").sortBy("chunk_id").saveAsTable(f"{table}_postings")
-    index.stats.write.mode(mode).saveAsTable(f"{table}_stats")
+    """Store token lists bucketed by chunk so that scoring reads them without a shuffle."""
+    index.tokens.write.mode(mode).bucketBy(buckets, "chunk_id").sortBy("chunk_id").saveAsTable(table)
 
 
 def load_lexical(spark: SparkSession, table: str) -> LexicalIndex:
-    return LexicalIndex(spark.table(f"{table}_postings"), spark.table(f"{table}_stats"))
+    return LexicalIndex(spark.table(table))
 
 
 def save_vectors(vectors: DataFrame, path: str, model: str, mode: str = "overwrite") -> None:
