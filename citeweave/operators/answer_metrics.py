@@ -296,4 +296,5 @@ def regression_failures(report: DataFrame, minimums: dict[str, float], expected:
         )
         for name, value in minimums.items()
     ]
-    return report.select(F.explode(F.array_compact(F.array(*identity, *floors))).alias("failure"))
+    found = F.explode_outer(F.array_compact(F.array(*identity, *floors)))
+    return report.select(found.alias("failure")).where("failure IS NOT NULL")

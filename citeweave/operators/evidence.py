@@ -270,24 +270,24 @@ def resolve_citations(df: DataFrame) -> DataFrame:
     """Citation ids in first-reference order plus source documents.
 
     ``claims[].evidence_ids`` refer to ``evidence``; the order of first mention
-    numbers citations C1, C2, ... and orders the source documents.
+    numbers citations C1, C2, ... and orders the source documents. Readers that
+    unnest the arrays should use the outer explode: the inner one makes Spark
+    push a size test, and with it all of these expressions, to the scan again.
     """
     order = F.array_distinct(F.flatten("claims.evidence_ids"))
-    staged = df.withColumn("cited", order)
-
-    def item(evidence_id: Column) -> Column:
-        return F.element_at(F.filter("evidence", lambda e: e["evidence_id"] == evidence_id), 1)
-
+    items = F.transform(
+        "cited", lambda e: F.element_at(F.filter("evidence", lambda x: x["evidence_id"] == e), 1)
+    )
     citations = F.transform(
-        "cited",
-        lambda e, i: F.struct(
+        "cited_items",
+        lambda x, i: F.struct(
             F.concat(F.lit("C"), (i + 1).cast("string")).alias("citation_id"),
-            e.alias("evidence_id"),
-            *[item(e)[f].alias(f) for f in EVIDENCE_FIELDS],
-            item(e)["rank"].alias("reranker_rank"),
+            x["evidence_id"].alias("evidence_id"),
+            *[x[f].alias(f) for f in EVIDENCE_FIELDS],
+            x["rank"].alias("reranker_rank"),
         ),
     )
-    staged = staged.withColumn("citations", citations)
+    staged = df.withColumn("cited", order).withColumn("cited_items", items).withColumn("citations", citations)
     claims = F.transform(
         "claims",
         lambda c, i: F.struct(
@@ -314,7 +314,7 @@ def resolve_citations(df: DataFrame) -> DataFrame:
             ).alias("chunk_ids"),
         ),
     )
-    return staged.withColumns({"claims": claims, "source_documents": documents}).drop("cited")
+    return staged.withColumns({"claims": claims, "source_documents": documents}).drop("cited", "cited_items")
 
 
 def grounded_answers(assessed: DataFrame, settings: EvidenceSettings = EvidenceSettings()) -> DataFrame:

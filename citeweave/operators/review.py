@@ -48,9 +48,9 @@ def redundancy_status(answers: DataFrame) -> DataFrame:
     """Single-claim answers are distinct by construction, others need review."""
     return answers.select(
         "query_id",
-        F.posexplode("claims").alias("pos", "claim"),
+        F.posexplode_outer("claims").alias("pos", "claim"),
         F.when(F.size("claims") == 1, "AUTO_DISTINCT_SINGLETON").otherwise("REVIEW_REQUIRED").alias("review_status"),
-    ).select("query_id", (F.col("pos") + 1).alias("claim_no"), "claim.text", "review_status")
+    ).where("pos IS NOT NULL").select("query_id", (F.col("pos") + 1).alias("claim_no"), "claim.text", "review_status")
 
 
 def review_units(pending: DataFrame, parts: list[str], batch_size: int = 25) -> DataFrame:

@@ -67,18 +67,20 @@ def _embedding_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
 
 
 
-@query(
-    "dense_top10",
+_DENSE_TOP = (
     f"""WITH s AS ({_COSINE.replace(', 6)', ', 8)')}),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s)
-        SELECT query_id, chunk_id, score, rank FROM r WHERE rank <= 10""",
+        SELECT query_id, chunk_id, score, rank FROM r WHERE rank <= 10"""
 )
+
+
+@query("dense_top10", _DENSE_TOP)
 def dense_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus, asked = _embedding_sides(spark, sf_dir)
     return dense.search(corpus, asked, 10).select(*_RANKED)
 
 
-@query("dense_top10_grid", None)
+@query("dense_top10_grid", _DENSE_TOP)
 def dense_top10_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The path for query tables beyond the broadcast bound."""
     corpus, asked = _embedding_sides(spark, sf_dir)
