@@ -94,16 +94,15 @@ def exact_quantiles(
         F.sum("__n").over(upto).alias("__upto"),
         F.sum("__n").over(whole).alias("__total"),
     )
+    # Every statistic is lo + (hi - lo) * fraction of two neighbouring positions.
     wanted = []
     for name, q in quantiles.items():
         position = F.lit(q) * (F.col("__total") - 1)
-        if name in nearest_rank:
-            wanted.append((name, F.bround(position).cast("bigint"), F.lit(1.0)))
-        else:
-            low = F.floor(position)
-            fraction = position - low
-            wanted.append((name, low.cast("bigint"), F.lit(1.0) - fraction))
-            wanted.append((name, F.least(low + 1, F.col("__total") - 1).cast("bigint"), fraction))
+        low = F.bround(position) if name in nearest_rank else F.floor(position)
+        fraction = F.lit(0.0) if name in nearest_rank else position - low
+        low = low.cast("bigint")
+        wanted.append((f"{name}/lo", low, fraction))
+        wanted.append((f"{name}/hi", F.least(low + 1, F.col("__total") - 1), fraction))
     first = F.col("__upto") - F.col("__n")
     specs = F.array(
         *[F.struct(F.lit(n).alias("name"), p.alias("pos"), w.alias("weight")) for n, p, w in wanted]
@@ -129,7 +128,17 @@ def exact_quantiles(
     )
     return picked.groupBy(*keys).agg(
         *[
-            F.sum(F.when(F.col("__want.name") == n, F.col("__v") * F.col("__want.weight"))).alias(n)
+            F.max(F.when(F.col("__want.name") == f"{n}/{side}", F.struct("__v", "__want.weight"))).alias(f"{n}/{side}")
             for n in quantiles
+            for side in ("lo", "hi")
         ]
+    ).select(
+        *keys,
+        *[
+            (
+                F.col(f"`{n}/lo`.__v")
+                + (F.col(f"`{n}/hi`.__v") - F.col(f"`{n}/lo`.__v")) * F.col(f"`{n}/lo`.weight")
+            ).alias(n)
+            for n in quantiles
+        ],
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from citeweave.plans import grounding, retrieval  # noqa: F401
+from citeweave.plans import evaluation, grounding, retrieval  # noqa: F401
 from citeweave.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
