@@ -167,16 +167,16 @@ def reward_summary(scored: DataFrame) -> DataFrame:
     )
 
 
-def throughput(samples: DataFrame, key: str) -> DataFrame:
+def throughput(samples: DataFrame, key: str, digits: int = 3) -> DataFrame:
     """Per case: latency summary, token totals and tokens per second."""
     plain = samples.groupBy(key).agg(
         F.count("*").alias("iterations"), F.sum("output_tokens").alias("output_tokens"),
-        F.round(F.avg("latency_ms"), 3).alias("mean_ms"), F.sum("latency_ms").alias("total_ms"),
+        F.round(F.avg("latency_ms"), digits).alias("mean_ms"), F.sum("latency_ms").alias("total_ms"),
     )
     spread = exact_quantiles(samples, [key], "latency_ms", {"p50_ms": 0.5, "p95_ms": 0.95})
     return plain.join(spread, key).select(
-        key, "iterations", "output_tokens", "mean_ms", F.round("p50_ms", 3).alias("p50_ms"),
-        F.round("p95_ms", 3).alias("p95_ms"),
+        key, "iterations", "output_tokens", "mean_ms", F.round("p50_ms", digits).alias("p50_ms"),
+        F.round("p95_ms", digits).alias("p95_ms"),
         F.when(
             (F.col("output_tokens") > 0) & (F.col("total_ms") > 0),
             F.round(F.col("output_tokens") / (F.col("total_ms") / 1000.0), 6),

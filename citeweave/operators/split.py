@@ -69,11 +69,23 @@ def example_components(links: DataFrame) -> DataFrame:
     )
 
 
-def split(members: DataFrame, dev_fraction: float, seed: int) -> DataFrame:
+def document_keys(links: DataFrame, members: DataFrame) -> DataFrame:
+    """Comma-joined sorted document ids per component, as an ordering name.
+
+    One text per component: use it for components of moderate size; ``split``
+    falls back to the component's own name.
+    """
+    held = links.join(members, "example_id").select("component", "document_id").distinct()
+    return held.groupBy("component").agg(
+        F.concat_ws(",", F.array_sort(F.collect_list("document_id")).cast("array<string>")).alias("component_key")
+    )
+
+
+def split(members: DataFrame, dev_fraction: float, seed: int, keys: DataFrame | None = None) -> DataFrame:
     """Assign whole components to train or dev.
 
     ``members(example_id, component)``. Components are ordered by a keyed hash
-    of their name; dev is the prefix whose size is closest to the target (the
+    of their name (or of ``keys(component, component_key)``); dev is the prefix whose size is closest to the target (the
     shorter prefix on a tie), never empty and never everything.
     """
     if not 0.0 <= dev_fraction <= 1.0:
@@ -81,11 +93,16 @@ def split(members: DataFrame, dev_fraction: float, seed: int) -> DataFrame:
     if dev_fraction in (0.0, 1.0):
         side = "train" if dev_fraction == 0.0 else "dev"
         return members.withColumn("side", F.lit(side))
-    sizes = members.groupBy("component").agg(F.count("*").alias("n")).withColumn(
-        "fraction", stable_fraction(seed, F.col("component"))
-    ).withColumn("bucket", F.floor(F.col("fraction") * FRACTION_BUCKETS))
+    sizes = members.groupBy("component").agg(F.count("*").alias("n"))
+    if keys is None:
+        sizes = sizes.withColumn("component_key", F.col("component"))
+    else:
+        sizes = sizes.join(keys, "component")
+    sizes = sizes.withColumn("fraction", stable_fraction(seed, F.col("component_key"))).withColumn(
+        "bucket", F.floor(F.col("fraction") * FRACTION_BUCKETS)
+    )
     placed = running_totals(
-        sizes, [], "bucket", [F.col("fraction"), F.col("component")],
+        sizes, [], "bucket", [F.col("fraction"), F.col("component_key")],
         {"cumulative": F.col("n"), "prefix": F.lit(1).cast("bigint")},
     )
     totals = sizes.agg(F.sum("n").alias("examples"), F.count("*").alias("components"))

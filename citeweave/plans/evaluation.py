@@ -218,8 +218,8 @@ def token_weighted_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "runtime_throughput",
-    """SELECT event_type, count(*) AS iterations, sum(k)::BIGINT AS output_tokens, round(avg(value), 3) AS mean_ms,
-       round(quantile_cont(value, 0.5), 3) AS p50_ms, round(quantile_cont(value, 0.95), 3) AS p95_ms,
+    """SELECT event_type, count(*) AS iterations, sum(k)::BIGINT AS output_tokens, round(avg(value), 6) AS mean_ms,
+       round(quantile_cont(value, 0.5), 6) AS p50_ms, round(quantile_cont(value, 0.95), 6) AS p95_ms,
        round(sum(k) / (sum(value) / 1000), 6) AS tokens_per_second
        FROM (SELECT event_type, value, json_extract_string(props, '$.k')::BIGINT AS k FROM events) GROUP BY 1""",
 )
@@ -228,7 +228,7 @@ def runtime_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_type", F.get_json_object("props", "$.k").cast("bigint").alias("output_tokens"),
         F.col("value").alias("latency_ms"),
     )
-    return service_metrics.throughput(rows, "event_type")
+    return service_metrics.throughput(rows, "event_type", digits=6)
 
 
 # --- policy variants and rewards over requests ------------------------------
