@@ -6,8 +6,12 @@ Java, Python and RE2 read the same way.
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Fixed values that have to agree with the published behaviour ---------------
 LEXICAL_TOKEN = "[a-z0-9]+(?:[-'][a-z0-9]+)*"
@@ -172,19 +176,21 @@ def normalize_semantic_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(fold_case(text), "[^a-z0-9]+", " "))
 
 
-# Entities decoded natively; the numeric forms are handled by pattern.
-HTML_ENTITIES = {
-    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&nbsp;": " ",
-    "&copy;": "©", "&middot;": "·", "&amp;": "&",
-}
+@F.pandas_udf(StringType())
+def decode_entities(texts: pd.Series) -> pd.Series:
+    """Character references to text; the entity table is the standard library's."""
+    return texts.map(html.unescape, na_action="ignore")
 
 
 def normalize_title(title: Column) -> Column:
-    """Strip tags, decode entities, casefold, collapse whitespace."""
-    decoded = F.regexp_replace(title, "<[^>]+>", "")
-    for entity, char in HTML_ENTITIES.items():
-        decoded = F.replace(decoded, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(fold_case(decoded), "[\\s ]+", " "))
+    """Strip tags, decode entities, casefold, collapse whitespace.
+
+    Only titles with an ampersand carry a text into the Python worker.
+    """
+    bare = F.regexp_replace(title, "<[^>]+>", "")
+    coded = F.when(F.contains(bare, F.lit("&")), bare)
+    decoded = F.coalesce(decode_entities(coded), bare)
+    return F.trim(F.regexp_replace(fold_case(decoded), "[\\s\u00a0]+", " "))
 
 
 def title_family(normalized_title: Column) -> Column:

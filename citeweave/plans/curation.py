@@ -46,12 +46,15 @@ def page_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", F.length("text").alias("character_count"), "text")
 
 
+# Character references that occur in the raw pages.
+_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&nbsp;": "\u00a0", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
+
+
 def _title_sql(expr: str) -> str:
     out = f"regexp_replace({expr}, '<[^>]+>', '', 'g')"
-    for entity, char in T.HTML_ENTITIES.items():
-        literal = "chr(160)" if char == " " else "'" + char.replace("'", "''") + "'"
-        out = f"replace({out}, '{entity}', {literal})"
-    return f"trim(regexp_replace({S.fold(out)}, '[\\s ]+', ' ', 'g'))"
+    for entity, char in _ENTITIES.items():
+        out = f"replace({out}, '{entity}', '{char}')"
+    return f"trim(regexp_replace({S.fold(out)}, '[\\s\u00a0]+', ' ', 'g'))"
 
 
 @query(

@@ -412,7 +412,28 @@ def regression_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("adaptive_two_pass", None)
+_SECOND = ["qterm", "bm25", "queryvec", "dense", "rrf", "rerank", "fold", "evidence"]
+_ONE, _TWO = ">".join(adaptive.FIRST_STATES), ">".join(adaptive.FIRST_STATES + adaptive.SECOND_STATES)
+
+
+@query(
+    "adaptive_two_pass",
+    S.with_steps(
+        "evidence",
+        f"""SELECT query_id, NULL AS rewritten_query, 1 AS attempts, true AS sufficient, '{_ONE}>generate' AS states,
+              round(cov, 6) AS query_term_coverage, '' AS reasons FROM facts JOIN gate USING (query_id) WHERE ok
+            UNION ALL SELECT f.query_id, q2.query, 2, {_reasons_sql(True, True)} = '',
+              '{_TWO}>' || CASE WHEN {_reasons_sql(True, True)} = '' THEN 'generate' ELSE 'grounded_refusal' END,
+              round(cov, 6), {_reasons_sql(True, True)} FROM facts2 f JOIN q2 USING (query_id)""",
+        {
+            **{k: v for k, v in _GATED.items() if k not in ("claims", "cite")},
+            "again": "SELECT query_id, query FROM q JOIN gate USING (query_id) WHERE NOT ok",
+            "q2": "SELECT query_id, trim(query) || ' NASA aerospace technical report' AS query FROM again",
+            **S.retagged(_SECOND, "2"),
+            **_judge_steps("again", "evidence2", "2"),
+        },
+    ),
+)
 def adaptive_two_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     session = Session(spark, sf_dir)
     runs = adaptive.run(

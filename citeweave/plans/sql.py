@@ -6,6 +6,8 @@ front of the final statement, in order.
 
 from __future__ import annotations
 
+import re
+
 from citeweave.functions import text as T
 
 LEX = T.LEXICAL_TOKEN.replace("'", "''")
@@ -225,6 +227,12 @@ def steps_for(*names: str) -> list[str]:
     return order
 
 
+def retagged(names: list[str], tag: str) -> dict[str, str]:
+    """Copies of steps that read each other under tagged names."""
+    pattern = re.compile(r"\b(" + "|".join(sorted([*names, "q"], key=len, reverse=True)) + r")\b")
+    return {f"{n}{tag}": pattern.sub(lambda m: m.group(1) + tag, STEPS[n][1]) for n in names}
+
+
 def with_steps(names: str | list[str], final: str, extra: dict[str, str] | None = None) -> str:
     """Full statement: all needed steps, then ``extra`` steps, then ``final``."""
     wanted = [names] if isinstance(names, str) else names
@@ -232,5 +240,7 @@ def with_steps(names: str | list[str], final: str, extra: dict[str, str] | None
     for name in steps_for(*wanted):
         kind = "" if name == "fold" else "MATERIALIZED "
         parts.append(f"{name} AS {kind}({STEPS[name][1]})")
-    parts += [f"{name} AS MATERIALIZED ({body})" for name, body in (extra or {}).items()]
+    for name, body in (extra or {}).items():
+        kind = "" if name.startswith("fold") else "MATERIALIZED "
+        parts.append(f"{name} AS {kind}({body})")
     return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + final
