@@ -20,7 +20,6 @@ SECOND_STATES = ["rewrite_query", "retrieve_recovery", "assess_recovery"]
 def run(
     queries: DataFrame,
     retrieve: Retrieve,
-    chunks: DataFrame,
     profile: E.SufficiencyProfile = E.SufficiencyProfile(),
     settings: E.EvidenceSettings = E.EvidenceSettings(),
 ) -> DataFrame:
@@ -31,11 +30,11 @@ def run(
     checkpointed because both branches read it.
     """
     ensure_checkpoint_dir(queries.sparkSession)
-    first = E.assess(E.build_evidence(retrieve(queries), chunks, queries, settings), profile).checkpoint()
+    first = E.assess(E.build_evidence(retrieve(queries), queries, settings), profile).checkpoint()
     retry = first.where(~F.col("sufficient")).select(
         "query_id", F.col("query").alias("original_query"), T.rewrite_query(F.col("query")).alias("query")
     )
-    recovered = E.build_evidence(retrieve(retry), chunks, retry, settings).join(
+    recovered = E.build_evidence(retrieve(retry), retry, settings).join(
         retry.select("query_id", "original_query"), "query_id"
     )
     second = E.assess(recovered, profile, query="original_query")

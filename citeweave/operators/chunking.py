@@ -139,16 +139,15 @@ def chunk_pages(pages: DataFrame, settings: ChunkSettings = ChunkSettings()) ->
     size, stride = settings.chunk_words, settings.stride
     usable = (
         pages.where("extraction_status = 'ok'")
+        .where(F.trim("text") != "")
         .withColumn("words", T.words(F.col("text")))
-        .where(F.size("words") > 0)
         .withColumn("block", F.floor(F.col("page_number") / PAGES_PER_BLOCK))
         .withColumn("n_words", F.size("words").cast("bigint"))
         .drop("text", "character_count")
     )
-    totals = usable.groupBy("document_id").agg(F.sum("n_words").alias("n"))
     placed = running_totals(
-        usable, ["document_id"], "block", [F.col("page_number")], {"end_word": F.col("n_words")}
-    ).join(totals, "document_id")
+        usable, ["document_id"], "block", [F.col("page_number")], {"end_word": F.col("n_words")}, {"end_word": "n"}
+    )
     first_word = F.col("end_word") - F.col("n_words")
     last_window = window_count(F.col("n"), settings) - 1
     # Windows touching words [first_word, end_word): from the first whose end is

@@ -36,15 +36,16 @@ _ITEM = (
 
 
 def build_evidence(
-    hits: DataFrame, chunks: DataFrame, queries: DataFrame, settings: EvidenceSettings = EvidenceSettings()
+    hits: DataFrame, queries: DataFrame, settings: EvidenceSettings = EvidenceSettings()
 ) -> DataFrame:
     """One row per query with the folded evidence array ``E1..En``.
 
+    ``hits`` carries the chunk text and the evidence fields (see ``rerank``).
+
     The fold is ordered: the trimmed length of an item decides how much room the
     next one has, so it runs as ``aggregate`` over the rank-sorted hits.
     """
-    kept = hits.where(F.col("rank") <= settings.evidence_top_k).select("query_id", "chunk_id", "rank")
-    rows = kept.join(chunks.select("text", *EVIDENCE_FIELDS), "chunk_id")
+    rows = hits.where(F.col("rank") <= settings.evidence_top_k).select("query_id", "rank", "text", *EVIDENCE_FIELDS)
     grouped = rows.groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "text", *EVIDENCE_FIELDS))).alias("hits")
     )

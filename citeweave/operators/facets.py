@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeweave.functions import text as T
-from citeweave.operators.scale import top_k
+from citeweave.operators.scale import fits, small, top_k
 
 SEARCH_DEPTH = 15
 FACET_QUOTA = 2
@@ -58,7 +58,10 @@ def mix(
     every per-query window here is bounded. The interleaving is one sort key
     ``(phase, position, facet_no)`` with the smallest key kept per chunk.
     """
-    placed = hits.join(searches, "search_id").join(chunks.select("chunk_id", "text"), "chunk_id")
+    bounded = fits(searches, per_row=max(k, SEARCH_DEPTH))
+    placed = chunks.select("chunk_id", "text").join(
+        small(hits.join(small(searches, bounded), "search_id"), bounded), "chunk_id"
+    )
     matching = placed.where(
         (F.col("facet_no") == 0)
         | T.contains_all_terms(T.token_set(F.col("text")), F.col("required_terms"))

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from citeweave.functions import text as T
 from citeweave.functions.hashing import blinded_key
-from citeweave.operators.scale import running_totals, top_k
+from citeweave.operators.scale import fits, running_totals, small, top_k
+from citeweave.session import ensure_checkpoint_dir
 
 RRF_K = 60
 SOURCE_DEPTH = 50
+CANDIDATE_DEPTH = 20
 
 
 def fuse(bm25: DataFrame, dense: DataFrame, k: int = 10, rrf_k: int = RRF_K) -> DataFrame:
@@ -89,16 +91,23 @@ def rerank(
     chunks: DataFrame,
     k: int = 10,
     scorer: Callable[[Column, Column], Column] = overlap_score,
+    depth: int = CANDIDATE_DEPTH,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Re-order fused candidates by a pair score; ties keep the fused order.
 
-    ``candidates`` is already cut to the candidate depth, so the chunk texts are
-    fetched for those ids only.
+    ``candidates`` has at most ``depth`` rows per query. When that bound makes
+    them small they are broadcast, so fetching their texts is one scan of the
+    corpus and never shuffles it. ``carry`` keeps chunk columns for the evidence
+    step, which then needs no second scan.
     """
-    paired = candidates.join(queries.select("query_id", "query"), "query_id").join(
-        chunks.select("chunk_id", "text"), "chunk_id"
+    bounded = fits(queries, per_row=depth)
+    wanted = [c for c in dict.fromkeys(("chunk_id", "text", *carry))]
+    paired = chunks.select(*wanted).join(small(candidates, bounded), "chunk_id").join(
+        small(queries.select("query_id", "query"), bounded), "query_id"
     )
     scored = paired.select(
+        *[F.col(c) for c in carry if c != "chunk_id"],
         "query_id", "chunk_id", F.col("rank").alias("hybrid_rank"), F.col("score").alias("hybrid_score"),
         "bm25_rank", "bm25_score", "dense_rank", "dense_score", "retrieved_by",
         scorer(F.col("query"), F.col("text")).alias("score"),
@@ -145,11 +154,12 @@ def candidate_pool(
         *[F.max(c).alias(c) for c in ("bm25_rank", "bm25_score", "dense_rank", "dense_score", "carried")]
     )
     keyed = merged.withColumn("blind", blinded_key(seed, F.col("query_id"), F.col("chunk_id")))
-    numbered = numbered_candidates(keyed)
-    return numbered.join(
-        chunks.select("chunk_id", "document_id", "page_start", "page_end", "citation_url", "source_url", "text"),
-        "chunk_id",
-    ).select(
+    # The pool is stored once: its size decides how the chunk texts are fetched.
+    ensure_checkpoint_dir(bm25.sparkSession)
+    numbered = numbered_candidates(keyed).checkpoint()
+    return chunks.select(
+        "chunk_id", "document_id", "page_start", "page_end", "citation_url", "source_url", "text"
+    ).join(small(numbered, fits(numbered)), "chunk_id").select(
         "candidate_id", "query_id", "chunk_id", "document_id", "page_start", "page_end",
         T.preview(F.col("text"), preview_characters).alias("text_preview"), "citation_url", "source_url",
         source_labels(F.col("carried")).alias("retrieved_by"),

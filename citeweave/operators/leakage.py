@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeweave.functions import text as T
+from citeweave.operators.scale import fits, small
 
 
 def _first_reference(values: DataFrame, normalize: bool) -> DataFrame:
@@ -20,8 +21,8 @@ def _first_reference(values: DataFrame, normalize: bool) -> DataFrame:
 def _matches(rows: DataFrame, column: str, protected: DataFrame, kinds: tuple[str, str]) -> DataFrame:
     """Exact matches, and normalized ones only where no exact match exists.
 
-    Both digests are looked up in one pass over the examples; what is shuffled
-    is the digest, not the text.
+    Both digests are looked up in one pass over the examples. A protected set
+    measured to be small is broadcast; otherwise digests are shuffled, not texts.
     """
     exact = _first_reference(protected, False).withColumnsRenamed(
         {"digest": "exact_digest", "protected_reference": "exact_ref"}
@@ -34,7 +35,10 @@ def _matches(rows: DataFrame, column: str, protected: DataFrame, kinds: tuple[st
         F.sha2(column, 256).alias("exact_digest"),
         F.sha2(T.normalize_training_text(F.col(column)), 256).alias("loose_digest"),
     )
-    found = keyed.join(exact, "exact_digest", "left").join(loose, "loose_digest", "left")
+    bounded = fits(protected.select("ref"))
+    found = keyed.join(small(exact, bounded), "exact_digest", "left").join(
+        small(loose, bounded), "loose_digest", "left"
+    )
     return found.where("exact_ref IS NOT NULL OR loose_ref IS NOT NULL").select(
         F.when(F.col("exact_ref").isNotNull(), kinds[0]).otherwise(kinds[1]).alias("kind"),
         "example_id", F.coalesce("exact_ref", "loose_ref").alias("protected_reference"),

@@ -14,13 +14,44 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-BROADCAST_ROWS = 200_000
+from pyspark.sql import types as T
+
+BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 128 * 1024 * 1024
+
+
+def _row_bytes(df: DataFrame) -> Column:
+    """Approximate bytes of a row: text lengths, eight per number or element."""
+    total = F.lit(0).cast("bigint")
+    for field in df.schema.fields:
+        column = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            size = F.octet_length(column)
+        elif isinstance(field.dataType, T.ArrayType) and isinstance(field.dataType.elementType, T.StringType):
+            size = F.octet_length(F.array_join(column, "        "))
+        elif isinstance(field.dataType, T.ArrayType):
+            size = F.size(column) * 8
+        else:
+            size = F.lit(8)
+        total = total + F.coalesce(size, F.lit(8)).cast("bigint")
+    return total
+
+
+def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES, per_row: int = 1) -> bool:
+    """True when ``df`` is small enough to broadcast: rows and bytes are measured.
+
+    ``per_row`` is for a table derived from ``df`` that has at most that many
+    rows for each of its rows, such as the top-k hits of a query table.
+    """
+    measured = df.limit(max_rows + 1).agg(
+        F.count("*").alias("n"), F.coalesce(F.sum(_row_bytes(df)), F.lit(0)).alias("b")
+    ).first()
+    return measured.n * per_row <= max_rows and measured.b * per_row <= max_bytes
 
 
-def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (measured, not assumed)."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def small(df: DataFrame, bounded: bool) -> DataFrame:
+    """Broadcast ``df`` when its size was shown to be bounded."""
+    return F.broadcast(df) if bounded else df
 
 
 def top_k(
@@ -38,10 +69,13 @@ def top_k(
 
 
 def running_totals(
-    df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[Column], totals: dict[str, Column]
+    df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[Column], totals: dict[str, Column],
+    overall: dict[str, str] | None = None,
 ) -> DataFrame:
     """Inclusive running sums per key in bucket-then-``order`` order.
 
+    ``overall`` maps a name of ``totals`` to a column for its sum over the key.
+
     ``bucket`` must be a column that grows with ``order``. Bucket sums are
     combined map-side, prefix-summed over the (few) buckets and joined back, so
     the row-level windows only ever span one bucket.
@@ -49,14 +83,18 @@ def running_totals(
     group = [*keys, bucket]
     sums = df.groupBy(*group).agg(*[F.sum(c).alias(f"__sum_{n}") for n, c in totals.items()])
     earlier = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
+    overall = overall or {}
     offsets = sums.select(
         *group,
+        *[F.sum(f"__sum_{n}").over(whole).alias(alias) for n, alias in overall.items()],
         *[F.coalesce(F.sum(f"__sum_{n}").over(earlier), F.lit(0)).alias(f"__base_{n}") for n in totals],
     )
     inside = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     joined = df.join(offsets, group, "inner")
     numbered = joined.select(
         *df.columns,
+        *overall.values(),
         *[(F.col(f"__base_{n}") + F.sum(c).over(inside)).alias(n) for n, c in totals.items()],
     )
     return numbered

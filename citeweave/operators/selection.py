@@ -146,16 +146,18 @@ def example_plan(
 ) -> DataFrame:
     """Planned examples with sequential ids in (document, type, start) order.
 
-    Chunks are numbered inside their document and joined to the (few) planned
-    windows by position range; ids come from a two-level global numbering.
+    Chunks are numbered inside their document and pick the (few) planned windows
+    that cover them; ids come from a two-level global numbering.
     """
     usable = eligible_chunks(chunks, settings).select("document_id", "chunk_index", "chunk_id", "word_count")
     numbered = running_totals(
         usable.withColumn("slot", F.floor(F.col("chunk_index") / 4096)), ["document_id"], "slot",
-        [F.col("chunk_index"), F.col("chunk_id")], {"ordinal": F.lit(1)},
-    ).select("document_id", (F.col("ordinal") - 1).cast("int").alias("position"), "chunk_id", "word_count")
-    counts = usable.groupBy("document_id").agg(F.count("*").cast("int").alias("n"))
-    flags = counts.join(
+        [F.col("chunk_index"), F.col("chunk_id")], {"ordinal": F.lit(1)}, {"ordinal": "items"},
+    ).select(
+        "document_id", (F.col("ordinal") - 1).cast("int").alias("position"), F.col("items").cast("int").alias("n"),
+        "chunk_id", "word_count",
+    )
+    flagged = numbered.join(
         synthesis_documents.select("document_id", F.lit(True).alias("synthesis")), "document_id", "left"
     ).join(refusal_documents.select("document_id", F.lit(True).alias("refusal")), "document_id", "left")
     s = settings
@@ -185,11 +187,15 @@ def example_plan(
             windows(2, "refusal", F.array(F.floor(2 * (n - s.refusal_chunks) / 3).cast("int")), s.refusal_chunks),
         ).otherwise(none),
     )
-    plans = flags.select("document_id", F.explode(planned).alias("w")).select("document_id", "w.*")
-    placed = plans.withColumn("position", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)))
-    bundles = placed.join(numbered, ["document_id", "position"]).groupBy(
-        "document_id", "kind_no", "example_type", "start"
-    ).agg(
+    # The windows follow from the document's chunk count, so every chunk row finds
+    # the windows it belongs to by itself.
+    mine = F.filter(
+        planned, lambda w: (w["start"] <= F.col("position")) & (F.col("position") < w["start"] + w["size"])
+    )
+    placed = flagged.select(
+        "document_id", "position", "chunk_id", "word_count", F.explode_outer(mine).alias("w")
+    ).where("w IS NOT NULL").select("document_id", "position", "chunk_id", "word_count", "w.*")
+    bundles = placed.groupBy("document_id", "kind_no", "example_type", "start").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("position", "chunk_id"))), lambda x: x["chunk_id"]).alias("chunk_ids"),
         F.sum("word_count").alias("evidence_word_count"),
     )

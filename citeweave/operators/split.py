@@ -53,19 +53,19 @@ def components(edges: DataFrame, maximum_rounds: int = 40) -> DataFrame:
 def example_components(links: DataFrame) -> DataFrame:
     """Component per example for ``links(example_id, document_id)``.
 
-    Examples and documents become nodes of one string space; every example ends
-    up under the smallest example id it is linked to.
+    A document ties all its examples to the smallest of them, so the graph only
+    has example nodes and documents of one example add nothing. The component is
+    named after its smallest example.
     """
-    nodes = links.select(
-        F.concat(F.lit("e"), F.lpad(F.col("example_id").cast("string"), 19, "0")).alias("u"),
-        F.concat(F.lit("z"), F.col("document_id").cast("string")).alias("v"),
-    )
-    found = components(nodes)
-    examples = links.select("example_id").distinct().withColumn(
-        "node", F.concat(F.lit("e"), F.lpad(F.col("example_id").cast("string"), 19, "0"))
-    )
-    return examples.join(found, "node", "left").select(
-        "example_id", F.coalesce("component", "node").alias("component")
+    pairs = links.select("example_id", "document_id").distinct()
+    lowest = pairs.groupBy("document_id").agg(F.min("example_id").alias("v"), F.count("*").alias("n"))
+    shared = pairs.join(lowest.where("n > 1").select("document_id", "v"), "document_id")
+    found = components(shared.select(F.col("example_id").alias("u"), "v"))
+    return links.select("example_id").distinct().join(
+        found.withColumnRenamed("node", "example_id"), "example_id", "left"
+    ).select(
+        "example_id",
+        F.concat(F.lit("e"), F.lpad(F.coalesce("component", "example_id").cast("string"), 19, "0")).alias("component"),
     )
 
 

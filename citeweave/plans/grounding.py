@@ -27,7 +27,7 @@ class Session:
         self.retriever = P.Retriever(self.corpus)
 
     def evidence(self) -> DataFrame:
-        return evidence.build_evidence(self.retriever.reranked(self.asked, 5), self.corpus, self.asked)
+        return evidence.build_evidence(self.retriever.reranked(self.asked, 5), self.asked)
 
     def assessed(self, profile: str = "v0.3.0") -> DataFrame:
         return evidence.assess(self.evidence(), evidence.PROFILES[profile])
@@ -437,8 +437,7 @@ _ONE, _TWO = ">".join(adaptive.FIRST_STATES), ">".join(adaptive.FIRST_STATES + a
 def adaptive_two_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     session = Session(spark, sf_dir)
     runs = adaptive.run(
-        session.asked, lambda asked: session.retriever.reranked(asked, 5), session.corpus,
-        evidence.PROFILES["v0.3.0"],
+        session.asked, lambda asked: session.retriever.reranked(asked, 5), evidence.PROFILES["v0.3.0"],
     )
     return runs.select(
         "query_id", "rewritten_query", "attempts", "sufficient", F.array_join("states", ">").alias("states"),

@@ -9,6 +9,7 @@ from citeweave.operators import chunking, dense, facets, fusion, lexical, pairs,
 from citeweave.plans import sql as S
 from citeweave.plans import tables as P
 from citeweave.plans.registry import query
+from citeweave.session import ensure_checkpoint_dir
 
 _RANKED = ["query_id", "chunk_id", "score", "rank"]
 
@@ -234,10 +235,12 @@ def ir_metrics_by_system(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Macro metrics of all four systems, from one set of indexes and one judgment table."""
     corpus, asked = P.chunks(spark, sf_dir), P.queries(spark, sf_dir)
     retriever, truth = P.Retriever(corpus), P.qrels(corpus, asked)
-    runs = {
-        "bm25": retriever.bm25(asked, 10), "dense": retriever.dense(asked, 10),
-        "hybrid": retriever.hybrid(asked, 10), "reranked": retriever.reranked(asked, 10),
-    }
+    # Rankings are short; storing them keeps the two index scans from being
+    # repeated for every system built on top of them.
+    ensure_checkpoint_dir(spark)
+    bm25, dense_hits = retriever.bm25(asked, 50).checkpoint(), retriever.dense(asked, 50).checkpoint()
+    hybrid = fusion.fuse(bm25, dense_hits, 20).checkpoint()
+    runs = {"bm25": bm25, "dense": dense_hits, "hybrid": hybrid, "reranked": fusion.rerank(hybrid, asked, corpus, 10)}
     tagged = None
     for name, hits in runs.items():
         rows = hits.select(F.concat_ws("|", F.lit(name), "query_id").alias("query_id"), "chunk_id", "rank")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from citeweave.functions import text as T
 from citeweave.functions import vectors as V
 from citeweave.operators import chunking, dense, fusion, lexical
+from citeweave.operators.evidence import EVIDENCE_FIELDS
+from citeweave.operators.scale import fits, small
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,7 +56,7 @@ def qrels(corpus: DataFrame, asked: DataFrame) -> DataFrame:
     """A chunk is relevant when it shares an eight-word passage with the query."""
     wanted = shingles(asked, "query_id", F.col("query"))
     held = shingles(corpus, "chunk_id", F.col("text"))
-    return held.join(wanted, "shingle").select("query_id", "chunk_id").distinct()
+    return held.join(small(wanted, fits(wanted)), "shingle").select("query_id", "chunk_id").distinct()
 
 
 def chunk_vectors(corpus: DataFrame) -> DataFrame:
@@ -85,4 +87,8 @@ class Retriever:
         return fusion.fuse(self.bm25(asked, self.source_depth), self.dense(asked, self.source_depth), k)
 
     def reranked(self, asked: DataFrame, k: int) -> DataFrame:
-        return fusion.rerank(self.hybrid(asked, self.candidate_depth), asked, self.corpus, k)
+        """Re-ranked hits with the chunk columns the evidence step needs."""
+        return fusion.rerank(
+            self.hybrid(asked, self.candidate_depth), asked, self.corpus, k, depth=self.candidate_depth,
+            carry=("text", *EVIDENCE_FIELDS),
+        )
