@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
+
 
 def build_session(app_name: str = "citeweave", master: str | None = None, **conf: str) -> SparkSession:
     """Create (or reuse) a session with the settings the operators assume.
@@ -44,3 +49,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="citeweave-checkpoint-")
     context.setCheckpointDir(configured)
     return configured
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of a session.
+
+    Batch functions refer to module code, so executors need the package
+    wherever the driver was started from. Done once per application.
+    """
+    application = spark.sparkContext.applicationId
+    if application in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    handle, archive = tempfile.mkstemp(prefix="citeweave-", suffix=".zip")
+    os.close(handle)
+    with zipfile.ZipFile(archive, "w") as target:
+        for path in sorted(root.rglob("*.py")):
+            target.write(path, path.relative_to(root.parent))
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(application)
