@@ -119,14 +119,15 @@ def candidate_pool(
     bm25: DataFrame,
     dense: DataFrame,
     carried: DataFrame,
-    chunks: DataFrame,
+    chunks: DataFrame | Callable[[DataFrame], DataFrame],
     seed: int = 42,
     preview_characters: int = 700,
 ) -> DataFrame:
     """Union of two rankings and earlier judgments in blinded order.
 
     Candidate ids come from the position under a keyed hash, so annotators
-    cannot tell which retriever proposed a chunk.
+    cannot tell which retriever proposed a chunk. ``chunks`` is the chunk table
+    or a function that reads the chunks of given hits.
     """
     nothing = F.lit(None)
     tagged = (
@@ -157,7 +158,8 @@ def candidate_pool(
     # The pool is stored once: its size decides how the chunk texts are fetched.
     ensure_checkpoint_dir(bm25.sparkSession)
     numbered = numbered_candidates(keyed).checkpoint()
-    return chunks.select(
+    rows = chunks(numbered) if callable(chunks) else chunks
+    return rows.select(
         "chunk_id", "document_id", "page_start", "page_end", "citation_url", "source_url", "text"
     ).join(small(numbered, fits(numbered)), "chunk_id").select(
         "candidate_id", "query_id", "chunk_id", "document_id", "page_start", "page_end",

@@ -22,9 +22,9 @@ class Session:
     """Corpus, questions and their evidence, built lazily for one query."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.corpus = P.chunks(spark, sf_dir)
         self.asked = P.queries(spark, sf_dir)
-        self.retriever = P.Retriever(self.corpus)
+        self.retriever = P.Retriever(spark, sf_dir)
+        self.corpus = self.retriever.corpus
 
     def evidence(self) -> DataFrame:
         return evidence.build_evidence(self.retriever.reranked(self.asked, 5), self.asked)

@@ -93,7 +93,7 @@ def dense_top10_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     S.with_steps("dense", "SELECT query_id, chunk_id, score, rank FROM dense WHERE rank <= 10"),
 )
 def dense_chunks_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.Retriever(P.chunks(spark, sf_dir)).dense(P.queries(spark, sf_dir), 10).select(*_RANKED)
+    return P.Retriever(spark, sf_dir).dense(P.queries(spark, sf_dir), 10).select(*_RANKED)
 
 
 @query(
@@ -118,7 +118,7 @@ def backend_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def rrf_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = P.Retriever(P.chunks(spark, sf_dir)).hybrid(P.queries(spark, sf_dir), 10)
+    hits = P.Retriever(spark, sf_dir).hybrid(P.queries(spark, sf_dir), 10)
     return hits.select(
         *_RANKED, "bm25_rank", "bm25_score", "dense_rank", "dense_score",
         F.array_join("retrieved_by", ",").alias("retrieved_by"),
@@ -133,7 +133,7 @@ def rrf_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def rerank_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = P.Retriever(P.chunks(spark, sf_dir)).reranked(P.queries(spark, sf_dir), 10)
+    hits = P.Retriever(spark, sf_dir).reranked(P.queries(spark, sf_dir), 10)
     return hits.select(*_RANKED, "hybrid_rank", "hybrid_score")
 
 
@@ -165,10 +165,10 @@ _POOL = {
     ),
 )
 def candidate_pool_blinded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus, asked = P.chunks(spark, sf_dir), P.queries(spark, sf_dir)
-    retriever = P.Retriever(corpus)
+    asked, retriever = P.queries(spark, sf_dir), P.Retriever(spark, sf_dir)
     pool = fusion.candidate_pool(
-        retriever.bm25(asked, 20), retriever.dense(asked, 20), P.qrels(corpus, asked), corpus
+        retriever.bm25(asked, 20), retriever.dense(asked, 20), P.qrels(retriever.corpus, asked),
+        lambda hits: P.chunks_of(spark, sf_dir, hits),
     )
     return pool.select(
         "candidate_id", "query_id", "chunk_id", "document_id", "page_start", "page_end", "text_preview",
@@ -187,10 +187,11 @@ def candidate_pool_blinded(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def qrels_from_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pool labelled by passage overlap, turned back into judgments."""
-    corpus, asked = P.chunks(spark, sf_dir), P.queries(spark, sf_dir)
-    retriever = P.Retriever(corpus)
-    truth = P.qrels(corpus, asked)
-    pool = fusion.candidate_pool(retriever.bm25(asked, 20), retriever.dense(asked, 20), truth, corpus)
+    asked, retriever = P.queries(spark, sf_dir), P.Retriever(spark, sf_dir)
+    truth = retriever.stored(P.qrels(retriever.corpus, asked))
+    pool = fusion.candidate_pool(
+        retriever.bm25(asked, 20), retriever.dense(asked, 20), truth, lambda hits: P.chunks_of(spark, sf_dir, hits)
+    )
     labelled = pool.join(truth.withColumn("hit", F.lit(True)), ["query_id", "chunk_id"], "left").withColumn(
         "relevant", F.coalesce("hit", F.lit(False))
     )
@@ -213,7 +214,7 @@ def _metrics_sql(source: str) -> str:
 @query("ir_metrics_bm25", S.with_steps(["bm25", "qrels"], _metrics_sql("bm25")))
 def ir_metrics_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus, asked = P.chunks(spark, sf_dir), P.queries(spark, sf_dir)
-    return ranking_metrics.per_query(P.Retriever(corpus).bm25(asked, 10), P.qrels(corpus, asked))
+    return ranking_metrics.per_query(lexical.search(lexical.build_index(corpus), asked, 10), P.qrels(corpus, asked))
 
 
 _SYSTEMS = [("bm25", "bm25"), ("dense", "dense"), ("hybrid", "rrf"), ("reranked", "rerank")]
@@ -233,14 +234,12 @@ _SYSTEMS = [("bm25", "bm25"), ("dense", "dense"), ("hybrid", "rrf"), ("reranked"
 )
 def ir_metrics_by_system(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Macro metrics of all four systems, from one set of indexes and one judgment table."""
-    corpus, asked = P.chunks(spark, sf_dir), P.queries(spark, sf_dir)
-    retriever, truth = P.Retriever(corpus), P.qrels(corpus, asked)
-    # Rankings are short; storing them keeps the two index scans from being
-    # repeated for every system built on top of them.
-    ensure_checkpoint_dir(spark)
-    bm25, dense_hits = retriever.bm25(asked, 50).checkpoint(), retriever.dense(asked, 50).checkpoint()
-    hybrid = fusion.fuse(bm25, dense_hits, 20).checkpoint()
-    runs = {"bm25": bm25, "dense": dense_hits, "hybrid": hybrid, "reranked": fusion.rerank(hybrid, asked, corpus, 10)}
+    asked, retriever = P.queries(spark, sf_dir), P.Retriever(spark, sf_dir)
+    truth = P.qrels(retriever.corpus, asked)
+    # Stored rankings keep the two index scans from being repeated per system.
+    bm25, dense_hits = retriever.stored(retriever.bm25(asked, 50)), retriever.stored(retriever.dense(asked, 50))
+    hybrid = retriever.stored(fusion.fuse(bm25, dense_hits, 20))
+    runs = {"bm25": bm25, "dense": dense_hits, "hybrid": hybrid, "reranked": retriever.rescored(hybrid, asked, 10)}
     tagged = None
     for name, hits in runs.items():
         rows = hits.select(F.concat_ws("|", F.lit(name), "query_id").alias("query_id"), "chunk_id", "rank")
@@ -348,10 +347,11 @@ def facet_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = P.chunks(spark, sf_dir)
     searches = facets.plan_searches(facet_questions(spark, sf_dir))
     asked = searches.select(F.col("search_id").alias("query_id"), F.col("search_query").alias("query"))
+    ensure_checkpoint_dir(spark)
     hits = lexical.search(lexical.build_index(corpus), asked, facets.SEARCH_DEPTH).withColumnRenamed(
         "query_id", "search_id"
-    )
-    return facets.mix(hits, searches, corpus, 5).select("query_id", "chunk_id", "rank", "used_facets", "facet_no")
+    ).checkpoint()
+    return facets.mix(hits, searches, P.chunks_of(spark, sf_dir, hits), 5).select("query_id", "chunk_id", "rank", "used_facets", "facet_no")
 
 
 _NEGATIVE_PAIRS = f"""WITH s AS ({_COSINE.replace(', 6)', ', 8)')} WHERE a.vec_id <> b.vec_id),

@@ -10,6 +10,7 @@ from citeweave.functions import vectors as V
 from citeweave.operators import chunking, dense, fusion, lexical
 from citeweave.operators.evidence import EVIDENCE_FIELDS
 from citeweave.operators.scale import fits, small
+from citeweave.session import ensure_checkpoint_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +34,16 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_nested(documents(spark, sf_dir))
 
 
+def chunks_of(spark: SparkSession, sf_dir: str, hits: DataFrame) -> DataFrame:
+    """Chunks of the documents that ``hits(chunk_id)`` come from.
+
+    Filtering documents first keeps text and page work off everything else.
+    """
+    found = F.split_part("chunk_id", F.lit(":"), F.lit(1)).cast("bigint")
+    ids = hits.select(found.alias("doc_id")).distinct()
+    return chunking.chunk_nested(documents(spark, sf_dir).join(small(ids, fits(ids)), "doc_id", "left_semi"))
+
+
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(
         F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("query")
@@ -70,8 +81,9 @@ def query_vectors(asked: DataFrame) -> DataFrame:
 class Retriever:
     """Lexical and dense indexes over one corpus, queried by tables of questions."""
 
-    def __init__(self, corpus: DataFrame, source_depth: int = 50, candidate_depth: int = 20) -> None:
-        self.corpus = corpus
+    def __init__(self, spark: SparkSession, sf_dir: str, source_depth: int = 50, candidate_depth: int = 20) -> None:
+        self.spark, self.sf_dir = spark, sf_dir
+        self.corpus = corpus = chunks(spark, sf_dir)
         self.index = lexical.build_index(corpus)
         self.vectors = chunk_vectors(corpus)
         self.source_depth = source_depth
@@ -88,7 +100,15 @@ class Retriever:
 
     def reranked(self, asked: DataFrame, k: int) -> DataFrame:
         """Re-ranked hits with the chunk columns the evidence step needs."""
+        return self.rescored(self.stored(self.hybrid(asked, self.candidate_depth)), asked, k)
+
+    def stored(self, hits: DataFrame) -> DataFrame:
+        """Rankings are short and read more than once: keep them, not their lineage."""
+        ensure_checkpoint_dir(self.spark)
+        return hits.checkpoint()
+
+    def rescored(self, candidates: DataFrame, asked: DataFrame, k: int) -> DataFrame:
         return fusion.rerank(
-            self.hybrid(asked, self.candidate_depth), asked, self.corpus, k, depth=self.candidate_depth,
+            candidates, asked, chunks_of(self.spark, self.sf_dir, candidates), k, depth=self.candidate_depth,
             carry=("text", *EVIDENCE_FIELDS),
         )
