@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from citeweave.functions import hashing
 from citeweave.functions import text as T
-from citeweave.operators import chunking, integrity, leakage, selection, split
+from citeweave.operators import chunking, integrity, leakage, record_tables, selection, split
 from citeweave.plans import sql as S
 from citeweave.plans import tables as P
 from citeweave.plans.registry import query
@@ -449,3 +449,76 @@ def table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored row counts, per source and overall in one pass."""
     docs = P.table(spark, sf_dir, "documents")
     return docs.groupingSets([[F.col("source")], []], F.col("source")).agg(F.count("*").alias("chunk_count"))
+
+
+# --- record tables -----------------------------------------------------------
+
+_RECEIPT_SQL = """SELECT event_id AS plan_id, ['ordinary', 'synthesis', 'refusal'][1 + event_id % 3] AS example_type,
+    CASE WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'view' THEN 'rejected' ELSE 'accepted' END AS status,
+    k % 3 AS qa, k % 4 AS va, k % 5 AS aa, 100 + k AS it, 10 + k AS ot, value / 1000 AS cost, k % 10 <> 0 AS complete
+    FROM (SELECT *, json_extract_string(props, '$.k')::BIGINT AS k FROM events)"""
+
+
+def plan_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    kinds = F.array(*[F.lit(t) for t in record_tables.EXAMPLE_TYPES])
+    kind = F.col("event_type")
+    return P.table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("plan_id"), F.element_at(kinds, (1 + F.col("event_id") % 3).cast("int")).alias("example_type"),
+        F.when(kind == "error", "failed").when(kind == "view", "rejected").otherwise("accepted").alias("status"),
+        (k % 3).alias("question_attempts"), (k % 4).alias("verification_attempts"), (k % 5).alias("answer_attempts"),
+        (100 + k).alias("input_tokens"), (10 + k).alias("output_tokens"), (110 + 2 * k).alias("total_tokens"),
+        (F.col("value") / 1000).alias("estimated_cost_usd"), (k % 10 != 0).alias("telemetry_complete"),
+    )
+
+
+@query(
+    "receipt_summary",
+    f"""WITH r AS ({_RECEIPT_SQL}) SELECT count(*) AS record_count, count(*) FILTER (WHERE status = 'accepted') AS accepted_count,
+        count(*) FILTER (WHERE status = 'rejected') AS rejected_count, count(*) FILTER (WHERE status = 'failed') AS failed_count,
+        {', '.join(f"count(*) FILTER (WHERE status = 'accepted' AND example_type = '{t}') AS {t}_accepted_count" for t in ('ordinary', 'synthesis', 'refusal'))},
+        sum(qa)::BIGINT AS total_question_attempts, sum(va)::BIGINT AS total_verification_attempts, sum(aa)::BIGINT AS total_answer_attempts,
+        sum(it)::BIGINT AS total_input_tokens, sum(ot)::BIGINT AS total_output_tokens, sum(it + ot)::BIGINT AS total_tokens,
+        round(sum(cost), 6) AS total_estimated_cost_usd, bool_and(complete) AS telemetry_complete FROM r""",
+)
+def receipt_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return record_tables.receipt_summary(plan_receipts(spark, sf_dir))
+
+
+@query(
+    "pending_plans",
+    f"WITH r AS ({_RECEIPT_SQL}) SELECT o_orderkey AS plan_id FROM orders WHERE o_orderkey NOT IN (SELECT plan_id FROM r WHERE status = 'accepted')",
+)
+def pending_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plans = P.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("plan_id"))
+    return record_tables.pending_plans(plans, plan_receipts(spark, sf_dir))
+
+
+# Visual assets: every link of a raw page is one asset of that page.
+_ASSET_SQL = """SELECT page_id, 'link' AS asset_type, i AS asset_index, h AS caption_text, page_id || ':link:' || printf('%03d', i) AS asset_id
+    FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS h, generate_subscripts(regexp_extract_all(html, 'href="([^"]*)"', 1), 1) AS i FROM pages)"""
+
+
+def page_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
+    rows = P.spread(P.table(spark, sf_dir, "pages")).select("page_id", F.posexplode_outer(links).alias("pos", "caption_text"))
+    return rows.where("pos IS NOT NULL").select(
+        "page_id", F.lit("link").alias("asset_type"), (F.col("pos") + 1).alias("asset_index"), "caption_text",
+        record_tables.visual_asset_id(F.col("page_id").cast("string"), F.lit("link"), F.col("pos") + 1).alias("asset_id"),
+    )
+
+
+@query(
+    "annotation_tasks",
+    f"WITH a AS ({_ASSET_SQL}) SELECT asset_id || ':annotation:v0.1' AS task_id, 'v0.1' AS task_version, * FROM a",
+)
+def annotation_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return record_tables.annotation_tasks(page_assets(spark, sf_dir), "v0.1")
+
+
+@query(
+    "page_representatives",
+    f"WITH a AS ({_ASSET_SQL}) SELECT page_id, asset_type, asset_index, caption_text, asset_id FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY asset_type, asset_index) AS r FROM a) WHERE r = 1",
+)
+def page_representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return record_tables.page_representatives(page_assets(spark, sf_dir))

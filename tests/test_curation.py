@@ -134,3 +134,15 @@ def test_integrity(spark):
     assert {(r.check_name, r.violations) for r in integrity.summary(checks).collect()} == {("dup", 1), ("null_v", 1), ("orphan", 1), ("vary", 1)}
     with pytest.raises(ValueError, match="dup"):
         integrity.enforce(checks.where("check_name = 'dup'"))
+
+
+def test_record_tables(spark):
+    from citeweave.operators import record_tables as R
+
+    row = spark.range(1).select(
+        R.assistant_labels(F.array(*[F.lit(i).cast("bigint") for i in (5, 6, 7, 8)]), F.lit(2)).alias("labels"),
+        R.visual_asset_id(F.lit("1:page:2"), F.lit("figure"), F.lit(3)).alias("asset"),
+        R.chat_messages(F.lit("s"), F.lit("u"), F.struct(F.lit("x").alias("answer"))).alias("chat"),
+    ).withColumn("n", R.supervised_tokens(F.col("labels"))).first()
+    assert row.labels == [-100, -100, 7, 8] and row.n == 2 and row.asset == "1:page:2:figure:003"
+    assert [(m.role, m.content) for m in row.chat] == [("system", "s"), ("user", "u"), ("assistant", '{"answer":"x"}')]
