@@ -14,9 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 # Fixed values that have to agree with the published behaviour ---------------
+# (token patterns, the two-facet question form, word lists and alias tables)
 LEXICAL_TOKEN = "[a-z0-9]+(?:[-'][a-z0-9]+)*"
 SIMPLE_TOKEN = "[A-Za-z0-9]+"
 HYPHENATED_TOKEN = "[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*"
+SHARED_BY = r"(?i)^\s*(?:what\s+)?(.+?)\s+are\s+shared\s+by\s+(.+?)\s+and\s+(.+?)[?.!]*\s*$"
+
+REWRITE_CONTEXT = ("NASA", "aerospace", "technical", "report")
 
 STOP_WORDS = [
     "a", "an", "and", "are", "aboard", "as", "at", "be", "been", "being", "between", "by", "can", "did",
@@ -215,9 +219,6 @@ def extract_statement(text: Column, maximum_characters: int = 420) -> Column:
     )
 
 
-SHARED_BY = r"(?i)^\s*(?:what\s+)?(.+?)\s+are\s+shared\s+by\s+(.+?)\s+and\s+(.+?)[?.!]*\s*$"
-
-
 def facet_terms(text: Column) -> Column:
     return F.array_distinct(
         F.array_except(simple_tokens(fold_case(text)), _literal_array(GENERIC_FACET_TERMS))
@@ -228,7 +229,7 @@ def contains_all_terms(tokens: Column, required: Column) -> Column:
     return F.size(F.array_except(required, tokens)) == 0
 
 
-def rewrite_query(query: Column, context: tuple[str, ...] = ("NASA", "aerospace", "technical", "report")) -> Column:
+def rewrite_query(query: Column, context: tuple[str, ...] = REWRITE_CONTEXT) -> Column:
     """Recovery rewrite: the question followed by fixed context terms."""
     return F.concat_ws(" ", F.trim(query), F.lit(" ".join(context)))
 
