@@ -8,12 +8,13 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.llm import language, quality, secrets, sharding, topk, toxicity
+from citeweave.llm import language, ngram_join, quality, secrets, sentencepieces, sharding, topk, toxicity
 from citeweave.llm.common import fold, one_label, table
 from citeweave.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 BASE_KINDS = [r.kind for r in secrets.BASE_RULES]
 
 
@@ -87,6 +88,30 @@ def toxic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+JACCARD_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+    lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id
+  JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(x.n) + any_value(y.n) - count(*))),
+reach(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.c = l.a)
+SELECT d.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(r.c) AS component_id
+FROM documents d JOIN reach r ON r.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+
+@query("op5_ngram_join", JACCARD_SQL)
+def jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 @query("op7_language")
 def bayes_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
@@ -94,6 +119,17 @@ def bayes_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model, {"doc_id": F.col("doc_id"), "held_out": held_out})
 
 
+@query("op8_sentencepiece")
+def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = sentencepieces.load(PIECES)
+    encoded = sentencepieces.encode(table(spark, sf_dir, "documents"), vocabulary, {"doc_id": F.col("doc_id")})
+    decoded = sentencepieces.decode(encoded, vocabulary, {"doc_id": F.col("doc_id"), "ids": F.col("ids")})
+    return decoded.select(
+        "doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("bigint").alias("n_pieces"), "ids",
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 @query("op9_quality")
 def positive_unlabelled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), F.coalesce(fold("doc_id", 5) == 0, F.lit(False))

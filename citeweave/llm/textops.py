@@ -140,3 +140,27 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def list_array(values: np.ndarray, first: np.ndarray, kind: pa.DataType) -> pa.Array:
     """A list column from flat values and row boundaries."""
     return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values, kind))
+
+
+def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ``size``-word windows of each row over lower-cased words, sorted by row and hash, as
+    (hashes, row boundaries). A row with fewer words has its whole sequence as the only one."""
+    found = words(data, offsets, lower=True)
+    starts, hashes = windows(found, size)
+    rows = [found.rows[starts]]
+    values = [hashes]
+    count = np.diff(found.first)
+    for short in range(1, size):
+        mine = np.flatnonzero(count == short)
+        if len(mine):
+            at, all_hashes = windows(found, short)
+            place = np.searchsorted(at, found.first[mine])
+            rows.append(mine)
+            values.append(all_hashes[place])
+    row, value = np.concatenate(rows), np.concatenate(values)
+    order = np.lexsort((value, row))
+    row, value = row[order], value[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
+    row, value = row[new], value[new]
+    return value, np.searchsorted(row, np.arange(len(offsets)))
