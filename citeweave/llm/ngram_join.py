@@ -9,14 +9,16 @@ document chooses its own l: a longer prefix costs more postings, but fewer candi
 them; the sketch estimates both. A pair needs ``min(l1, l2)`` shared shingles, counted in the
 prefixes of that l, before its sets are compared exactly.
 
-Components need not see every link. First each document is compared with one leader of the postings
-it shares (the smallest id, then the most central one), which collapses groups of near copies
+Components need not see every link. First each document is compared with two leaders of the postings
+it shares (the smallest id and the most central document), which collapses groups of near copies
 without listing their pairs; then ALL candidate pairs that still lie in different components are
-compared. Links inside a component cannot change it, so the components are exact.
+compared. Links inside a component cannot change it, so the components are exact. Stray members of
+a group of copies would meet all others of it; two documents compared with the same centre need
+common shingles outside that centre if their parts in common with it are too small to link them,
+so they are joined on those instead.
 
-Hot postings: a posting list whose sketch count is below ``COLD`` cannot be longer than that and is
-grouped in one pass; longer ones are counted with map-side sums and joined back by stored tables,
-which the skew rule splits.
+Hot postings: a posting list whose sketch count is below ``COLD`` cannot be longer than that; a list
+that may be longer is dealt into parts with a leader each.
 
 Defined results: null, empty and blank texts have no shingle and stay alone (component = own id);
 with fewer words than ``size`` the whole sequence is the one shingle; repeated rows get the same
@@ -142,7 +144,7 @@ def prefixes(
 
 
 def _postings(docs: DataFrame, keys: DataFrame, sets: Sets, size: int, percent: int) -> DataFrame:
-    """(token, key, n, l, r, hot): r is the smallest l whose prefix holds the token."""
+    """(token, key, n, l, r, parts): r is the smallest l whose prefix holds the token."""
     usual = float(np.median(sets.sketch))
     shared = docs.sparkSession.sparkContext.broadcast(sets.sketch.astype(np.int64))
 
@@ -154,34 +156,34 @@ def _postings(docs: DataFrame, keys: DataFrame, sets: Sets, size: int, percent:
                 yield pa.record_batch(
                     [
                         batch.column(0).slice(low, high - low), pa.array(np.diff(first), pa.int32()), pa.array(ell, pa.int32()),
-                        list_array(tokens.view(np.int64), edges, pa.int64()), list_array(counts >= COLD, edges, pa.bool_()),
+                        list_array(tokens.view(np.int64), edges, pa.int64()), list_array(counts // COLD + 1, edges, pa.int32()),
                     ],
-                    ["key", "n", "l", "tokens", "hot"],
+                    ["key", "n", "l", "tokens", "parts"],
                 )
 
     key = docs.schema["key"].dataType.simpleString()
-    rows = docs.select("key", "text").mapInArrow(cut, f"key {key}, n int, l int, tokens array<bigint>, hot array<boolean>")
+    rows = docs.select("key", "text").mapInArrow(cut, f"key {key}, n int, l int, tokens array<bigint>, parts array<int>")
     one = rows.join(keys, "key", "left_semi")
     spare = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int")
-    flat = one.select("key", "n", "l", F.posexplode(F.arrays_zip("tokens", "hot")).alias("at", "t"))
+    flat = one.select("key", "n", "l", F.posexplode(F.arrays_zip("tokens", "parts")).alias("at", "t"))
     return flat.select(
         F.col("t.tokens").alias("token"), "key", "n", "l", F.greatest(F.lit(1), F.col("at") + 1 - spare).cast("int").alias("r"),
-        F.col("t.hot").alias("hot"),
+        F.col("t.parts").alias("parts"),
     )
 
 
 def _shared(postings: DataFrame) -> DataFrame:
-    """Postings of tokens that at least two documents hold, with the list's smallest key."""
-    columns = ["token", "key", "n", "l", "r"]
-    lists = Window.partitionBy("token")
-    cold = postings.where("not hot").select(
-        *columns, F.min("key").over(lists).alias("leader"), F.max("key").over(lists).alias("last")
-    ).where("leader <> last").drop("last")
-    hot = stored(postings.where("hot").select(*columns))
-    leaders = stored(
-        hot.groupBy("token").agg(F.min("key").alias("leader"), F.max("key").alias("last")).where("leader <> last").drop("last")
-    )
-    return cold.unionByName(hot.join(leaders, "token").select(*columns, "leader"))
+    """Postings of tokens that at least two documents hold, with a leader: the list's smallest key.
+
+    A list that the sketch cannot bound by ``COLD`` is dealt into parts by the hash of the key. Each part has its
+    leader, and all its postings stay, as their partners may be in another part.
+    """
+    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("key"), F.col("parts"))).otherwise(F.lit(0)).cast("int")
+    lists = Window.partitionBy("token", "part")
+    return postings.select("token", part.alias("part"), "key", "n", "l", "r", "parts").select(
+        "token", "key", "n", "l", "r", F.min("key").over(lists).alias("leader"),
+        ((F.col("parts") > 1) | (F.min("key").over(lists) < F.max("key").over(lists))).alias("stays"),
+    ).where("stays").drop("stays")
 
 
 class Join:
@@ -219,20 +221,23 @@ class Join:
         )
         return rows.mapInArrow(gather, f"key {self.docs.schema['key'].dataType.simpleString()}, v array<bigint>")
 
-    def verify(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose sets reach the threshold."""
+    def compare(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, na, nb, c, d): sizes of both sets, of the common part, and what b lacks of a."""
         held = stored(self._sets_of(pairs))
         left = pairs.join(held.select(F.col("key").alias("a"), F.col("v").alias("va")), "a")
         both = left.join(held.select(F.col("key").alias("b"), F.col("v").alias("vb")), "b")
-        common = F.size(F.array_intersect("va", "vb"))
-        return both.select("a", "b", common.alias("c"), (F.size("va") + F.size("vb")).alias("total")).where(
-            100 * F.col("c") >= self.percent * (F.col("total") - F.col("c"))
-        ).select("a", "b").distinct()
+        return both.select(
+            *pairs.columns, F.size("va").alias("na"), F.size("vb").alias("nb"), F.array_except("va", "vb").alias("d")
+        ).withColumn("c", F.col("na") - F.size("d"))
+
+    def linked(self, compared: DataFrame) -> DataFrame:
+        union = F.col("na") + F.col("nb") - F.col("c")
+        return compared.where(100 * F.col("c") >= self.percent * union).select("a", "b").distinct()
 
 
 def _fits(percent: int):
     """Sizes that can reach the threshold."""
-    return (100 * F.least("na", "nb")) >= percent * F.greatest("na", "nb")
+    return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
 
 
 def _by_leader(rows: DataFrame, percent: int) -> DataFrame:
@@ -249,9 +254,45 @@ def _by_leader(rows: DataFrame, percent: int) -> DataFrame:
     return counted.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
 
 
-def join(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, central_rounds: int = 2
-) -> DataFrame:
+def _crossing(rows: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs of different components; ``rows``: (token, key, n, l, r, comp, centre, o).
+
+    Of two documents with the same centre, the common part is at most the smaller part in common with the centre
+    and what both hold beside it. Where the former does not suffice, ``_beside_centres`` finds the pair.
+    """
+    mixed = rows.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
+    rest = stored(rows.join(stored(mixed), "token"))
+    fields = ("key", "n", "l", "r", "comp", "centre", "o")
+    left = rest.select("token", *[F.col(c).alias(f"{c}a") for c in fields])
+    right = rest.select("token", *[F.col(c).alias(f"{c}b") for c in fields])
+    open_pair = F.coalesce(
+        (F.col("centrea") != F.col("centreb"))
+        | ((100 + percent) * F.least("oa", "ob") >= percent * (F.col("na") + F.col("nb"))), F.lit(True)
+    )
+    met = left.join(right, "token").where("compa < compb and ra <= lb and rb <= la").where(_fits(percent)).where(open_pair)
+    return (
+        met.groupBy(F.col("keya").alias("a"), F.col("keyb").alias("b"), F.least("la", "lb").alias("least"))
+        .agg(F.count("*").alias("c")).where("c >= least").select("a", "b")
+    )
+
+
+def _beside_centres(centred: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs of different components with the same centre; ``centred``: (key, n, centre, o, d, comp)."""
+    flat = centred.select("key", "n", "centre", "o", "comp", F.explode("d").alias("token"))
+    mixed = flat.groupBy("centre", "token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
+    rest = stored(flat.join(stored(mixed.select("centre", "token")), ["centre", "token"]))
+    fields = ("key", "n", "o", "comp")
+    left = rest.select("centre", "token", *[F.col(c).alias(f"{c}a") for c in fields])
+    right = rest.select("centre", "token", *[F.col(c).alias(f"{c}b") for c in fields])
+    met = left.join(right, ["centre", "token"]).where("compa < compb").where(_fits(percent))
+    counted = met.groupBy(F.col("keya").alias("a"), F.col("keyb").alias("b")).agg(
+        F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"),
+        F.first(F.least("oa", "ob")).alias("o"),
+    )
+    return counted.where((100 + percent) * (F.col("o") + F.col("c")) >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """(key, n_shingles, component_id), one row per document."""
     work = Join(docs, key, text, size, percent)
     sets = Sets(work.docs, size)
@@ -259,44 +300,32 @@ def join(
     classes = stored(filled.groupBy("s1", "s2").agg(F.min("key").alias("rep")))
     keys = classes.where("rep is not null").select(F.col("rep").alias("key"))
     shared = stored(_shared(_postings(work.docs, keys, sets, size, percent)))
-    # Round one: the leader is the smallest id of a list.
-    head = shared.where("key = leader").select("token", F.col("n").alias("ln"), F.col("l").alias("ll"), F.col("r").alias("lr"))
-    star = stored(_by_leader(shared.join(head, "token"), percent))
-    links = stored(work.verify(star))
-    known = stored(components(links))
-    for turn in range(central_rounds + 1):
-        places = known.withColumnsRenamed({"id": "key", "component": "comp"})
-        rows = shared.drop("leader").join(places, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-        rows = stored(rows)
-        mixed = stored(
-            rows.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("many"))
-            .where("x <> y").select("token", "many")
-        )
-        rest = stored(rows.join(mixed, "token"))
-        if turn < central_rounds:
-            # The most central document of a list leads: the one whose lists are longest, or by another hash.
-            weight = rest.groupBy("key").agg(F.sum("many").alias("weight")) if turn == 0 else rest.groupBy("key").agg(
-                F.abs(F.xxhash64("key", F.lit(turn))).alias("weight")
-            )
-            ranked = stored(rest.join(stored(weight), "key"))
-            first = F.max(F.struct("weight", "key", "n", "l", "r", "comp")).alias("top")
-            tops = stored(ranked.groupBy("token").agg(first).select(
-                "token", F.col("top.key").alias("leader"), F.col("top.n").alias("ln"), F.col("top.l").alias("ll"),
-                F.col("top.r").alias("lr"), F.col("top.comp").alias("lcomp"),
-            ))
-            pairs = stored(_by_leader(ranked.join(tops, "token").where("comp <> lcomp"), percent))
-        else:
-            left = rest.select("token", *[F.col(c).alias(f"{c}a") for c in ("key", "n", "l", "r", "comp")])
-            right = rest.select("token", *[F.col(c).alias(f"{c}b") for c in ("key", "n", "l", "r", "comp")])
-            met = left.join(right, "token").where("compa < compb and ra <= lb and rb <= la").where(_fits(percent))
-            pairs = stored(
-                met.groupBy(F.col("keya").alias("a"), F.col("keyb").alias("b"), F.least("la", "lb").alias("least"))
-                .agg(F.count("*").alias("c")).where("c >= least").select("a", "b")
-            )
-        if pairs.limit(1).count():
-            fresh = work.verify(pairs)
-            links = stored(links.union(fresh))
-            known = stored(components(links))
+    own = [F.col(c).alias(f"l{c}") for c in ("n", "l", "r")]
+    head = shared.where("key = leader").select("token", "leader", *own)
+    smallest = _by_leader(shared.join(head, ["token", "leader"]), percent)
+    # The most central document of a list has the fewest prefix tokens that nobody shares.
+    cut = F.least(F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + F.col("l"), F.col("n"))
+    lost = stored(shared.groupBy("key").agg((F.count("*") - F.max(cut)).alias("lost")))
+    order = F.struct("lost", "key", "n", "l", "r")
+    tops = stored(shared.join(lost, "key").groupBy("token").agg(F.max(order).alias("top")).select(
+        "token", F.col("top.key").alias("leader"), *[F.col(f"top.{c}").alias(f"l{c}") for c in ("n", "l", "r")]
+    ))
+    central = _by_leader(shared.drop("leader").join(tops, "token"), percent)
+    stars = central.withColumn("central", F.lit(True)).union(smallest.withColumn("central", F.lit(False)))
+    compared = stored(work.compare(stored(stars.groupBy("a", "b").agg(F.max("central").alias("central")))))
+    links = work.linked(compared)
+    near = stored(components(links).select(F.col("id").alias("key"), F.col("component").alias("comp")))
+    around = compared.where("central").select(
+        F.col("a").alias("key"), F.col("na").alias("n"), F.col("b").alias("centre"), F.col("c").alias("o"), "d"
+    )
+    place = F.coalesce("comp", "key").alias("comp")
+    centred = stored(around.join(near, "key", "left").select("key", "n", "centre", "o", "d", place))
+    rows = stored(
+        shared.join(centred.select("key", "centre", "o"), "key", "left").join(near, "key", "left")
+        .select("token", "key", "n", "l", "r", place, "centre", "o")
+    )
+    pairs = stored(_crossing(rows, percent).union(_beside_centres(centred, percent)).distinct())
+    known = components(stored(links.union(work.linked(work.compare(pairs)))))
     found = classes.join(known.withColumnRenamed("id", "rep"), "rep", "left").select(
         "s1", "s2", F.coalesce("component", "rep").alias("component")
     )

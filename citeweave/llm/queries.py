@@ -8,14 +8,14 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.llm import language, ngram_join, quality, secrets, sentencepieces, sharding, topk, toxicity
+from citeweave.llm import language, ngram_join, quality, secret_scan, sentencepieces, sharding, topk, toxicity
 from citeweave.llm.common import fold, one_label, table
 from citeweave.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
-BASE_KINDS = [r.kind for r in secrets.BASE_RULES]
+BASE_KINDS = [r.kind for r in secret_scan.BASE_RULES]
 
 
 def query(name: str, oracle: str | None = None):
@@ -39,13 +39,13 @@ def _of_kind(kind: str) -> Column:
 
 @query("op1_secret_scans")
 def secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(table(spark, sf_dir, "documents"), {"doc_id": F.col("doc_id")})
+    found = secret_scan.scan(table(spark, sf_dir, "documents"), {"doc_id": F.col("doc_id")})
     base = F.filter("findings", lambda f: f["kind"].isin(BASE_KINDS))
     return found.select(
         "doc_id",
         *[_of_kind(k).alias(f"n_{k}") for k in BASE_KINDS],
-        F.sha2(secrets.joined(base).cast("binary"), 256).alias("base_sha256"),
-        secrets.joined(F.col("findings")).alias("spans"),
+        F.sha2(secret_scan.joined(base).cast("binary"), 256).alias("base_sha256"),
+        secret_scan.joined(F.col("findings")).alias("spans"),
     )
 
 
@@ -122,8 +122,7 @@ def bayes_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_sentencepiece")
 def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = sentencepieces.load(PIECES)
-    encoded = sentencepieces.encode(table(spark, sf_dir, "documents"), vocabulary, {"doc_id": F.col("doc_id")})
-    decoded = sentencepieces.decode(encoded, vocabulary, {"doc_id": F.col("doc_id"), "ids": F.col("ids")})
+    decoded = sentencepieces.round_trip(table(spark, sf_dir, "documents"), vocabulary, {"doc_id": F.col("doc_id")})
     return decoded.select(
         "doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("bigint").alias("n_pieces"), "ids",
         F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),

@@ -35,6 +35,8 @@ from citeweave.llm.textops import _BASE, _BYTE, _INVERSE, powers, ranges, row_su
 MARK = "▁"
 BLANK = 0x20
 UNKNOWN_PENALTY = 10.0
+ROWS = 250
+ENCODE_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -220,7 +222,7 @@ class Codec:
         if pc.any(pc.match_substring(column, MARK)).as_py():
             column = pc.replace_substring(column, MARK, " ")
         parts, sizes = [], []
-        for _, _, data, offsets in slices(column):
+        for _, _, data, offsets in slices(column, ENCODE_BYTES):
             filled = np.flatnonzero(np.diff(offsets) > 0)
             data = np.insert(data, offsets[filled], BLANK)
             offsets = offsets + np.append(0, np.cumsum(np.diff(offsets) > 0))
@@ -272,29 +274,40 @@ class Codec:
         return pc.if_else(column.is_valid(), texts, pa.scalar(None, pa.string()))
 
 
-def _apply(df: DataFrame, keep: dict[str, Column], source: str, vocabulary: Vocabulary, decode: bool) -> DataFrame:
+def _apply(
+    df: DataFrame, keep: dict[str, Column], source: str, vocabulary: Vocabulary, ids: bool, text: bool
+) -> DataFrame:
     kept = df.select(*[c.alias(n) for n, c in keep.items()], F.col(source).alias("__in"))
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
-    names, name, kind = list(keep), *(("text", "string") if decode else ("ids", "array<int>"))
+    names, more = list(keep), [n for n, wanted in (("ids", ids), ("text", text)) if wanted]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(shared.value)
         for batch in batches:
-            for low in range(0, batch.num_rows, 1000):
-                part = batch.slice(low, 1000)
-                column = part.column(len(names))
-                out = codec.decode(column) if decode else codec.encode(column)
-                yield pa.record_batch([*part.columns[: len(names)], out], [*names, name])
+            for low in range(0, batch.num_rows, ROWS):
+                part = batch.slice(low, ROWS)
+                out = [part.column(len(names))]
+                if ids:
+                    out.append(codec.encode(out[-1]))
+                if text:
+                    out.append(codec.decode(out[-1]))
+                yield pa.record_batch([*part.columns[: len(names)], *out[1:]], [*names, *more])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(run, f"{schema}, {name} {kind}")
+    kinds = {"ids": "array<int>", "text": "string"}
+    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]]
+    return kept.mapInArrow(run, ", ".join([*schema, *[f"{n} {kinds[n]}" for n in more]]))
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, keep: dict[str, Column], text: str = "text") -> DataFrame:
     """``keep`` columns plus ids, the best segmentation of the whole text."""
-    return _apply(docs, keep, text, vocabulary, False)
+    return _apply(docs, keep, text, vocabulary, True, False)
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, keep: dict[str, Column], ids: str = "ids") -> DataFrame:
     """``keep`` columns plus text."""
-    return _apply(encoded, keep, ids, vocabulary, True)
+    return _apply(encoded, keep, ids, vocabulary, False, True)
+
+
+def round_trip(docs: DataFrame, vocabulary: Vocabulary, keep: dict[str, Column], text: str = "text") -> DataFrame:
+    """``keep`` columns plus ids and text, the ids decoded again, in one pass."""
+    return _apply(docs, keep, text, vocabulary, True, True)
