@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.llm import language, ngram_join, quality, secret_scan, sentencepieces, sharding, topk, toxicity
+from citeweave.llm import language, ngram_join, quality, secret_scan, sentencepieces, sharding, substring, topk, toxicity
 from citeweave.llm.common import fold, one_label, table
 from citeweave.session import ship_package
 
@@ -135,3 +135,26 @@ def positive_unlabelled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     positives = one_label(table(spark, sf_dir, "labels").where(~held_out), "doc_id", "quality").where("y = 1")
     scored = quality.classify(docs, positives, {"doc_id": F.col("doc_id"), "held_out": held_out})
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+SUBSTRING_SQL = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS (
+  SELECT doc_id, i, md5(array_to_string(w[i : i + 19], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM w WHERE len(w) >= 20)),
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS place FROM s),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM f WHERE place > 1),
+per AS (SELECT doc_id, list(i) AS gone, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(per.n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(array_to_string(
+    CASE WHEN per.n IS NULL THEN w.w ELSE list_filter(w.w, lambda x, k: NOT list_contains(per.gone, k)) END, ' '), ''))
+  AS kept_sha256
+FROM w LEFT JOIN per USING (doc_id)
+"""
+
+
+@query("op10_substring_dedup", SUBSTRING_SQL)
+def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.deduplicate(table(spark, sf_dir, "documents"))
