@@ -277,19 +277,29 @@ def _crossing(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def _beside_centres(centred: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of different components with the same centre; ``centred``: (key, n, centre, o, d, comp)."""
+    """Candidate pairs of different components with the same centre; ``centred``: (key, n, centre, o, d, comp).
+
+    A pair needs ``s`` common tokens beside the centre. Of its shared tokens, rare ones first, the first common
+    one is then among the first ``w - s + 1`` of w on either side.
+    """
     flat = centred.select("key", "n", "centre", "o", "comp", F.explode("d").alias("token"))
-    mixed = flat.groupBy("centre", "token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
-    rest = stored(flat.join(stored(mixed.select("centre", "token")), ["centre", "token"]))
-    fields = ("key", "n", "o", "comp")
-    left = rest.select("centre", "token", *[F.col(c).alias(f"{c}a") for c in fields])
-    right = rest.select("centre", "token", *[F.col(c).alias(f"{c}b") for c in fields])
-    met = left.join(right, ["centre", "token"]).where("compa < compb").where(_fits(percent))
-    counted = met.groupBy(F.col("keya").alias("a"), F.col("keyb").alias("b")).agg(
-        F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"),
-        F.first(F.least("oa", "ob")).alias("o"),
+    mixed = flat.groupBy("centre", "token").agg(
+        F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("many")
+    ).where("x <> y")
+    rest = flat.join(stored(mixed.select("centre", "token", "many")), ["centre", "token"])
+    own = Window.partitionBy("key")
+    placed = stored(
+        rest.withColumn("at", F.row_number().over(own.orderBy("many", "token"))).withColumn("w", F.count("*").over(own))
     )
-    return counted.where((100 + percent) * (F.col("o") + F.col("c")) >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
+    fields = ("key", "n", "o", "comp", "at", "w")
+    left = placed.select("centre", "token", *[F.col(c).alias(f"{c}a") for c in fields])
+    right = placed.select("centre", "token", *[F.col(c).alias(f"{c}b") for c in fields])
+    common = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / (100 + percent))
+    short = F.greatest(F.lit(1), common - F.least("oa", "ob"))
+    met = left.join(right, ["centre", "token"]).where("compa < compb").where(_fits(percent))
+    return met.where((F.col("ata") <= F.col("wa") - short + 1) & (F.col("atb") <= F.col("wb") - short + 1)).select(
+        F.col("keya").alias("a"), F.col("keyb").alias("b")
+    ).distinct()
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
