@@ -12,8 +12,9 @@ smallest hash (leftmost first) is its anchor, equal windows have equal anchors a
 anchor at a single place in the corpus means that none of its windows repeats. Anchors are counted
 with task-side and map-side sums; the repeated ones fill a bitmap of fixed size, and only windows
 whose anchor is in it reach the index. When very many anchors repeat, the bitmap lets more windows
-pass, never fewer: results do not depend on it. A task sends each distinct window once, with its
-first place, and marks the others itself, so no window has more rows than there are batches.
+pass, never fewer: results do not depend on it. Of equal windows in a batch only the first takes part
+in the search for the first occurrence; the others know an earlier one, so no window gathers more rows
+than there are batches.
 
 Defined results: null, empty and blank texts have no word; a null id takes no part (its text stays
 whole and is no source); rows with the same id count as one document; extra columns are not read.
@@ -124,20 +125,27 @@ def matches(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int
             rows, starts, hashes = rows[order], starts[order], hashes[order]
             first = np.ones(len(hashes), bool)
             first[1:] = hashes[1:] != hashes[:-1]
+            origin = np.flatnonzero(first)[np.cumsum(first) - 1]
+            # Later occurrences know an earlier one already: any key will do to deal them out evenly.
+            dealt = np.where(first, hashes, mix(hashes + np.arange(len(hashes), dtype=np.uint64)))
+            names = batch.column(0)
             yield pa.record_batch(
                 [
-                    pa.array(hashes.view(np.int64)), batch.column(0).take(pa.array(rows)), pa.array(starts, pa.int32()),
-                    pa.array(first),
+                    pa.array(dealt.view(np.int64)), names.take(pa.array(rows)), pa.array(starts, pa.int32()),
+                    names.take(pa.array(rows[origin], mask=first)), pa.array(starts[origin], pa.int32(), mask=first),
                 ],
-                ["window", "key", "start", "first"],
+                ["window", "key", "start", "source", "source_start"],
             )
 
     kind = named.schema["key"].dataType.simpleString()
-    rows = named.mapInArrow(look, f"window bigint, key {kind}, start int, first boolean")
-    same = Window.partitionBy("window")
-    source = F.min(F.struct("key", "start")).over(same)
-    return rows.withColumn("source", source).where(F.struct("key", "start") != F.col("source")).select(
-        "key", "start", F.col("source.key").alias("source"), F.col("source.start").alias("source_start")
+    rows = named.mapInArrow(look, f"window bigint, key {kind}, start int, source {kind}, source_start int")
+    place = F.struct("key", "start")
+    earliest = F.min(F.when(F.col("source").isNull(), place)).over(Window.partitionBy("window"))
+    source = F.when(F.col("source").isNull(), earliest).otherwise(
+        F.struct(F.col("source").alias("key"), F.col("source_start").alias("start"))
+    )
+    return rows.withColumn("earliest", source).where(place != F.col("earliest")).select(
+        "key", "start", F.col("earliest.key").alias("source"), F.col("earliest.start").alias("source_start")
     )
 
 
