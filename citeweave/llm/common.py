@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,3 +36,36 @@ def one_label(labels: DataFrame, key: str, label: str) -> DataFrame:
         .groupBy(F.col(key).alias("key"))
         .agg(F.min(F.col(label)).cast("int").alias("y"))
     )
+
+
+def array_total(rows: DataFrame, length: int, partial, slab: int = 1 << 12) -> np.ndarray:
+    """Sum over all tasks of the ``length`` numbers that ``partial(batch)`` gives for each batch of ``rows``.
+
+    A task adds up its batches and sends slabs; slabs are added in two levels, so no group is larger than the
+    number of tasks divided by 64, and the driver gets one sum.
+    """
+
+    def add_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(length)
+        for batch in batches:
+            total += partial(batch)
+        starts = range(0, length, slab)
+        part = TaskContext.get().partitionId() % 64
+        yield pa.record_batch(
+            [
+                pa.array(starts, pa.int32()), pa.array([part] * len(starts), pa.int32()),
+                pa.array([total[s : s + slab].astype("<f8").tobytes() for s in starts], pa.binary()),
+            ],
+            ["start", "part", "sums"],
+        )
+
+    def add(frame):
+        total = np.sum([np.frombuffer(b, "<f8") for b in frame["sums"]], axis=0)
+        return frame.iloc[:1].assign(sums=[total.astype("<f8").tobytes()])
+
+    kind = "start int, part int, sums binary"
+    sums = rows.mapInArrow(add_batches, kind).groupBy("start", "part").applyInPandas(add, kind)
+    out = np.zeros(length)
+    for row in sums.groupBy("start").applyInPandas(add, kind).collect():
+        out[row.start : row.start + slab] = np.frombuffer(row.sums, "<f8")
+    return out

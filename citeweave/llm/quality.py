@@ -213,13 +213,20 @@ def score(rows: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     return rows.select(*keep, (1 / (1 + F.exp(-logit))).alias("score"))
 
 
-def classify(
-    docs: DataFrame, positives: DataFrame, keep: dict[str, Column], key: str = "doc_id", text: str = "text"
+def training_rows(
+    docs: DataFrame, positives: DataFrame, keep: dict[str, Column] | None = None, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """Score every document; ``positives`` has the distinct ids (``key``) of trusted ones."""
+    """Stored (``keep``, x, positive) of every document; ``positives`` has the distinct ids (``key``) of trusted ones."""
+    keep = keep or {}
     measured = featurise(docs, {**keep, "__key": F.col(key)}, text)
     marks = positives.select(F.col("key").alias("__key"), F.lit(True).alias("__mark"))
-    rows = stored(
-        measured.join(marks, "__key", "left").select(*keep, "x", F.coalesce("__mark", F.lit(False)).alias("positive"))
-    )
+    joined = measured.join(marks, "__key", "left")
+    return stored(joined.select(*keep, "x", F.coalesce("__mark", F.lit(False)).alias("positive")))
+
+
+def classify(
+    docs: DataFrame, positives: DataFrame, keep: dict[str, Column], key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """``keep`` columns plus score of every document."""
+    rows = training_rows(docs, positives, keep, key, text)
     return score(rows, fit(rows), list(keep))

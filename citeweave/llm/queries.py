@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.llm import language, ngram_join, quality, secret_scan, sentencepieces, sharding, substring, topk, toxicity
+from citeweave.llm import decontaminate, language, ngram_join, quality, secret_scan, sentencepieces, sharding, substring, topk, toxicity
 from citeweave.llm.common import fold, one_label, table
 from citeweave.session import ship_package
 
@@ -112,6 +112,11 @@ def jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
+@query("op6_decontamination")
+def benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op7_language")
 def bayes_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
