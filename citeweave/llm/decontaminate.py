@@ -30,10 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeweave.llm.common import array_total
-from citeweave.llm.textops import raw, row_sums, slices, words
+from citeweave.llm.textops import ranges, raw, row_sums, slices, words
 
 SIZE, STRIDE = 64, 32
-RANK = 64
+RANK = 32
 BLOCK = 2000
 MAX_SHARE = 0.05
 COSINE = 0.2
@@ -113,7 +113,18 @@ def weights(space: Space, edges: np.ndarray, terms: np.ndarray, times: np.ndarra
     """TF-IDF of each pair, passages scaled to length one."""
     value = (1 + np.log(times)) * space.idf[terms]
     norm = np.sqrt(row_sums(value**2, edges))
-    return value / np.repeat(np.where(norm > 0, norm, 1), np.diff(edges))
+    return (value / np.repeat(np.where(norm > 0, norm, 1), np.diff(edges))).astype(np.float32)
+
+
+def _product(value: np.ndarray, dense: np.ndarray, columns: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Sparse rows (``value`` at ``columns``, cut by ``edges``) times a dense matrix."""
+    out = np.zeros((len(edges) - 1, dense.shape[1]), np.float32)
+    filled = np.flatnonzero(np.diff(edges) > 0)
+    if len(filled):
+        picked = dense[columns]
+        picked *= value[:, None]
+        out[filled] = np.add.reduceat(picked, edges[filled], axis=0)
+    return out
 
 
 def _fit(docs: DataFrame, items: list[np.ndarray], rank: int, max_share: float) -> Space:
@@ -134,7 +145,7 @@ def _fit(docs: DataFrame, items: list[np.ndarray], rank: int, max_share: float)
     counted = array_total(docs.select("text"), size + 1, frequencies)
     df, n = counted[:size], counted[size]
     idf = np.where(df <= max_share * n, np.log((n + 1) / (df + 1)) + 1e-6, 0.0)
-    random = np.random.default_rng(7).standard_normal((size, rank))
+    random = np.random.default_rng(7).standard_normal((size, rank)).astype(np.float32)
     weighted = Space(vocabulary, slots, idf, random)
     used = idf > 0
 
@@ -144,17 +155,17 @@ def _fit(docs: DataFrame, items: list[np.ndarray], rank: int, max_share: float)
             _, begin, edges, terms, times = passages(words(data, offsets, lower=True), weighted, used)
             if not len(terms):
                 continue
-            value = weights(weighted, edges, terms, times)[:, None]
-            projected = row_sums(value * random[terms], edges)
-            back = value * np.repeat(projected, np.diff(edges), axis=0)
+            value = weights(weighted, edges, terms, times)
+            owner = np.repeat(np.arange(len(begin)), np.diff(edges))
+            projected = _product(value, random, terms, edges)
             order = np.argsort(terms, kind="stable")
             first = np.searchsorted(terms[order], np.arange(size + 1))
-            total += row_sums(back[order], first)
+            total += _product(value[order], projected, owner[order], first)
         return total.ravel()
 
     summed = array_total(docs.select("text"), size * rank, power).reshape(size, rank)
     basis = np.linalg.qr(summed)[0] if size >= rank and summed.any() else random
-    return Space(vocabulary, slots, idf, np.ascontiguousarray(basis))
+    return Space(vocabulary, slots, idf, np.ascontiguousarray(basis, np.float32))
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
@@ -164,7 +175,7 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
 
 def _retrieve(docs: DataFrame, space: Space, items: list[tuple], least: float, cosine: float) -> DataFrame:
     used = space.idf > 0
-    held = np.zeros((len(space.vocabulary), len(items)), np.float32)
+    held = np.zeros((len(space.vocabulary), len(items)), np.int8)
     latent = np.zeros((len(items), space.basis.shape[1]))
     loose = np.zeros(len(items), bool)
     for i, (_, sequence, _) in enumerate(items):
@@ -173,8 +184,8 @@ def _retrieve(docs: DataFrame, space: Space, items: list[tuple], least: float, c
         loose[i] = not kept.any()
         held[ids if loose[i] else ids[kept], i] = 1
         latent[i] = ((1 + np.log(times)) * space.idf[ids]) @ space.basis[ids]
-    latent = _unit(latent)
-    enough = np.ceil(held.sum(axis=0) / 2)
+    latent = _unit(latent).astype(np.float32)
+    enough = np.maximum(np.ceil(held.sum(axis=0, dtype=np.int64) / 2), 1)
     shared = docs.sparkSession.sparkContext.broadcast((space, items, held, latent, loose, enough))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,12 +197,27 @@ def _retrieve(docs: DataFrame, space: Space, items: list[tuple], least: float, c
             for low, _, data, offsets in slices(batch.column(1), 1 << 20):
                 found = words(data, offsets, lower=True)
                 rows, begin, edges, terms, times = passages(found, space, use)
+                if not len(terms):
+                    continue
+                # Passages with too few terms for any item cannot pass the check.
+                long = np.flatnonzero(np.diff(edges) >= enough.min())
+                sizes = np.diff(edges)[long]
+                chosen = ranges(edges[long], sizes)
+                rows, begin, terms, times = rows[long], begin[long], terms[chosen], times[chosen]
+                edges = np.append(0, np.cumsum(sizes))
                 if not len(terms):
                     continue
                 value = weights(space, edges, terms, times)
-                near = _unit(row_sums(value[:, None] * space.basis[terms], edges)) @ latent.T
-                present = row_sums(held[terms], edges)
-                where, item = np.nonzero(((near >= cosine) | loose) & (present >= enough))
+                near = _unit(_product(value, space.basis, terms, edges)) @ latent.T
+                where, item = np.nonzero((near >= cosine) | loose)
+                lengths = np.diff(edges)[where]
+                some = lengths >= enough[item]
+                where, item, lengths = where[some], item[some], lengths[some]
+                if not len(where):
+                    continue
+                hits = held[terms[ranges(edges[where], lengths)], np.repeat(item, lengths)]
+                present = row_sums(hits, np.append(0, np.cumsum(lengths))) >= enough[item]
+                where, item = where[present], item[present]
                 for p, i in zip(where.tolist(), item.tolist(), strict=True):
                     places, length, answer, answer_length = checks[i]
                     row = rows[p]
