@@ -228,6 +228,16 @@ def index(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple
     return kept.mapInArrow(build, f"trigram string, key {kept.schema['key'].dataType.simpleString()}")
 
 
+def _found(scanner: Scanner, column: pa.Array) -> list[list[tuple[int, int, int]]]:
+    """Findings of every text of a batch, segment by segment."""
+    found: list[list[tuple[int, int, int]]] = []
+    for start, stop, data, offsets in slices(column):
+        postings = scanner.postings(data, offsets)
+        rows = {n: scanner.candidates(q, postings, stop - start).tolist() for n, q in enumerate(scanner.queries)}
+        found += scanner.findings(column.slice(start, stop - start).to_pylist(), rows)
+    return found
+
+
 def scan(docs: DataFrame, keep: dict[str, Column], text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``keep`` columns plus findings: array of (kind, start, end) by start and then rule order."""
     kept = docs.select(*[c.alias(n) for n, c in keep.items()], F.col(text).alias("__text"))
@@ -237,13 +247,7 @@ def scan(docs: DataFrame, keep: dict[str, Column], text: str = "text", rules: tu
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(rules)
         for batch in batches:
-            column, found = batch.column(len(names)), []
-            for start, stop, data, offsets in slices(column):
-                postings = scanner.postings(data, offsets)
-                rows = {
-                    n: scanner.candidates(q, postings, stop - start).tolist() for n, q in enumerate(scanner.queries)
-                }
-                found += scanner.findings(column.slice(start, stop - start).to_pylist(), rows)
+            found = _found(scanner, batch.column(len(names)))
             spans = [[{"kind": rules[n].kind, "start": s, "end": e} for s, e, n in f] for f in found]
             yield pa.record_batch([*batch.columns[: len(names)], pa.array(spans, kind)], [*names, "findings"])
 
@@ -259,23 +263,24 @@ def joined(findings: Column) -> Column:
 def redact(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents with every finding replaced by ``[kind]``; overlapping findings become one."""
     columns = docs.columns
-    found = scan(docs, {c: F.col(f"`{c}`") for c in columns}, text, rules)
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = columns.index(text)
+        scanner, at = Scanner(rules), columns.index(text)
         for batch in batches:
-            out = []
-            for value, spans in zip(batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist(), strict=True):
-                if spans:
+            found = _found(scanner, batch.column(at))
+            changed = [i for i, spans in enumerate(found) if spans]
+            if changed:
+                values = batch.column(at).to_pylist()
+                for i in changed:
                     parts, done = [], 0
-                    for span in spans:
-                        if span["start"] >= done:
-                            parts += [value[done : span["start"]], f"[{span['kind']}]"]
-                        done = max(done, span["end"])
-                    value = "".join([*parts, value[done:]])
-                out.append(value)
-            whole = list(batch.columns[: len(columns)])
-            whole[at] = pa.array(out, pa.string())
-            yield pa.record_batch(whole, columns)
-
-    return found.mapInArrow(rewrite, docs.schema)
+                    for start, end, number in found[i]:
+                        if start >= done:
+                            parts += [values[i][done:start], f"[{rules[number].kind}]"]
+                        done = max(done, end)
+                    values[i] = "".join([*parts, values[i][done:]])
+                whole = list(batch.columns)
+                whole[at] = pa.array(values, pa.string())
+                batch = pa.record_batch(whole, columns)
+            yield batch
+
+    return docs.mapInArrow(rewrite, docs.schema)
