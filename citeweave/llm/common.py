@@ -38,6 +38,11 @@ def one_label(labels: DataFrame, key: str, label: str) -> DataFrame:
     )
 
 
+def ddl(kept: DataFrame, *more: str) -> str:
+    """Schema text: the columns of ``kept`` but its last, which is the input, and ``more``."""
+    return ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]], *more])
+
+
 def array_total(rows: DataFrame, length: int, partial, slab: int = 1 << 12) -> np.ndarray:
     """Sum over all tasks of the ``length`` numbers that ``partial(batch)`` gives for each batch of ``rows``.
 

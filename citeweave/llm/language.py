@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import stored
+from citeweave.llm.common import ddl, stored
 from citeweave.llm.textops import row_sums
 
 UNKNOWN = "und"
@@ -149,5 +149,4 @@ def predict(docs: DataFrame, model: Model, keep: dict[str, Column], text: str =
                 [*names, "lang_pred", "score"],
             )
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(score, f"{schema}, lang_pred string, score double")
+    return kept.mapInArrow(score, ddl(kept, "lang_pred string", "score double"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import stored
+from citeweave.llm.common import ddl, stored
 from citeweave.llm.textops import list_array, row_sums, slices, words
 
 FEATURES = (
@@ -103,8 +103,7 @@ def featurise(docs: DataFrame, keep: dict[str, Column], text: str = "text") -> D
                 [*batch.columns[: len(names)], list_array(flat.ravel(), first, pa.float32())], [*names, "x"]
             )
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(measure, f"{schema}, x array<float>")
+    return kept.mapInArrow(measure, ddl(kept, "x array<float>"))
 
 
 @dataclass(frozen=True)

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citeweave.llm.common import ddl
 from citeweave.llm.textops import LOWER, slices
 
 try:
@@ -251,8 +252,7 @@ def scan(docs: DataFrame, keep: dict[str, Column], text: str = "text", rules: tu
             spans = [[{"kind": rules[n].kind, "start": s, "end": e} for s, e, n in f] for f in found]
             yield pa.record_batch([*batch.columns[: len(names)], pa.array(spans, kind)], [*names, "findings"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(find, f"{schema}, findings array<struct<kind:string,start:int,end:int>>")
+    return kept.mapInArrow(find, ddl(kept, "findings array<struct<kind:string,start:int,end:int>>"))
 
 
 def joined(findings: Column) -> Column:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import stored
+from citeweave.llm.common import ddl, stored
 
 PER_CLASS = 2000
 MAX_TERMS = 256
@@ -243,7 +243,6 @@ def score(docs: DataFrame, model: Model, keep: dict[str, Column], text: str = "t
                 [*batch.columns[: len(names)], pa.array(scores), pa.array(proof, kind)], [*names, "score", "evidence"]
             )
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
     return kept.mapInArrow(
-        judge, f"{schema}, score double, evidence array<struct<example:bigint,label:int,cosine:double>>"
+        judge, ddl(kept, "score double", "evidence array<struct<example:bigint,label:int,cosine:double>>")
     )
