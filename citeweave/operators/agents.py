@@ -87,68 +87,6 @@ def review_response(rows: DataFrame) -> DataFrame:
     )
 
 
-def run_bounded(
-    threads: DataFrame, maximum_steps: int = 12, maximum_tool_calls: int = 8, maximum_retrieval_attempts: int = 3
-) -> DataFrame:
-    """Run the evidence policy per thread to its terminal state.
-
-    ``threads(thread_id, attempts, citations_valid)`` where ``attempts`` lists
-    the outcome of each retrieval (``evidence_ids``, ``sufficient``) up to the
-    retrieval budget. Budgets bound the fold, so it is one expression per row.
-    New evidence is assessed again before the next decision.
-    """
-    state = "struct<step:int,calls:int,retrievals:int,evidence:array<string>,sufficient:boolean,reason:string,path:array<string>>"
-    start = F.struct(
-        F.lit(0), F.lit(0), F.lit(0), F.array().cast("array<string>"), F.lit(None).cast("boolean"),
-        F.lit(None).cast("string"), F.array().cast("array<string>"),
-    ).cast(state)
-
-    def advance(acc: Column, _: Column) -> Column:
-        empty = F.size(acc["evidence"]) == 0
-        unknown = acc["sufficient"].isNull()
-        check = ~empty & unknown
-        answer = ~empty & F.coalesce(acc["sufficient"], F.lit(False))
-        spent = acc["retrievals"] >= maximum_retrieval_attempts
-        refuse = ~empty & ~unknown & ~acc["sufficient"] & spent
-        fetch = ~check & ~answer & ~refuse
-        over_budget = (fetch | check) & (acc["calls"] >= maximum_tool_calls)
-        stop = acc["step"] >= maximum_steps
-        attempt = F.try_element_at(F.col("attempts"), acc["retrievals"] + 1)
-        judged = F.try_element_at(F.col("attempts"), acc["retrievals"])
-        reason = (
-            F.when(stop, "step_budget_exhausted")
-            .when(over_budget, "tool_budget_exhausted")
-            .when(answer, F.when(F.col("citations_valid"), "answer_completed").otherwise("citation_validation_failure"))
-            .when(refuse | (fetch & spent), "grounded_refusal")
-        )
-        event = (
-            F.when(stop, "stop").when(over_budget, "stop").when(answer, "generate")
-            .when(refuse | (fetch & spent), "refuse").when(check, "check_evidence_sufficiency")
-            .otherwise("hybrid_retrieve")
-        )
-        acts = reason.isNull()
-        found = F.coalesce(attempt["evidence_ids"], F.array().cast("array<string>"))
-        moved = F.struct(
-            F.when(stop, acc["step"]).otherwise(acc["step"] + 1),
-            acc["calls"] + (acts & (fetch | check)).cast("int"),
-            acc["retrievals"] + (acts & fetch).cast("int"),
-            F.when(acts & fetch, F.array_union(acc["evidence"], found)).otherwise(acc["evidence"]),
-            F.when(acts & fetch, F.lit(None).cast("boolean"))
-            .when(acts & check, F.coalesce(judged["sufficient"], F.lit(False)))
-            .otherwise(acc["sufficient"]),
-            reason,
-            F.concat(acc["path"], F.array(event)),
-        ).cast(state)
-        return F.when(acc["reason"].isNotNull(), acc).otherwise(moved)
-
-    final = F.aggregate(F.sequence(F.lit(1), F.lit(maximum_steps + 1)), start, advance)
-    return threads.select("thread_id", final.alias("s")).select(
-        "thread_id", F.col("s.step").alias("steps"), F.col("s.calls").alias("tool_calls"),
-        F.col("s.retrievals").alias("retrieval_attempts"), F.size("s.evidence").alias("evidence_count"),
-        F.col("s.reason").alias("termination_reason"), F.col("s.path").alias("trajectory"),
-    )
-
-
 def trajectory_metrics(observations: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Behaviour, recovery and efficiency rates over (case, run) rows."""
     keys = keys or []

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeweave.functions import text as T
@@ -54,11 +54,13 @@ def mix(
 ) -> DataFrame:
     """Interleave facet hits, then the original ranking.
 
-    ``hits(search_id, chunk_id, rank, score)`` is cut to the search depth, so
+    ``hits(search_id, chunk_id, rank, score)`` is cut to the search depth or ``k``, whichever is larger, so
     every per-query window here is bounded. The interleaving is one sort key
     ``(phase, position, facet_no)`` with the smallest key kept per chunk.
     """
-    bounded = fits(searches, per_row=max(k, SEARCH_DEPTH))
+    depth = max(k, SEARCH_DEPTH)
+    hits = hits.where(F.col("rank") <= depth)
+    bounded = fits(searches, per_row=depth)
     placed = chunks.select("chunk_id", "text").join(
         small(hits.join(small(searches, bounded), "search_id"), bounded), "chunk_id"
     )
@@ -66,7 +68,8 @@ def mix(
         (F.col("facet_no") == 0)
         | T.contains_all_terms(T.token_set(F.col("text")), F.col("required_terms"))
     )
-    positioned = top_k(matching, ["search_id"], [F.asc("rank")], 1000, "position")
+    by_rank = Window.partitionBy("search_id").orderBy("rank")
+    positioned = matching.withColumn("position", F.row_number().over(by_rank))
     counts = (
         positioned.groupBy("query_id")
         .agg(

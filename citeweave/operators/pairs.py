@@ -32,7 +32,7 @@ def hard_negatives(neighbours: DataFrame, excluded: DataFrame | None = None) ->
         F.least("anchor_id", "candidate_id").alias("left_id"),
         F.greatest("anchor_id", "candidate_id").alias("right_id"),
         "cosine_similarity",
-    ).distinct()
+    ).groupBy("left_id", "right_id").agg(F.max("cosine_similarity").alias("cosine_similarity"))
     if excluded is None:
         return pairs
     ordered = excluded.select(

@@ -49,11 +49,29 @@ class SelectionSettings:
     priority: list[str]
 
 
+def selection_gaps(selected: DataFrame, documents: DataFrame, settings: SelectionSettings) -> DataFrame:
+    """(source_query, minimum, selected): minimums that the selection does not meet, and one row without a
+    query if the minimums together exceed the target. No row means that the selection is valid."""
+    spark = selected.sparkSession
+    wanted = spark.createDataFrame(list(settings.minimums.items()), "source_query string, minimum int")
+    held = (
+        selected.where("status = 'selected'").select("document_id")
+        .join(documents.select("document_id", F.explode(F.array_distinct("source_queries")).alias("source_query")), "document_id")
+        .groupBy("source_query").agg(F.count("*").alias("selected"))
+    )
+    unmet = wanted.join(held, "source_query", "left").select(
+        "source_query", "minimum", F.coalesce("selected", F.lit(0)).cast("bigint").alias("selected")
+    ).where("selected < minimum")
+    total = sum(settings.minimums.values())
+    above = [(None, total, settings.target)] if total > settings.target else []
+    return unmet.union(spark.createDataFrame(above, "source_query string, minimum int, selected bigint"))
+
+
 def select_sources(documents: DataFrame, settings: SelectionSettings) -> DataFrame:
     """Fill per-query minimums in order, then the target by rank.
 
     ``documents`` as for ``title_families`` plus ``source_queries``. Every pick
-    lies within the first ``target`` ranked documents of its query or of the
+    lies within the first ``target`` (or minimum) ranked documents of its query or of the
     whole table, so the greedy steps run on that bounded pool while ranking,
     deduplication and the final labels stay distributed over the full table.
     """
@@ -66,10 +84,10 @@ def select_sources(documents: DataFrame, settings: SelectionSettings) -> DataFra
     wanted = list(settings.minimums)
     per_query = top_k(
         ranked.withColumn("q", F.explode(F.array_distinct(F.filter("source_queries", lambda s: s.isin(*wanted))))),
-        ["q"], place, settings.target, "r",
+        ["q"], place, max(settings.target, *settings.minimums.values(), 1), "r",
     ).drop("q", "r")
     pool = per_query.unionByName(ranked.orderBy(*place).limit(settings.target)).dropDuplicates(["document_id"])
-    # The pool has at most (queries + 1) * target rows.
+    # The pool has at most (queries + 1) * max(target, minimums) rows.
     pool = pool.withColumn("reason", F.lit(None).cast("string"))
     for query, minimum in settings.minimums.items():
         member = F.array_contains("source_queries", query)

@@ -9,8 +9,9 @@ splits the join partitions of such keys. Lineage is cut by ``checkpoint()``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from citeweave.functions.hashing import stable_fraction
 from citeweave.operators.scale import running_totals
@@ -50,6 +51,13 @@ def components(edges: DataFrame, maximum_rounds: int = 40) -> DataFrame:
     return current.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
+def _padded(links: DataFrame, name: Column) -> Column:
+    """Integer ids get leading zeros so that text order is their order; other ids stay as they are."""
+    if isinstance(links.schema["example_id"].dataType, IntegralType):
+        return F.lpad(name.cast("string"), 19, "0")
+    return name.cast("string")
+
+
 def example_components(links: DataFrame) -> DataFrame:
     """Component per example for ``links(example_id, document_id)``.
 
@@ -65,7 +73,7 @@ def example_components(links: DataFrame) -> DataFrame:
         found.withColumnRenamed("node", "example_id"), "example_id", "left"
     ).select(
         "example_id",
-        F.concat(F.lit("e"), F.lpad(F.coalesce("component", "example_id").cast("string"), 19, "0")).alias("component"),
+        F.concat(F.lit("e"), _padded(links, F.coalesce("component", "example_id"))).alias("component"),
     )
 
 

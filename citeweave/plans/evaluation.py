@@ -647,58 +647,6 @@ def checkpoint_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agents.latest_checkpoint(rows)
 
 
-@query("agent_runs", None)
-def agent_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bounded runs: user turns are retrievals, the next reply decides sufficiency."""
-    rows = turns(spark, sf_dir)
-    first = rows.groupBy("conv_id").agg(
-        F.slice(
-            F.transform(
-                F.array_sort(F.collect_list(F.when(F.col("turn") < 12, F.struct("turn", "role", "chars")))), lambda t: t
-            ), 1, 12,
-        ).alias("t")
-    )
-    attempts = F.transform(
-        F.slice(F.filter("t", lambda x: x["role"] == "user"), 1, 3),
-        lambda x: F.struct(
-            F.array(F.concat(F.lit("T"), x["turn"].cast("string"))).alias("evidence_ids"), (x["chars"] > 120).alias("sufficient")
-        ),
-    )
-    threads = first.select(
-        F.col("conv_id").alias("thread_id"), attempts.alias("attempts"), (F.col("conv_id") % 11 != 0).alias("citations_valid")
-    )
-    return agents.run_bounded(threads).withColumn("trajectory", F.array_join("trajectory", ">"))
-
-
-@query(
-    "planner_decisions",
-    f"""WITH t AS ({_TURN_SQL}), s AS (SELECT conv_id, turn, chars, turn // 2 AS attempts, turn AS calls, (turn > 0) AS has, CASE WHEN turn % 2 = 1 THEN chars > 600 END AS suff,
-          CASE WHEN chars % 29 = 0 THEN 'answer_completed' END AS ended FROM t),
-        a AS (SELECT *, CASE WHEN ended IS NOT NULL THEN 'refuse' WHEN NOT has THEN 'tool' WHEN suff IS NULL THEN 'tool' WHEN suff THEN 'generate' WHEN attempts < 3 THEN 'tool' ELSE 'refuse' END AS action FROM s)
-        SELECT conv_id, turn, action, CASE WHEN action = 'tool' THEN CASE WHEN has AND suff IS NULL THEN 'check_evidence_sufficiency' ELSE 'hybrid_retrieve' END END AS selected_tool,
-          CASE WHEN action = 'tool' AND calls >= 8 THEN 'tool_budget_exhausted' WHEN action = 'tool' THEN 'execute_tool' WHEN action = 'generate' THEN 'generate' ELSE 'grounded_refusal' END AS route FROM a""",
-)
-def planner_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = turns(spark, sf_dir).select(
-        "conv_id", "turn", F.floor(F.col("turn") / 2).alias("retrieval_attempt_count"), F.lit(3).alias("maximum_retrieval_attempts"),
-        F.col("turn").alias("tool_call_count"), F.lit(8).alias("maximum_tool_calls"),
-        F.when(F.col("turn") > 0, F.array(F.lit("E1"))).otherwise(F.array().cast("array<string>")).alias("evidence_ids"),
-        F.when(F.col("turn") % 2 == 1, F.col("chars") > 600).alias("evidence_sufficient"),
-        F.when(F.col("chars") % 29 == 0, "answer_completed").alias("termination_reason"),
-    )
-    return agents.planner_decision(rows).select("conv_id", "turn", "action", "selected_tool", "route")
-
-
-@query(
-    "injected_faults",
-    """SELECT conv_id, turn, call_no, call_no IN (1, 3) AS faulted FROM
-       (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS call_no FROM conversations)""",
-)
-def injected_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = P.table(spark, sf_dir, "conversations").select("conv_id", "turn")
-    return agents.fault_on_calls(rows, "conv_id", "turn", [1, 3])
-
-
 @query(
     "vector_norms",
     "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm FROM embeddings",

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from citeweave.operators import integrity, leakage, selection, split
+from citeweave.operators import integrity, leakage, pairs, selection, split
 
 
 def union_find(links):
@@ -146,3 +146,25 @@ def test_record_tables(spark):
     ).withColumn("n", R.supervised_tokens(F.col("labels"))).first()
     assert row.labels == [-100, -100, 7, 8] and row.n == 2 and row.asset == "1:page:2:figure:003"
     assert [(m.role, m.content) for m in row.chat] == [("system", "s"), ("user", "u"), ("assistant", '{"answer":"x"}')]
+
+
+def test_long_text_ids_keep_their_components(spark):
+    links = spark.createDataFrame(
+        [("collection-2026-example-0001", "a"), ("collection-2026-example-0002", "b"), ("collection-2026-example-0003", "b")],
+        "example_id string, document_id string",
+    )
+    got = {r.example_id: r.component for r in split.example_components(links).collect()}
+    assert len(set(got.values())) == 2 and got["collection-2026-example-0002"] == got["collection-2026-example-0003"]
+
+
+def test_unmet_minimums_are_rows(spark):
+    selected = spark.createDataFrame([(1, "selected"), (2, "not_selected")], "document_id long, status string")
+    documents = spark.createDataFrame([(1, ["a"]), (2, ["a", "b"])], "document_id long, source_queries array<string>")
+    settings = selection.SelectionSettings(2, 1, {"a": 1, "b": 2}, [])
+    got = {(r.source_query, r.minimum, r.selected) for r in selection.selection_gaps(selected, documents, settings).collect()}
+    assert got == {("b", 2, 0), (None, 3, 2)}
+
+
+def test_doubled_pairs_become_one(spark):
+    near = spark.createDataFrame([(1, 2, 0.5, 1), (2, 1, 0.50000001, 1)], "anchor_id long, candidate_id long, cosine_similarity double, rank int")
+    assert [tuple(r) for r in pairs.hard_negatives(near).collect()] == [(1, 2, 0.50000001)]

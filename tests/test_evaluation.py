@@ -136,49 +136,6 @@ def test_review_flow(spark):
     assert (bounds["t"].micro_lower, bounds["t"].micro_upper) == (0.5, 1.0)
 
 
-def plain_run(attempts, valid, max_steps, max_calls, max_retrievals):
-    step = calls = used = 0
-    evidence, sufficient, path = [], None, []
-    while True:
-        if step >= max_steps:
-            return step, calls, used, len(evidence), "step_budget_exhausted"
-        step += 1
-        if not evidence:
-            tool = "retrieve"
-        elif sufficient is None:
-            tool = "check"
-        elif sufficient:
-            return step, calls, used, len(evidence), "answer_completed" if valid else "citation_validation_failure"
-        elif used < max_retrievals:
-            tool = "retrieve"
-        else:
-            return step, calls, used, len(evidence), "grounded_refusal"
-        if calls >= max_calls:
-            return step, calls, used, len(evidence), "tool_budget_exhausted"
-        if tool == "retrieve":
-            if used >= max_retrievals:
-                return step, calls, used, len(evidence), "grounded_refusal"
-            found = attempts[used][0] if used < len(attempts) else []
-            evidence += [e for e in found if e not in evidence]
-            used, sufficient = used + 1, None
-        else:
-            sufficient = attempts[used - 1][1] if used <= len(attempts) else False
-        calls += 1
-
-
-def test_bounded_agent_runs_against_a_loop(spark):
-    rng = random.Random(4)
-    threads = []
-    for i in range(60):
-        attempts = [([f"E{rng.randrange(4)}"] if rng.random() < 0.8 else [], rng.random() < 0.3) for _ in range(rng.randrange(0, 4))]
-        threads.append((str(i), attempts, rng.random() < 0.7))
-    rows = spark.createDataFrame(threads, "thread_id string, attempts array<struct<evidence_ids:array<string>,sufficient:boolean>>, citations_valid boolean")
-    for budget in ((12, 8, 3), (4, 8, 3), (12, 3, 3)):
-        got = {r.thread_id: (r.steps, r.tool_calls, r.retrieval_attempts, r.evidence_count, r.termination_reason) for r in agents.run_bounded(rows, *budget).collect()}
-        for thread_id, attempts, valid in threads:
-            assert got[thread_id] == plain_run(attempts, valid, *budget), (thread_id, attempts, budget)
-
-
 def test_small_agent_rules(spark):
     row = spark.createDataFrame([("Read TIMEOUT",), ("invalid json",), ("connection lost",), ("boom",)], "m string")
     assert [r[0] for r in row.select(agents.failure_class(F.col("m"))).collect()] == [
