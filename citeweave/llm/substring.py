@@ -122,12 +122,14 @@ def matches(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int
                 continue
             rows, starts, hashes = (np.concatenate(p) for p in zip(*parts, strict=True))
             order = np.lexsort((starts, rank[rows], hashes))
-            rows, starts, hashes = rows[order], starts[order], hashes[order]
-            first = np.ones(len(hashes), bool)
-            first[1:] = hashes[1:] != hashes[:-1]
-            origin = np.flatnonzero(first)[np.cumsum(first) - 1]
-            # Later occurrences know an earlier one already: any key will do to deal them out evenly.
-            dealt = np.where(first, hashes, mix(hashes + np.arange(len(hashes), dtype=np.uint64)))
+            new = np.ones(len(hashes), bool)
+            new[1:] = hashes[order][1:] != hashes[order][:-1]
+            origin = np.empty(len(hashes), np.int64)
+            origin[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(order) else order
+            first = origin == np.arange(len(hashes))
+            # Later occurrences know an earlier one already: any key will do to deal them out evenly. Rows stay in
+            # the documents' order, in which ids and starts compress well.
+            dealt = np.where(first, hashes, mix(np.arange(len(hashes), dtype=np.uint64) >> np.uint64(8)))
             names = batch.column(0)
             yield pa.record_batch(
                 [
