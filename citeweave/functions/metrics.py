@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from citeweave.functions.text import strip
+
 
 def as_double(value: Column) -> Column:
     return value.cast("double")
@@ -48,7 +50,7 @@ def service_status_class(status: Column) -> Column:
 
 
 def provider_kind(name: Column) -> Column:
-    folded = F.lower(F.trim(name))
+    folded = F.lower(strip(name))
     return (
         F.when(folded.isin("fake", "deterministic", "extractive"), F.lit("deterministic"))
         .when(folded.isin("transformers", "huggingface"), F.lit("local_model"))

@@ -7,6 +7,7 @@ Java, Python and RE2 read the same way.
 from __future__ import annotations
 
 import html
+import sys
 
 import pandas as pd
 from pyspark.sql import Column
@@ -51,6 +52,16 @@ SCOPE_MARKERS = [
 GENERIC_FACET_TERMS = ["a", "an", "and", "aircraft", "aircrafts", "system", "systems", "propulsion", "the"]
 # ---------------------------------------------------------------------------
 
+# Derived from the standard library's Unicode tables.
+_LETTERS = [chr(i) for i in range(sys.maxunicode + 1) if not 0xD800 <= i < 0xE000]
+BLANKS = "".join(c for c in _LETTERS if c.isspace())
+BLANK_RUN = f"[{BLANKS}]+"
+_FOLDED = {c: c.casefold() for c in _LETTERS if c.casefold() != c}
+FOLD_FROM = "".join(c for c, f in _FOLDED.items() if len(f) == 1)
+FOLD_TO = "".join(f for f in _FOLDED.values() if len(f) == 1)
+FOLD_LONG = {c: f for c, f in _FOLDED.items() if len(f) > 1}
+del _LETTERS
+
 
 def _literal_array(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
@@ -61,18 +72,34 @@ def _literal_map(values: dict[str, str]) -> Column:
 
 
 def fold_case(text: Column) -> Column:
-    """Lower-case plus the one casefold expansion that occurs in practice."""
-    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    """Unicode case folding: single letters by one translation, the others ("ß" to "ss") letter by letter.
+
+    ASCII texts, nearly all in practice, need neither.
+    """
+    single = F.translate(text, FOLD_FROM, FOLD_TO)
+    expanded = F.array_join(
+        F.transform(F.split(single, ""), lambda c: F.coalesce(F.try_element_at(_literal_map(FOLD_LONG), c), c)), ""
+    )
+    return (
+        F.when(~text.rlike("[^\\x00-\\x7f]"), F.lower(text))
+        .when(text.rlike(f"[{''.join(FOLD_LONG)}]"), expanded)
+        .otherwise(single)
+    )
+
+
+def strip(text: Column) -> Column:
+    """Without Unicode blanks at both ends."""
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def collapse(text: Column) -> Column:
-    """Collapse whitespace runs to one blank and trim both ends."""
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    """Collapse runs of Unicode blanks to one blank and trim both ends."""
+    return F.trim(F.regexp_replace(text, BLANK_RUN, " "))
 
 
 def words(text: Column) -> Column:
-    """Whitespace-separated words without empties."""
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    """Words between Unicode blanks, without empties."""
+    return F.filter(F.split(text, BLANK_RUN), lambda w: w != "")
 
 
 def lexical_tokens(text: Column) -> Column:
@@ -194,7 +221,7 @@ def normalize_title(title: Column) -> Column:
     bare = F.regexp_replace(title, "<[^>]+>", "")
     coded = F.when(F.contains(bare, F.lit("&")), bare)
     decoded = F.coalesce(decode_entities(coded), bare)
-    return F.trim(F.regexp_replace(fold_case(decoded), "[\\s\u00a0]+", " "))
+    return collapse(fold_case(decoded))
 
 
 def title_family(normalized_title: Column) -> Column:
@@ -231,20 +258,20 @@ def contains_all_terms(tokens: Column, required: Column) -> Column:
 
 def rewrite_query(query: Column, context: tuple[str, ...] = REWRITE_CONTEXT) -> Column:
     """Recovery rewrite: the question followed by fixed context terms."""
-    return F.concat_ws(" ", F.trim(query), F.lit(" ".join(context)))
+    return F.concat_ws(" ", strip(query), F.lit(" ".join(context)))
 
 
 def trimmed_distinct(values: Column) -> Column:
     """Null becomes empty; trim, drop blanks, keep first occurrences."""
     filled = F.coalesce(values, F.array().cast("array<string>"))
-    return F.array_distinct(F.filter(F.transform(filled, F.trim), lambda v: v != ""))
+    return F.array_distinct(F.filter(F.transform(filled, strip), lambda v: v != ""))
 
 
 def optional_text(value: Column, fallback: str) -> Column:
-    return F.coalesce(F.nullif(F.trim(value), F.lit("")), F.lit(fallback))
+    return F.coalesce(F.nullif(strip(value), F.lit("")), F.lit(fallback))
 
 
 def strip_code_fence(text: Column) -> Column:
     """Body of a Markdown code fence, or the trimmed text itself."""
-    body = F.regexp_extract(F.trim(text), r"(?s)^```[A-Za-z]*\s*(.*?)\s*```$", 1)
-    return F.coalesce(F.nullif(body, F.lit("")), F.trim(text))
+    body = F.regexp_extract(strip(text), r"(?s)^```[A-Za-z]*\s*(.*?)\s*```$", 1)
+    return F.coalesce(F.nullif(body, F.lit("")), strip(text))

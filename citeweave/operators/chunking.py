@@ -139,7 +139,7 @@ def chunk_pages(pages: DataFrame, settings: ChunkSettings = ChunkSettings()) ->
     size, stride = settings.chunk_words, settings.stride
     usable = (
         pages.where("extraction_status = 'ok'")
-        .where(F.trim("text") != "")
+        .where(T.strip(F.col("text")) != "")
         .withColumn("words", T.words(F.col("text")))
         .withColumn("block", F.floor(F.col("page_number") / PAGES_PER_BLOCK))
         .withColumn("n_words", F.size("words").cast("bigint"))
@@ -185,7 +185,7 @@ def chunk_pages(pages: DataFrame, settings: ChunkSettings = ChunkSettings()) ->
 
 def chunk_receipts(pages: DataFrame, settings: ChunkSettings = ChunkSettings()) -> DataFrame:
     """Per-document counts, including documents that yield no chunk."""
-    usable = (F.col("extraction_status") == "ok") & (F.trim("text") != "")
+    usable = (F.col("extraction_status") == "ok") & (T.strip(F.col("text")) != "")
     counted = pages.select(
         "document_id",
         F.when(usable, 1).otherwise(0).alias("usable"),

@@ -53,7 +53,7 @@ def build_evidence(
 
     def step(acc: Column, hit: Column) -> Column:
         room = F.least(F.lit(settings.max_chunk_characters), settings.max_context_characters - acc["used"])
-        cut = F.trim(F.substring(hit["text"], F.lit(1), room))
+        cut = T.strip(F.substring(hit["text"], F.lit(1), room))
         item = F.struct(
             F.concat(F.lit("E"), (F.size(acc["items"]) + 1).cast("string")).alias("evidence_id"),
             cut.alias("text"), hit["rank"].cast("int").alias("rank"),
@@ -112,8 +112,8 @@ def assess(df: DataFrame, profile: SufficiencyProfile = SufficiencyProfile(), qu
     ``query`` names the question the evidence is judged against; a recovery pass
     retrieves with a rewritten query but is judged against the original one.
     """
-    asked = F.trim(F.col(query))
-    texts = F.filter("evidence.text", lambda t: F.trim(t) != "")
+    asked = T.strip(F.col(query))
+    texts = F.filter("evidence.text", lambda t: T.strip(t) != "")
     staged = df.withColumn("evidence_terms", F.transform(texts, lambda t: F.array_distinct(T.stemmed_tokens(t))))
     staged = staged.withColumns(
         {

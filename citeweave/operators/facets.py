@@ -19,10 +19,10 @@ def plan_searches(queries: DataFrame) -> DataFrame:
     ``facet_no`` 0 is the original question. Facet searches carry the terms a
     hit must contain.
     """
-    whole = F.trim(F.col("query"))
+    whole = T.strip(F.col("query"))
     parts = queries.select(
         "query_id", "query",
-        *[F.trim(F.regexp_extract(whole, T.SHARED_BY, i)).alias(n) for i, n in enumerate(("topic", "left", "right"), 1)],
+        *[T.strip(F.regexp_extract(whole, T.SHARED_BY, i)).alias(n) for i, n in enumerate(("topic", "left", "right"), 1)],
     )
     planned = parts.withColumn("left_terms", T.facet_terms(F.col("left"))).withColumn(
         "right_terms", T.facet_terms(F.col("right"))

@@ -53,6 +53,10 @@ def redundancy_status(answers: DataFrame) -> DataFrame:
     ).where("pos IS NOT NULL").select("query_id", (F.col("pos") + 1).alias("claim_no"), "claim.text", "review_status")
 
 
+def _task(pending: DataFrame, parts: list[str]) -> Column:
+    return fingerprint(F.struct(*parts), pending.select(*parts).schema)
+
+
 def review_units(pending: DataFrame, parts: list[str], batch_size: int = 25) -> DataFrame:
     """Identical review tasks merged into numbered units and batches.
 
@@ -61,7 +65,7 @@ def review_units(pending: DataFrame, parts: list[str], batch_size: int = 25) ->
     repeated millions of times does not become one array. Numbering follows the
     fingerprint order over 256 even digest buckets.
     """
-    keyed = pending.withColumn("fingerprint", fingerprint(*[F.col(p) for p in parts]))
+    keyed = pending.withColumn("fingerprint", _task(pending, parts))
     units = keyed.groupBy("fingerprint").agg(
         F.count("*").alias("member_count"), F.min("review_id").alias("first_review_id")
     )
@@ -75,7 +79,7 @@ def review_units(pending: DataFrame, parts: list[str], batch_size: int = 25) ->
 
 
 def unit_members(pending: DataFrame, units: DataFrame, parts: list[str]) -> DataFrame:
-    keyed = pending.select("review_id", fingerprint(*[F.col(p) for p in parts]).alias("fingerprint"))
+    keyed = pending.select("review_id", _task(pending, parts).alias("fingerprint"))
     return keyed.join(units.select("unit_id", "fingerprint"), "fingerprint").select("unit_id", "review_id")
 
 

@@ -54,7 +54,7 @@ def _title_sql(expr: str) -> str:
     out = f"regexp_replace({expr}, '<[^>]+>', '', 'g')"
     for entity, char in _ENTITIES.items():
         out = f"replace({out}, '{entity}', '{char}')"
-    return f"trim(regexp_replace({S.fold(out)}, '[\\s\u00a0]+', ' ', 'g'))"
+    return S.collapse(S.fold(out))
 
 
 @query(
@@ -87,7 +87,7 @@ def stable_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "recovery_rewrites",
-    "SELECT item_id, trim(text) || ' NASA aerospace technical report' AS rewritten FROM benchmark",
+    f"SELECT item_id, {S.strip('text')} || ' {' '.join(T.REWRITE_CONTEXT)}' AS rewritten FROM benchmark",
 )
 def recovery_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.table(spark, sf_dir, "benchmark").select("item_id", T.rewrite_query(F.col("text")).alias("rewritten"))

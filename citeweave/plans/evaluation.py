@@ -349,11 +349,12 @@ def review_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUEUE_SQL = """SELECT doc_id || ':' || i AS review_id, source AS system, doc_id::VARCHAR AS query_id, line,
       CASE WHEN starts_with(line, 'Licensed') THEN 'PRESENT' END AS automatic_label FROM (
         SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)"""
-_UNITS_SQL = """SELECT 'unit_' || printf('%03d', row_number() OVER (ORDER BY fingerprint)) AS unit_id, fingerprint, member_count, first_review_id,
+_TASK_SQL = """sha256('{"line": ' || coalesce(to_json(line)::VARCHAR, 'null') || '}')"""
+_UNITS_SQL = f"""SELECT 'unit_' || printf('%03d', row_number() OVER (ORDER BY fingerprint)) AS unit_id, fingerprint, member_count, first_review_id,
       (row_number() OVER (ORDER BY fingerprint) - 1) // 25 + 1 AS batch_no FROM (
-        SELECT sha256(line) AS fingerprint, count(*) AS member_count, min(review_id) AS first_review_id FROM queue WHERE automatic_label IS NULL GROUP BY 1)"""
+        SELECT {_TASK_SQL} AS fingerprint, count(*) AS member_count, min(review_id) AS first_review_id FROM queue WHERE automatic_label IS NULL GROUP BY 1)"""
 _DECISION_SQL = """SELECT unit_id, CASE (('0x' || substr(fingerprint, 1, 2))::UBIGINT) % 3 WHEN 0 THEN 'PRESENT' WHEN 1 THEN 'ABSENT' ELSE 'AMBIGUOUS' END AS human_label FROM units"""
-_REVIEW = f"WITH queue AS MATERIALIZED ({_QUEUE_SQL}), units AS MATERIALIZED ({_UNITS_SQL}), decisions AS ({_DECISION_SQL}), final AS (SELECT q.*, u.unit_id, coalesce(automatic_label, human_label) AS final_label FROM queue q LEFT JOIN units u ON u.fingerprint = sha256(q.line) AND automatic_label IS NULL LEFT JOIN decisions USING (unit_id))"
+_REVIEW = f"WITH queue AS MATERIALIZED ({_QUEUE_SQL}), units AS MATERIALIZED ({_UNITS_SQL}), decisions AS ({_DECISION_SQL}), final AS (SELECT q.*, u.unit_id, coalesce(automatic_label, human_label) AS final_label FROM queue q LEFT JOIN units u ON u.fingerprint = {_TASK_SQL} AND automatic_label IS NULL LEFT JOIN decisions USING (unit_id))"
 
 
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:

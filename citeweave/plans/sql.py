@@ -14,7 +14,7 @@ LEX = T.LEXICAL_TOKEN.replace("'", "''")
 
 
 def words(expr: str) -> str:
-    return f"list_filter(regexp_split_to_array({expr}, '\\s+'), lambda w: w <> '')"
+    return f"list_filter(regexp_split_to_array({expr}, '{T.BLANK_RUN}'), lambda w: w <> '')"
 
 
 def lexical(expr: str) -> str:
@@ -22,11 +22,21 @@ def lexical(expr: str) -> str:
 
 
 def fold(expr: str) -> str:
-    return f"replace(lower({expr}), 'ß', 'ss')"
+    single = f"translate({expr}, '{T.FOLD_FROM}', '{T.FOLD_TO}')"
+    lengths = " ".join(f"WHEN '{c}' THEN '{f}'" for c, f in T.FOLD_LONG.items())
+    expanded = f"array_to_string(list_transform(string_split({single}, ''), lambda c: CASE c {lengths} ELSE c END), '')"
+    return (
+        f"CASE WHEN NOT regexp_matches({expr}, '[^\\x00-\\x7f]') THEN lower({expr}) "
+        f"WHEN regexp_matches({expr}, '[{''.join(T.FOLD_LONG)}]') THEN {expanded} ELSE {single} END"
+    )
+
+
+def strip(expr: str) -> str:
+    return f"trim({expr}, '{T.BLANKS}')"
 
 
 def collapse(expr: str) -> str:
-    return f"trim(regexp_replace({expr}, '\\s+', ' ', 'g'))"
+    return f"trim(regexp_replace({expr}, '{T.BLANK_RUN}', ' ', 'g'))"
 
 
 def training(expr: str) -> str:
@@ -198,11 +208,11 @@ STEPS: dict[str, tuple[list[str], str]] = {
     # Evidence fold: the remaining budget depends on the kept length so far.
     "fold": (
         ["rerank", "chunks", "q"],
-        """SELECT query_id, 0::BIGINT AS rank, 0::BIGINT AS used, 0 AS items, '' AS text, '' AS chunk_id FROM q
+        f"""SELECT query_id, 0::BIGINT AS rank, 0::BIGINT AS used, 0 AS items, '' AS text, '' AS chunk_id FROM q
            UNION ALL
            SELECT f.query_id, h.rank, f.used + length(h.cut), f.items + (h.cut <> '')::INT, h.cut, h.chunk_id
            FROM fold f, LATERAL (
-             SELECT r.rank, r.chunk_id, trim(substr(c.text, 1, greatest(0, least(3000, 12000 - f.used)))) AS cut
+             SELECT r.rank, r.chunk_id, {strip('substr(c.text, 1, greatest(0, least(3000, 12000 - f.used)))')} AS cut
              FROM rerank r JOIN chunks c USING (chunk_id)
              WHERE r.query_id = f.query_id AND r.rank = f.rank + 1 AND r.rank <= 5) h""",
     ),

@@ -1,12 +1,18 @@
+import hashlib
+import json
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from citeweave.functions import hashing, metrics
 from citeweave.functions import text as T
+from citeweave.plans import sql as S
 
-SAMPLES = ["", "  ", "...!?", "Battery-Thermal Management, NASA!", "Don't re-use X-57's 3.5 kW", "Größe über ÉTÉ", "a\tb\nc"]
+SAMPLES = ["", "  ", "...!?", "Battery-Thermal Management, NASA!", "Don't re-use X-57's 3.5 kW", "Größe über ÉTÉ", "a\tb\nc",
+    "\u00a0a\u00a0b c\u3000d\u2009", "ﬁre ΟΔΟΣ Straße İstanbul ŉ", "\x1cx\x85y\x0bz\n", "中文\u3000文本 Ωmega ǅ",
+]
 
 
 def one(spark, column, **values):
@@ -27,6 +33,28 @@ def test_words_match_split(spark):
         assert r.w == r.s.split()
 
 
+def test_blanks_and_case_follow_the_standard_library(spark):
+    rows = spark.createDataFrame([(s,) for s in SAMPLES], "s string")
+    s = F.col("s")
+    for r in rows.select("s", T.strip(s).alias("strip"), T.collapse(s).alias("collapse"), T.fold_case(s).alias("fold")).collect():
+        assert (r.strip, r.collapse, r.fold) == (r.s.strip(), " ".join(r.s.split()), r.s.casefold())
+    sql = f"SELECT {S.strip('s')}, {S.collapse('s')}, {S.fold('s')}, {S.words('s')} FROM (SELECT ? AS s)"
+    for text in SAMPLES:
+        assert duckdb.execute(sql, [text]).fetchone() == (text.strip(), " ".join(text.split()), text.casefold(), text.split())
+
+
+def test_fingerprint_is_that_of_the_canonical_json(spark):
+    schema = "claim string, cited array<struct<z: string, a: bigint>>, note string"
+    values = [("a \"q\"\nß/", [("x", 1), (None, 2)], None), ("a", [], "b"), (None, None, "b"), ("b", None, None)]
+    rows = spark.createDataFrame(values, schema)
+    keyed = rows.select(F.struct(*rows.columns).alias("t"))
+    got = [r.x for r in keyed.select(hashing.fingerprint(F.col("t"), rows.schema).alias("x")).collect()]
+    want = [
+        {"claim": c, "cited": v if v is None else [{"z": z, "a": a} for z, a in v], "note": n} for c, v, n in values
+    ]
+    assert got == [hashlib.sha256(json.dumps(w, sort_keys=True, ensure_ascii=False).encode()).hexdigest() for w in want]
+
+
 @pytest.mark.parametrize(
     "token, expected",
     [
