@@ -146,13 +146,15 @@ def latest_checkpoint(checkpoints: DataFrame) -> DataFrame:
 
 
 def safe_outcome(retrieved: DataFrame, generated: DataFrame) -> DataFrame:
-    """Distributed request outcome: refuse without evidence, fail on unknown citations."""
+    """Distributed request outcome: refuse without evidence or where ``generated(request_id, cited_evidence_ids,
+    refused)`` says so; fail where no response arrived or it cites unknown evidence."""
     joined = retrieved.join(generated, "request_id", "left")
     unknown = F.size(F.array_except("cited_evidence_ids", "evidence_ids")) > 0
     return joined.select(
         "request_id",
         F.when(F.size("evidence_ids") == 0, "grounded_refusal")
         .when(F.col("cited_evidence_ids").isNull(), "dependency_failure")
+        .when(F.col("refused"), "grounded_refusal")
         .when(unknown, "citation_validation_failure")
         .otherwise("answer_completed").alias("termination_reason"),
     )

@@ -1,6 +1,7 @@
 """Building blocks that keep every operator distributed under skew.
 
 * ``fits`` measures a side before it is broadcast.
+* ``with_group_values`` joins aggregates of a group back to its rows in two levels.
 * ``running_totals`` and ``global_row_number`` number rows in two levels, so no
   single task ever sorts a whole table or a whole hot group.
 * ``exact_quantiles`` finds order statistics from per-bin counts and only then
@@ -10,12 +11,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+SALTS = 64
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 128 * 1024 * 1024
 
@@ -100,6 +102,23 @@ def running_totals(
     return numbered
 
 
+def with_group_values(
+    df: DataFrame, key: str, spread_by: Sequence[str], values: dict[str, tuple[Column, Callable[[str], Column]]],
+    salts: int = SALTS,
+) -> DataFrame:
+    """Every row with aggregates of its group, for keys that may hold a third of all rows.
+
+    ``values`` maps a name to (aggregate of rows, function that merges partial aggregates). Rows are placed by
+    (key, salt), the salt coming from ``spread_by``; the group values go back to at most ``salts`` partial rows
+    per key, so no task meets a whole group. Rows with a null key are left out.
+    """
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)))
+    partial = salted.groupBy(key, "__salt").agg(*[first.alias(n) for n, (first, _) in values.items()])
+    whole = partial.groupBy(key).agg(*[merge(n).alias(n) for n, (_, merge) in values.items()])
+    placed = partial.select(key, "__salt").join(whole, key)
+    return salted.join(placed, [key, "__salt"]).select(*df.columns, *values)
+
+
 def global_row_number(
     df: DataFrame, bucket: Column, order: Sequence[Column], name: str = "row_no"
 ) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeweave.functions import text as T
-from citeweave.operators.scale import global_row_number, running_totals, top_k
+from citeweave.operators.scale import global_row_number, running_totals, top_k, with_group_values
 
 
 def type_rank(kind: Column, priority: list[str]) -> Column:
@@ -21,17 +21,21 @@ def title_families(documents: DataFrame, priority: list[str]) -> DataFrame:
     """Mark all but the best-ranked document of each normalized title.
 
     ``documents(document_id, title, chunk_count, kind)``. The representative is
-    an aggregate (combined map-side), so a title shared by a third of the corpus
-    costs one row per task instead of one sorted group.
+    an aggregate that reaches its rows over salted keys, so a title shared by a
+    third of the corpus is no task of its own. A document without a title has
+    no family.
     """
-    keyed = documents.withColumn("normalized_title", T.normalize_title(F.col("title"))).withColumn(
-        "place", F.struct(-F.col("chunk_count"), type_rank(F.col("kind"), priority), F.col("document_id"))
-    )
-    families = keyed.groupBy("normalized_title").agg(
-        F.count("*").alias("family_size"), F.min_by("document_id", "place").alias("representative_id")
+    alone = F.concat(F.lit("\u0000"), F.col("document_id").cast("string"))
+    keyed = documents.withColumn("normalized_title", F.coalesce(T.normalize_title(F.col("title")), alone)).withColumn(
+        "place", F.struct(
+            (-F.col("chunk_count")).alias("chunks"), type_rank(F.col("kind"), priority).alias("kind"), F.col("document_id").alias("id")
+        )
     )
+    families = with_group_values(
+        keyed, "normalized_title", ["document_id"], {"family_size": (F.count("*"), F.sum), "best": (F.min("place"), F.min)}
+    ).withColumn("representative_id", F.col("best.id"))
     shared = F.col("family_size") > 1
-    return keyed.join(families, "normalized_title").select(
+    return families.select(
         *documents.columns,
         F.when(shared, T.title_family(F.col("normalized_title"))).alias("duplicate_family_id"),
         F.when(shared & (F.col("document_id") != F.col("representative_id")), F.col("representative_id")).alias(

@@ -2,9 +2,9 @@
 
 Components come from alternating large-star and small-star rounds over the
 edge table (Kiveris et al., "Connected Components in MapReduce and Beyond").
-Each round is two aggregations and two joins; minima combine map-side, so a
-document shared by a third of all examples does not concentrate work, and AQE
-splits the join partitions of such keys. Lineage is cut by ``checkpoint()``.
+Minima go back to their rows over salted keys (``scale.with_group_values``), so a
+document shared by a third of all examples does not concentrate work. Lineage
+is cut by ``checkpoint()``.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from citeweave.functions.hashing import stable_fraction
-from citeweave.operators.scale import running_totals
+from citeweave.operators.scale import running_totals, with_group_values
 from citeweave.session import ensure_checkpoint_dir
 
 FRACTION_BUCKETS = 4096
@@ -22,15 +22,16 @@ FRACTION_BUCKETS = 4096
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    placed = with_group_values(both, "u", ["v"], {"m": (F.min("v"), F.min)})
+    return placed.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-    lowest = down.groupBy("u").agg(F.min("v").alias("m"))
-    linked = down.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return linked.unionByName(lowest.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+    placed = with_group_values(down, "u", ["v"], {"m": (F.min("v"), F.min)})
+    # A node and each larger neighbour both point to the smallest one; the node itself comes with its row ``v = m``.
+    ends = F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v"))
+    return placed.select(ends.alias("u"), F.col("m").alias("v")).distinct()
 
 
 def components(edges: DataFrame, maximum_rounds: int = 40) -> DataFrame:
@@ -66,8 +67,9 @@ def example_components(links: DataFrame) -> DataFrame:
     named after its smallest example.
     """
     pairs = links.select("example_id", "document_id").distinct()
-    lowest = pairs.groupBy("document_id").agg(F.min("example_id").alias("v"), F.count("*").alias("n"))
-    shared = pairs.join(lowest.where("n > 1").select("document_id", "v"), "document_id")
+    shared = with_group_values(
+        pairs, "document_id", ["example_id"], {"v": (F.min("example_id"), F.min), "n": (F.count("*"), F.sum)}
+    ).where("n > 1")
     found = components(shared.select(F.col("example_id").alias("u"), "v"))
     return links.select("example_id").distinct().join(
         found.withColumnRenamed("node", "example_id"), "example_id", "left"

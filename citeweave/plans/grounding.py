@@ -48,19 +48,19 @@ def evidence_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _judge_steps(questions: str = "q", evidence_step: str = "evidence", tag: str = "") -> dict[str, str]:
     """Sufficiency facts of ``questions(query_id, query)`` against an evidence step."""
     return {
-        f"qt{tag}": f"SELECT query_id, unnest({S.informative('trim(query)')}) AS term FROM {questions}",
+        f"qt{tag}": f"SELECT query_id, unnest({S.informative(S.strip('query'))}) AS term FROM {questions}",
         f"et{tag}": f"SELECT DISTINCT query_id, evidence_id, unnest({S.stemmed('text')}) AS term FROM {evidence_step}",
         f"eu{tag}": f"SELECT DISTINCT query_id, term FROM et{tag}",
         f"es{tag}": f"SELECT DISTINCT query_id, unnest({S.scopes('text')}) AS term FROM {evidence_step}",
         f"best{tag}": f"""SELECT query_id, max(c) AS c FROM (SELECT query_id, evidence_id, count(*) AS c
             FROM qt{tag} JOIN et{tag} USING (query_id, term) GROUP BY 1, 2) GROUP BY 1""",
         f"extra{tag}": f"""SELECT query_id, kind, count(*) AS need, count(u.term) AS have FROM (
-              SELECT query_id, 'n' AS kind, unnest({S.numbers('trim(query)')}) AS term FROM {questions}
-              UNION ALL SELECT query_id, 'a', unnest({S.anchors('trim(query)')}) FROM {questions}
-              UNION ALL SELECT query_id, 'c', unnest({S.claims('trim(query)')}) FROM {questions}) x
+              SELECT query_id, 'n' AS kind, unnest({S.numbers(S.strip('query'))}) AS term FROM {questions}
+              UNION ALL SELECT query_id, 'a', unnest({S.anchors(S.strip('query'))}) FROM {questions}
+              UNION ALL SELECT query_id, 'c', unnest({S.claims(S.strip('query'))}) FROM {questions}) x
             LEFT JOIN eu{tag} u USING (query_id, term) GROUP BY 1, 2
             UNION ALL SELECT query_id, 's', count(*), count(u.term) FROM (
-              SELECT query_id, unnest({S.scopes('trim(query)')}) AS term FROM {questions}) x
+              SELECT query_id, unnest({S.scopes(S.strip('query'))}) AS term FROM {questions}) x
             LEFT JOIN es{tag} u USING (query_id, term) GROUP BY 1, 2""",
         f"facts{tag}": f"""SELECT q.query_id, q.query, coalesce(ec.n, 0) AS evidence_count, coalesce(t.n, 0) AS terms,
               coalesce(t.s, 0) AS supported, coalesce(t.ex, false) AS exact_word,
@@ -129,16 +129,16 @@ query("sufficiency_v030", _sufficiency_sql(True, True))(_sufficiency("v0.3.0"))
 
 @query(
     "question_profile",
-    f"""SELECT conv_id, turn, array_to_string(list_sort({S.informative('trim(text)')}), ',') AS terms,
-          array_to_string(list_sort({S.numbers('trim(text)')}), ',') AS numbers,
-          array_to_string(list_sort({S.anchors('trim(text)')}), ',') AS anchors,
-          array_to_string(list_sort({S.claims('trim(text)')}), ',') AS claims,
-          array_to_string(list_sort({S.scopes('trim(text)')}), ',') AS scopes
+    f"""SELECT conv_id, turn, array_to_string(list_sort({S.informative(S.strip('text'))}), ',') AS terms,
+          array_to_string(list_sort({S.numbers(S.strip('text'))}), ',') AS numbers,
+          array_to_string(list_sort({S.anchors(S.strip('text'))}), ',') AS anchors,
+          array_to_string(list_sort({S.claims(S.strip('text'))}), ',') AS claims,
+          array_to_string(list_sort({S.scopes(S.strip('text'))}), ',') AS scopes
         FROM conversations""",
 )
 def question_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every conversation turn would require from its evidence."""
-    asked = F.trim("text")
+    asked = T.strip(F.col("text"))
     rows = P.spread(P.table(spark, sf_dir, "conversations")).select(
         "conv_id", "turn", T.informative_terms(asked).alias("terms"), T.numeric_terms(asked).alias("numbers"),
         T.named_anchors(asked).alias("anchors"), T.claim_qualifiers(asked).alias("claims"),
@@ -428,7 +428,7 @@ _ONE, _TWO = ">".join(adaptive.FIRST_STATES), ">".join(adaptive.FIRST_STATES + a
         {
             **{k: v for k, v in _GATED.items() if k not in ("claims", "cite")},
             "again": "SELECT query_id, query FROM q JOIN gate USING (query_id) WHERE NOT ok",
-            "q2": "SELECT query_id, trim(query) || ' NASA aerospace technical report' AS query FROM again",
+            "q2": f"SELECT query_id, {S.strip('query')} || ' {' '.join(T.REWRITE_CONTEXT)}' AS query FROM again",
             **S.retagged(_SECOND, "2"),
             **_judge_steps("again", "evidence2", "2"),
         },
@@ -448,10 +448,10 @@ def adaptive_two_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Concepts of a question: each of its sentences, with the first half of the
 # sentence as an alias.
 _CONCEPTS = {
-    "sent": """SELECT query_id, i AS sentence_no, s AS canonical_text,
+    "sent": f"""SELECT query_id, i AS sentence_no, s AS canonical_text,
         array_to_string(list_slice(string_split(s, ' '), 1, greatest(1, len(string_split(s, ' ')) // 2)), ' ') AS alias_text
         FROM (SELECT query_id, unnest(p) AS s, generate_subscripts(p, 1) AS i FROM
-          (SELECT query_id, list_filter(list_transform(regexp_split_to_array(query, '[.]'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '') AS p FROM q))""",
+          (SELECT query_id, list_filter(list_transform(regexp_split_to_array(query, '[.]'), lambda x: {S.collapse('x')}), lambda x: x <> '') AS p FROM q))""",
     "hit": f"""SELECT s.query_id, s.sentence_no,
         CASE WHEN contains({S.semantic('a.answer')}, {S.semantic('s.canonical_text')}) THEN 'canonical'
              WHEN contains({S.semantic('a.answer')}, {S.semantic('s.alias_text')}) THEN 'alias' END AS method
@@ -532,20 +532,20 @@ def claim_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     "service_outcomes",
     S.with_steps(
         ["evidence", "chunk_pages"],
-        """SELECT query_id AS request_id, CASE WHEN e.n IS NULL THEN 'grounded_refusal' WHEN NOT ok THEN 'dependency_failure'
-           ELSE 'answer_completed' END AS termination_reason
+        """SELECT query_id AS request_id, CASE WHEN e.n IS NULL OR NOT ok THEN 'grounded_refusal' ELSE 'answer_completed' END AS termination_reason
            FROM gate LEFT JOIN (SELECT query_id, count(*) AS n FROM evidence GROUP BY 1) e USING (query_id)""",
         _GATED,
     ),
 )
 def service_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distributed request outcomes; refused questions have no generator response."""
+    """Distributed request outcomes; questions that the gate refused are refusals."""
     session = Session(spark, sf_dir)
     assessed = session.assessed()
     retrieved = assessed.select(
         F.col("query_id").alias("request_id"), F.col("evidence.evidence_id").alias("evidence_ids")
     )
-    generated = evidence.grounded_answers(assessed).where(~F.col("insufficient_evidence")).select(
-        F.col("query_id").alias("request_id"), F.col("citations.evidence_id").alias("cited_evidence_ids")
+    generated = evidence.grounded_answers(assessed).select(
+        F.col("query_id").alias("request_id"), F.col("citations.evidence_id").alias("cited_evidence_ids"),
+        F.col("insufficient_evidence").alias("refused"),
     )
     return agents.safe_outcome(retrieved, generated)

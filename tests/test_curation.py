@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from citeweave.operators import integrity, leakage, pairs, selection, split
+from citeweave.operators import agents, integrity, leakage, pairs, scale, selection, split
 
 
 def union_find(links):
@@ -168,3 +168,48 @@ def test_unmet_minimums_are_rows(spark):
 def test_doubled_pairs_become_one(spark):
     near = spark.createDataFrame([(1, 2, 0.5, 1), (2, 1, 0.50000001, 1)], "anchor_id long, candidate_id long, cosine_similarity double, rank int")
     assert [tuple(r) for r in pairs.hard_negatives(near).collect()] == [(1, 2, 0.50000001)]
+
+
+def test_group_values_spread_a_hot_key(spark):
+    rows = spark.range(20_000).select(
+        F.when(F.col("id") % 10 < 9, 0).otherwise(F.col("id")).alias("k"), "id"
+    )
+    settings = {
+        "spark.sql.shuffle.partitions": "16", "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.enabled": "false",
+    }
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        placed = scale.with_group_values(rows, "k", ["id"], {"n": (F.count("*"), F.sum), "m": (F.min("id"), F.min)})
+        largest = placed.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0]
+        got = {(r.k, r.n, r.m) for r in placed.select("k", "n", "m").distinct().collect()}
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    want = {(0, 18_000, 0)} | {(i, 1, i) for i in range(20_000) if i % 10 == 9}
+    assert got == want and largest < 4_000
+
+
+def test_documents_without_title_have_no_family(spark):
+    rows = spark.createDataFrame(
+        [(1, None, 3, "en"), (2, None, 3, "en"), (3, "A b", 3, "en"), (4, "a  B", 9, "en")],
+        "document_id bigint, title string, chunk_count int, kind string",
+    )
+    got = {r.document_id: r.duplicate_excluded for r in selection.title_families(rows, ["en"]).collect()}
+    assert got == {1: False, 2: False, 3: True, 4: False}
+
+
+def test_request_outcomes(spark):
+    retrieved = spark.createDataFrame(
+        [(1, []), (2, ["E1"]), (3, ["E1"]), (4, ["E1"]), (5, ["E1"])], "request_id int, evidence_ids array<string>"
+    )
+    generated = spark.createDataFrame(
+        [(2, ["E1"], False), (3, ["E9"], False), (4, [], True)], "request_id int, cited_evidence_ids array<string>, refused boolean"
+    )
+    got = {r.request_id: r.termination_reason for r in agents.safe_outcome(retrieved, generated).collect()}
+    assert got == {
+        1: "grounded_refusal", 2: "answer_completed", 3: "citation_validation_failure", 4: "grounded_refusal",
+        5: "dependency_failure",
+    }
