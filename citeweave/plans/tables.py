@@ -84,7 +84,7 @@ class Retriever:
     def __init__(self, spark: SparkSession, sf_dir: str, source_depth: int = 50, candidate_depth: int = 20) -> None:
         self.spark, self.sf_dir = spark, sf_dir
         self.corpus = corpus = chunks(spark, sf_dir)
-        self.index = lexical.build_index(corpus)
+        self.index = lexical.build_index(corpus).kept()
         self.vectors = chunk_vectors(corpus)
         self.source_depth = source_depth
         self.candidate_depth = candidate_depth

@@ -28,7 +28,7 @@ def save_lexical(index: LexicalIndex, table: str, buckets: int, mode: str = "ove
 
 
 def load_lexical(spark: SparkSession, table: str) -> LexicalIndex:
-    return LexicalIndex(spark.table(table))
+    return LexicalIndex(spark.table(table), stored=True)
 
 
 def save_vectors(vectors: DataFrame, path: str, model: str, mode: str = "overwrite") -> None:

@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,7 +79,7 @@ def test_bm25_against_a_loop(spark, bound):
     queries = [("q1", "the t1 t2 t1"), ("q2", "t5, T7!"), ("q3", "absent"), ("q4", "  ")]
     index = lexical.build_index(spark.createDataFrame(chunks, "chunk_id string, text string"))
     asked = spark.createDataFrame(queries, "query_id string, query string")
-    got = lexical.search(index, asked, 7, max_query_terms=bound, rows_per_salt=5).collect()
+    got = lexical.search(index, asked, 7, max_query_terms=bound, salts=5).collect()
     for query_id, query in queries:
         mine = [(r.chunk_id, r.score) for r in sorted((r for r in got if r.query_id == query_id), key=lambda r: r.rank)]
         want = plain_bm25(chunks, query, 7)
@@ -91,7 +92,14 @@ def test_bm25_against_a_loop(spark, bound):
 def test_bm25_scores_without_shuffling_the_postings(spark):
     chunks = spark.range(500).select(F.concat(F.lit("c"), "id").alias("chunk_id"), F.concat(F.lit("a b c"), "id").alias("text"))
     asked = spark.createDataFrame([("q", "a b")], "query_id string, query string")
-    plan = lexical.search(lexical.build_index(chunks), asked, 3)._jdf.queryExecution().executedPlan().toString()
+    index = lexical.build_index(chunks)
+    found = lexical.search(index, asked, 3)
+    assert [r.chunk_id for r in found.orderBy("rank").collect()] == ["c0", "c1", "c10"]
+    # Both words are in every chunk, yet a task hands on at most k rows per question.
+    weights = pd.DataFrame({"query_id": ["q", "q"], "term": ["a", "b"], "idf": [0.5, 0.4]})
+    weights.attrs["query_id"] = "string"
+    assert lexical.partial_top(index, weights, 3.0, 3).count() <= 3 * index.tokens.rdd.getNumPartitions()
+    plan = found._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
     assert "hashpartitioning(query_id" in plan and "hashpartitioning(query_id#0, chunk_id" not in plan
     assert not re.search(r"hashpartitioning\(query_id#\d+, chunk_id", plan)
