@@ -51,7 +51,7 @@ def hashed_counts(texts: pd.Series) -> np.ndarray:
     """
     out = np.zeros((len(texts), HASH_DIMENSIONS), dtype=np.float32)
     for row, text in enumerate(texts):
-        for word in text.lower().split():
+        for word in (text or "").lower().split():
             out[row, _slot(word)] += 1.0
     return out
 

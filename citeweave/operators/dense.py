@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeweave.operators.scale import fits, top_k
@@ -146,7 +146,11 @@ def search(
     max_broadcast_queries: int = BROADCAST_QUERIES,
     cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
-    """Top ``k`` of ``corpus(chunk_id, vector)`` for ``queries(query_id, vector)``."""
+    """Top ``k`` of ``corpus(chunk_id, vector)`` for ``queries(query_id, vector)``.
+
+    Vectors without direction (zero, empty or null) match nothing; ``undirected`` lists them.
+    """
+    corpus, queries = corpus.where(_directed()), queries.where(_directed())
     if fits(queries, max_broadcast_queries):
         partial = _broadcast_partials(corpus, queries, k, exclude_self)
     else:
@@ -154,6 +158,15 @@ def search(
     return top_k(partial, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
 
 
+def _directed() -> Column:
+    return F.coalesce(F.exists("vector", lambda x: x != 0), F.lit(False))
+
+
+def undirected(rows: DataFrame, key: str) -> DataFrame:
+    """(ref, problem): the rows whose vector is zero, empty or null."""
+    return rows.where(~_directed()).select(F.col(key).cast("string").alias("ref"), F.lit("zero_vector").alias("problem"))
+
+
 def dimension_report(corpus: DataFrame) -> DataFrame:
     """Counts and dimension agreement of a stored index."""
     return corpus.agg(

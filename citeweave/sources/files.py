@@ -75,23 +75,40 @@ def extractable(receipts: DataFrame, max_size_bytes: int | None = None) -> DataF
     return rows
 
 
-def extract_pages(receipts: DataFrame, facts_with_content: DataFrame, split_pages) -> DataFrame:
-    """Page rows of verified files; a checksum mismatch gives a failed row.
+def read_pages(receipts: DataFrame, facts_with_content: DataFrame, split_pages) -> DataFrame:
+    """One row per receipt with ``pages`` and ``error``; no file stops the job.
 
-    ``split_pages(bytes) -> list[str]`` is the PDF library call. It is the only
-    Python step; normalization and status are column expressions.
+    ``split_pages(bytes) -> list[str]`` is the PDF library call and the only Python step. Missing files,
+    checksum mismatches and files that the library cannot read have no pages and a reason.
     """
 
-    @F.pandas_udf("array<string>")
-    def pages_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield batch.map(split_pages)
+    @F.pandas_udf("pages array<string>, error string")
+    def pages_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        def read(content):
+            try:
+                return list(split_pages(content)), None
+            except Exception as problem:  # whatever the library raises is the row's result
+                return None, f"Unreadable: {problem}"
 
-    joined = receipts.join(facts_with_content, receipts.local_path == facts_with_content.path).where(
-        F.sha2("content", 256) == F.col("sha256")
+        for batch in batches:
+            yield pd.DataFrame([(None, None) if c is None else read(c) for c in batch], columns=["pages", "error"])
+
+    held = facts_with_content.select("path", "content")
+    joined = receipts.join(held, receipts.local_path == held.path, "left")
+    same = F.sha2("content", 256) == F.col("sha256")
+    read = joined.withColumn("read", pages_of(F.when(same, F.col("content"))))
+    return read.select(
+        "document_id", "source_url", "local_path", "sha256", F.col("read.pages").alias("pages"),
+        F.when(F.col("path").isNull(), "File is missing")
+        .when(~F.coalesce(same, F.lit(False)), "Checksum mismatch")
+        .otherwise(F.col("read.error")).alias("error"),
     )
-    raw = joined.select(
-        "document_id", "source_url", "local_path", "sha256", F.posexplode(pages_of("content")).alias("pos", "raw")
+
+
+def extract_pages(read: DataFrame) -> DataFrame:
+    """Page rows of the files of ``read_pages``; normalization and status are column expressions."""
+    raw = read.select(
+        "document_id", "source_url", "local_path", "sha256", F.posexplode("pages").alias("pos", "raw")
     ).withColumn("text", T.normalize_page_text(F.col("raw")))
     return raw.select(
         F.concat_ws(":", F.col("document_id"), F.lit("page"), F.col("pos") + 1).alias("page_id"), "document_id",
@@ -103,13 +120,12 @@ def extract_pages(receipts: DataFrame, facts_with_content: DataFrame, split_page
     )
 
 
-def extraction_receipts(receipts: DataFrame, pages: DataFrame) -> DataFrame:
-    counted = pages.groupBy("document_id").agg(
-        F.count("*").alias("page_count"), F.count_if(F.col("extraction_status") == "ok").alias("nonempty_page_count")
-    )
-    return receipts.join(counted, "document_id", "left").select(
+def extraction_receipts(read: DataFrame) -> DataFrame:
+    """One receipt per file of ``read_pages``; a file without pages is processed, one with an error failed."""
+    filled = F.filter("pages", lambda p: T.normalize_page_text(p) != "")
+    return read.select(
         "document_id", F.col("local_path").alias("source_path"), F.col("sha256").alias("document_sha256"),
-        F.coalesce("page_count", F.lit(0)).alias("page_count"),
-        F.coalesce("nonempty_page_count", F.lit(0)).alias("nonempty_page_count"),
-        F.when(F.col("page_count").isNull(), "failed").otherwise("processed").alias("status"),
+        F.when(F.col("pages").isNull(), 0).otherwise(F.size("pages")).cast("bigint").alias("page_count"),
+        F.when(F.col("pages").isNull(), 0).otherwise(F.size(filled)).cast("bigint").alias("nonempty_page_count"),
+        F.when(F.col("error").isNotNull(), "failed").otherwise("processed").alias("status"), "error",
     )

@@ -122,11 +122,15 @@ def test_dense_paths_against_numpy(spark):
         assert got == want
 
 
-def test_zero_vector_is_an_error(spark):
-    corpus = spark.createDataFrame([(1, [0.0, 0.0])], "chunk_id bigint, vector array<double>")
-    asked = spark.createDataFrame([(1, [1.0, 0.0])], "query_id bigint, vector array<double>")
-    with pytest.raises(Exception, match="zero vector"):
-        dense.search(corpus, asked, 1).collect()
+def test_vectors_without_direction_are_rows_of_a_report(spark):
+    corpus = spark.createDataFrame([(1, [0.0, 0.0]), (2, [3.0, 4.0]), (3, None)], "chunk_id bigint, vector array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0])], "query_id bigint, vector array<double>")
+    for bound in (10, 0):
+        got = dense.search(corpus, asked, 5, max_broadcast_queries=bound).collect()
+        assert [(r.query_id, r.chunk_id, r.score) for r in got] == [(1, 2, 0.6)]
+    assert {r.ref for r in dense.undirected(corpus, "chunk_id").collect()} == {"1", "3"}
+    with pytest.raises(ValueError, match="zero vector"):
+        dense._unit(np.zeros((1, 2)))
 
 
 def ranked(spark, rows):

@@ -1,3 +1,4 @@
+import hashlib
 import json
 import random
 import sys
@@ -106,18 +107,46 @@ def test_download_and_extract(spark, tmp_path):
     receipts = spark.createDataFrame(again.collect(), again.schema)
     assert receipts.where("document_id = 1").first().status == "skipped"
     content = spark.read.format("binaryFile").load(str(tmp_path)).select(F.regexp_replace("path", "^file:", "").alias("path"), "content")
-    pages = files.extract_pages(files.extractable(receipts, 10_000), content, split_pages)
+    read = files.read_pages(files.extractable(receipts, 10_000), content, split_pages)
+    pages = files.extract_pages(read)
     assert [(r.page_id, r.text, r.extraction_status) for r in pages.orderBy("page_number").collect()] == [
         ("1:page:1", "first\npage", "ok"), ("1:page:2", "", "empty"),
     ]
-    done = files.extraction_receipts(files.extractable(receipts), pages).first()
-    assert (done.page_count, done.nonempty_page_count, done.status) == (2, 1, "processed")
+    done = files.extraction_receipts(read).first()
+    assert (done.page_count, done.nonempty_page_count, done.status, done.error) == (2, 1, "processed", None)
     facts = files.file_facts(spark, str(tmp_path)).withColumn("path", F.regexp_replace("path", "^file:", ""))
     assert facts.first().is_pdf
     pins = spark.createDataFrame([(store.path(1), "0"), ("nowhere", None)], "path string, expected_sha256 string")
     assert {r.status for r in files.readiness(facts, pins).collect()} == {"checksum_mismatch", "missing"}
 
 
+def test_bad_files_are_receipts(spark):
+    sound = hashlib.sha256(b"%PDF-1").hexdigest()
+    receipts = spark.createDataFrame(
+        [(1, "a", sound), (2, "b", "0"), (3, "c", sound), (4, "d", sound), (5, "e", hashlib.sha256(b"none").hexdigest())],
+        "document_id bigint, local_path string, sha256 string",
+    ).withColumn("source_url", F.lit("u"))
+    content = spark.createDataFrame(
+        [("a", b"%PDF-1"), ("b", b"%PDF-1"), ("d", b"%PDF-1"), ("e", b"none")], "path string, content binary"
+    ).withColumn("content", F.when(F.col("path") == "d", F.encode(F.lit("torn"), "UTF-8")).otherwise(F.col("content")))
+    torn = receipts.withColumn(
+        "sha256", F.when(F.col("document_id") == 4, hashlib.sha256(b"torn").hexdigest()).otherwise(F.col("sha256"))
+    )
+
+    def split(data):
+        if data == b"torn":
+            raise ValueError("no trailer")
+        return [] if data == b"none" else ["x"]
+
+    read = files.read_pages(torn, content, split)
+    got = {r.document_id: (r.page_count, r.status, r.error) for r in files.extraction_receipts(read).collect()}
+    assert got == {
+        1: (1, "processed", None), 2: (0, "failed", "Checksum mismatch"), 3: (0, "failed", "File is missing"),
+        4: (0, "failed", "Unreadable: no trailer"), 5: (0, "processed", None),
+    }
+    assert [r.page_id for r in files.extract_pages(read).collect()] == ["1:page:1"]
+
+
 def test_latest_wins(spark):
     schema = "k string, version int, v string"
     stored = spark.createDataFrame([("a", 1, "old"), ("b", 5, "keep")], schema)
