@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,12 +85,20 @@ class Retriever:
 
     def __init__(self, spark: SparkSession, sf_dir: str, source_depth: int = 50, candidate_depth: int = 20) -> None:
         self.spark, self.sf_dir = spark, sf_dir
-        self.corpus = corpus = chunks(spark, sf_dir)
-        self.index = lexical.build_index(corpus).kept()
-        self.vectors = chunk_vectors(corpus)
+        self.corpus = chunks(spark, sf_dir)
         self.source_depth = source_depth
         self.candidate_depth = candidate_depth
 
+    @cached_property
+    def index(self) -> lexical.LexicalIndex:
+        """Tokens, written once for all rankings."""
+        return lexical.build_index(self.corpus).kept()
+
+    @cached_property
+    def vectors(self) -> DataFrame:
+        """Chunk vectors, written once for all rankings."""
+        return self.stored(chunk_vectors(self.corpus))
+
     def bm25(self, asked: DataFrame, k: int) -> DataFrame:
         return lexical.search(self.index, asked, k)
 
