@@ -6,12 +6,13 @@ frequencies are counted over ALL passages. A randomised SVD finds the leading ri
 vectors: with a random matrix R, one pass over all passages adds up ``A^T (A R)``, whose
 orthonormalised columns span them. Items and passages are compared by cosine in that space.
 
-A candidate (cosine at least ``COSINE``, half of the item's terms present) is checked on words: the
-longest common subsequence of the item and the passage with its surroundings must reach ``LEAST``
+Items are compared in pieces of at most ``STRIDE`` words: wherever such a stretch stands in a
+document, one passage holds all of it. A candidate (cosine at least ``COSINE``, half of the piece's terms
+present) is checked on words, for the whole item: the longest common subsequence of the item and the passage with its surroundings must reach ``LEAST``
 of the item, and that of the item's answer (its last sentence, or a given column) half of the
 answer. Paraphrases that keep the order of most words pass, passages with the same topic do not.
 
-The benchmark is handled in blocks of ``BLOCK`` items, each with its own passes, so what is sent to
+The benchmark is handled in blocks of about ``BLOCK`` pieces, each with its own passes, so what is sent to
 the tasks has a bound.
 
 Defined results: null and empty texts and items match nothing; an item without any term in the space
@@ -35,6 +36,7 @@ from citeweave.llm.textops import ranges, raw, row_sums, slices, words
 SIZE, STRIDE = 64, 32
 RANK = 32
 BLOCK = 2000
+COUNTED = 1 << 21  # cells of passages and pieces that are counted at once
 MAX_SHARE = 0.05
 COSINE = 0.2
 LEAST = 0.6
@@ -173,24 +175,64 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.where(norm > 0, norm, 1)
 
 
-def _retrieve(docs: DataFrame, space: Space, items: list[tuple], least: float, cosine: float) -> DataFrame:
+def pieces(sequence: np.ndarray) -> list[np.ndarray]:
+    """Stretches of ``STRIDE`` words that cover an item; the last one ends with it."""
+    last = max(len(sequence) - STRIDE, 0)
+    return [sequence[s : s + STRIDE] for s in [*range(0, last, STRIDE), last]]
+
+
+@dataclass(frozen=True)
+class Asked:
+    """The pieces of a block of items; terms outside the space count only for items that have no other."""
+
+    item: np.ndarray  # item of each piece
+    loose: np.ndarray  # no term of its item is in the space
+    latent: np.ndarray  # (pieces, rank), length one
+    holders: np.ndarray  # pieces, by the terms that they hold
+    first: np.ndarray  # where the holders of each term begin
+    terms: np.ndarray  # distinct terms of each piece
+
+    def counts(self, owner: np.ndarray, terms: np.ndarray, rows: int) -> np.ndarray:
+        """(rows, pieces): how many terms of each piece are among the distinct (owner, term) pairs."""
+        times = np.diff(self.first)[terms]
+        held = self.holders[ranges(self.first[terms], times)]
+        total = np.bincount(np.repeat(owner, times) * len(self.item) + held, minlength=rows * len(self.item))
+        return total.reshape(rows, len(self.item))
+
+
+def _ask(space: Space, items: list[tuple]) -> Asked:
     used = space.idf > 0
-    held = np.zeros((len(space.vocabulary), len(items)), np.int8)
-    latent = np.zeros((len(items), space.basis.shape[1]))
-    loose = np.zeros(len(items), bool)
+    owner, loose, latent, holders, held, sizes = [], [], [], [], [], []
     for i, (_, sequence, _) in enumerate(items):
-        ids, times = np.unique(space.ids(sequence)[1], return_counts=True)
-        kept = used[ids]
-        loose[i] = not kept.any()
-        held[ids if loose[i] else ids[kept], i] = 1
-        latent[i] = ((1 + np.log(times)) * space.idf[ids]) @ space.basis[ids]
-    latent = _unit(latent).astype(np.float32)
-    enough = np.maximum(np.ceil(held.sum(axis=0, dtype=np.int64) / 2), 1)
-    shared = docs.sparkSession.sparkContext.broadcast((space, items, held, latent, loose, enough))
+        free = not used[space.ids(sequence)[1]].any()
+        for piece in pieces(sequence):
+            ids, times = np.unique(space.ids(piece)[1], return_counts=True)
+            kept = ids if free else ids[used[ids]]
+            if not len(kept):
+                continue
+            holders.append(np.full(len(kept), len(owner)))
+            held.append(kept)
+            sizes.append(len(kept))
+            owner.append(i)
+            loose.append(free)
+            latent.append(((1 + np.log(times)) * space.idf[ids]) @ space.basis[ids])
+    terms = np.concatenate(held)
+    order = np.argsort(terms, kind="stable")
+    first = np.searchsorted(terms[order], np.arange(len(space.vocabulary) + 1))
+    return Asked(
+        np.array(owner), np.array(loose), _unit(np.array(latent)).astype(np.float32), np.concatenate(holders)[order], first,
+        np.array(sizes),
+    )
+
+
+def _retrieve(docs: DataFrame, space: Space, items: list[tuple], least: float, cosine: float) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast((space, items, _ask(space, items)))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space, items, held, latent, loose, enough = shared.value
-        use = None if loose.any() else used
+        space, items, asked = shared.value
+        use = None if asked.loose.any() else space.idf > 0
+        enough = -(-asked.terms // 2)
+        stride = max(1, COUNTED // len(asked.item))
         checks = [(masks(s), len(s), masks(a), len(a)) for _, s, a in items]
         for batch in batches:
             out: list[tuple] = []
@@ -199,7 +241,7 @@ def _retrieve(docs: DataFrame, space: Space, items: list[tuple], least: float, c
                 rows, begin, edges, terms, times = passages(found, space, use)
                 if not len(terms):
                     continue
-                # Passages with too few terms for any item cannot pass the check.
+                # Passages with too few terms for any piece cannot pass the check.
                 long = np.flatnonzero(np.diff(edges) >= enough.min())
                 sizes = np.diff(edges)[long]
                 chosen = ranges(edges[long], sizes)
@@ -207,18 +249,21 @@ def _retrieve(docs: DataFrame, space: Space, items: list[tuple], least: float, c
                 edges = np.append(0, np.cumsum(sizes))
                 if not len(terms):
                     continue
-                value = weights(space, edges, terms, times)
-                near = _unit(_product(value, space.basis, terms, edges)) @ latent.T
-                where, item = np.nonzero((near >= cosine) | loose)
-                lengths = np.diff(edges)[where]
-                some = lengths >= enough[item]
-                where, item, lengths = where[some], item[some], lengths[some]
-                if not len(where):
-                    continue
-                hits = held[terms[ranges(edges[where], lengths)], np.repeat(item, lengths)]
-                present = row_sums(hits, np.append(0, np.cumsum(lengths))) >= enough[item]
-                where, item = where[present], item[present]
-                for p, i in zip(where.tolist(), item.tolist(), strict=True):
+                near = _unit(_product(weights(space, edges, terms, times), space.basis, terms, edges))
+                owner = np.repeat(np.arange(len(rows)), sizes)
+                pairs: dict[tuple[int, int], float] = {}
+                for start in range(0, len(rows), stride):
+                    stop = min(start + stride, len(rows))
+                    mine = slice(edges[start], edges[stop])
+                    counts = asked.counts(owner[mine] - start, terms[mine], stop - start)
+                    where, piece = np.nonzero(counts >= enough)
+                    alike = np.einsum("pr,pr->p", near[where + start], asked.latent[piece])
+                    passed = (alike >= cosine) | asked.loose[piece]
+                    for p, i, c in zip(
+                        (where[passed] + start).tolist(), asked.item[piece[passed]].tolist(), alike[passed].tolist(), strict=True
+                    ):
+                        pairs[p, i] = max(c, pairs.get((p, i), -1.0))
+                for (p, i), alike_ in pairs.items():
                     places, length, answer, answer_length = checks[i]
                     row = rows[p]
                     from_ = max(found.first[row], begin[p] - length)
@@ -229,7 +274,7 @@ def _retrieve(docs: DataFrame, space: Space, items: list[tuple], least: float, c
                         continue
                     told = common_length(region, answer)
                     if told >= ANSWER * answer_length:
-                        out.append((row + low, items[i][0], int(begin[p] - found.first[row]), float(near[p, i]), lcs, length, told))
+                        out.append((row + low, items[i][0], int(begin[p] - found.first[row]), alike_, lcs, length, told))
             if out:
                 columns = list(zip(*out, strict=True))
                 yield pa.record_batch(
@@ -273,7 +318,7 @@ def find(
         sequence = hashed(row.t)
         if len(sequence) >= MIN_WORDS:
             items.append((row.i, sequence, hashed(row.a if row.a else answer_of(row.t))))
-        if len(items) == block:
+        if sum(-(-len(s) // STRIDE) for _, s, _ in items) >= block:
             close()
     close()
     if not parts:

@@ -292,6 +292,24 @@ def test_leaks_and_paraphrases(spark):
     assert decontaminate.common_length([ord(c) for c in a], decontaminate.masks(b)) == 4
 
 
+def test_long_items_are_found(spark):
+    """Items of 300 words and of 100, verbatim and with 30 % of the words replaced; most differ from each other."""
+    ship_package(spark)
+    rng = np.random.default_rng(3)
+    items, docs = [], [(0, " ".join(f"v{i}" for i in range(400)))]
+    for number, length in enumerate([300, 300, 100, 100, 129]):
+        item = [f"w{number}x{i}" for i in range(length)]
+        changed = [w if rng.random() >= 0.3 else "other" for w in item]
+        around = [f"v{i}" for i in range(37 + number)]
+        items.append((number, " ".join(item)))
+        docs += [(10 * number + 1, " ".join(item)), (10 * number + 2, " ".join(around + changed + around))]
+    got = decontaminate.find(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"),
+        max_share=1.0,
+    ).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(10 * n + k, n) for n in range(5) for k in (1, 2)}
+
+
 def test_factors_cover_repeated_windows(spark, odd):
     seen, want = set(), {}
     for doc_id, text in sorted(ODD):
