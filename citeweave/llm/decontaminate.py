@@ -8,9 +8,10 @@ orthonormalised columns span them. Items and passages are compared by cosine in
 
 Items are compared in pieces of at most ``STRIDE`` words: wherever such a stretch stands in a
 document, one passage holds all of it. A candidate (cosine at least ``COSINE``, half of the piece's terms
-present) is checked on words, for the whole item: the longest common subsequence of the item and the passage with its surroundings must reach ``LEAST``
-of the item, and that of the item's answer (its last sentence, or a given column) half of the
-answer. Paraphrases that keep the order of most words pass, passages with the same topic do not.
+present) is checked on words, for the whole item: the longest common subsequence of the item and some stretch of at most twice its length, at the passage,
+must reach ``LEAST`` of the item; of items under ``SHORT`` words a stretch of their own length must hold all
+words in order, but one from 8 words on. That of the item's answer (its last sentence, or a given
+column) and the surroundings must reach half of the answer. Paraphrases that keep the order of most words pass, passages with the same topic do not.
 
 The benchmark is handled in blocks of about ``BLOCK`` pieces, each with its own passes, so what is sent to
 the tasks has a bound.
@@ -21,9 +22,11 @@ is compared on words wherever half of its words occur; repeated rows give one ro
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate, compress
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +45,7 @@ COSINE = 0.2
 LEAST = 0.6
 ANSWER = 0.5
 MIN_WORDS = 5
+SHORT = 12
 
 
 def hashed(text: str) -> np.ndarray:
@@ -66,6 +70,30 @@ def common_length(a: list[int], places: dict[int, int]) -> int:
     return row.bit_count()
 
 
+def demand(length: int, least: float) -> tuple[int, int]:
+    """(words of an item that must stand in order, words of the stretch they may span)."""
+    share = math.ceil(least * length - 1e-9)
+    return (max(share, length - length // 8), length) if length < SHORT else (share, 2 * length)
+
+
+def common_in_stretch(region: list[int], places: dict[int, int], stretch: int, least: int) -> int:
+    """Longest common subsequence with any ``stretch`` neighbouring words of ``region``, 0 below ``least``."""
+    whole = common_length(region, places)
+    if whole < least:
+        return 0
+    if len(region) <= stretch:
+        return whole
+    shared = [word in places for word in region]
+    before = [0, *accumulate(shared)]
+    best = least - 1
+    for start in compress(range(len(region)), shared):
+        if before[min(start + stretch, len(region))] - before[start] > best:
+            best = max(best, common_length(region[start : start + stretch], places))
+            if best == whole:
+                break
+    return best if best >= least else 0
+
+
 def masks(sequence: np.ndarray) -> dict[int, int]:
     out: dict[int, int] = {}
     for i, word in enumerate(sequence.tolist()):
@@ -190,7 +218,7 @@ class Asked:
     latent: np.ndarray  # (pieces, rank), length one
     holders: np.ndarray  # pieces, by the terms that they hold
     first: np.ndarray  # where the holders of each term begin
-    terms: np.ndarray  # distinct terms of each piece
+    enough: np.ndarray  # how many distinct terms of each piece a passage must hold
 
     def counts(self, owner: np.ndarray, terms: np.ndarray, rows: int) -> np.ndarray:
         """(rows, pieces): how many terms of each piece are among the distinct (owner, term) pairs."""
@@ -200,9 +228,9 @@ class Asked:
         return total.reshape(rows, len(self.item))
 
 
-def _ask(space: Space, items: list[tuple]) -> Asked:
+def _ask(space: Space, items: list[tuple], least: float) -> Asked:
     used = space.idf > 0
-    owner, loose, latent, holders, held, sizes = [], [], [], [], [], []
+    owner, loose, latent, holders, held, enough = [], [], [], [], [], []
     for i, (_, sequence, _) in enumerate(items):
         free = not used[space.ids(sequence)[1]].any()
         for piece in pieces(sequence):
@@ -212,7 +240,9 @@ def _ask(space: Space, items: list[tuple]) -> Asked:
                 continue
             holders.append(np.full(len(kept), len(owner)))
             held.append(kept)
-            sizes.append(len(kept))
+            # A short item stands whole in one passage, so no more terms than words may be missing.
+            missing = len(sequence) - demand(len(sequence), least)[0] if len(sequence) < SHORT else len(kept) // 2
+            enough.append(max(1, len(kept) - missing))
             owner.append(i)
             loose.append(free)
             latent.append(((1 + np.log(times)) * space.idf[ids]) @ space.basis[ids])
@@ -221,19 +251,19 @@ def _ask(space: Space, items: list[tuple]) -> Asked:
     first = np.searchsorted(terms[order], np.arange(len(space.vocabulary) + 1))
     return Asked(
         np.array(owner), np.array(loose), _unit(np.array(latent)).astype(np.float32), np.concatenate(holders)[order], first,
-        np.array(sizes),
+        np.array(enough),
     )
 
 
 def _retrieve(docs: DataFrame, space: Space, items: list[tuple], least: float, cosine: float) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast((space, items, _ask(space, items)))
+    shared = docs.sparkSession.sparkContext.broadcast((space, items, _ask(space, items, least)))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, items, asked = shared.value
         use = None if asked.loose.any() else space.idf > 0
-        enough = -(-asked.terms // 2)
+        enough = asked.enough
         stride = max(1, COUNTED // len(asked.item))
-        checks = [(masks(s), len(s), masks(a), len(a)) for _, s, a in items]
+        checks = [(masks(s), len(s), *demand(len(s), least), masks(a), len(a)) for _, s, a in items]
         for batch in batches:
             out: list[tuple] = []
             for low, _, data, offsets in slices(batch.column(1), 1 << 20):
@@ -264,13 +294,13 @@ def _retrieve(docs: DataFrame, space: Space, items: list[tuple], least: float, c
                     ):
                         pairs[p, i] = max(c, pairs.get((p, i), -1.0))
                 for (p, i), alike_ in pairs.items():
-                    places, length, answer, answer_length = checks[i]
+                    places, length, asked_words, stretch, answer, answer_length = checks[i]
                     row = rows[p]
-                    from_ = max(found.first[row], begin[p] - length)
-                    to = min(found.first[row + 1], begin[p] + SIZE + length)
+                    from_ = max(found.first[row], begin[p] - stretch)
+                    to = min(found.first[row + 1], begin[p] + SIZE + stretch)
                     region = found.hashes[from_:to].tolist()
-                    lcs = common_length(region, places)
-                    if lcs < least * length:
+                    lcs = common_in_stretch(region, places, stretch, asked_words)
+                    if not lcs:
                         continue
                     told = common_length(region, answer)
                     if told >= ANSWER * answer_length:

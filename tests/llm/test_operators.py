@@ -310,6 +310,25 @@ def test_long_items_are_found(spark):
     assert {(r.doc_id, r.item_id) for r in got} == {(10 * n + k, n) for n in range(5) for k in (1, 2)}
 
 
+def test_short_items_leave_clean_documents(spark):
+    """Words of an item that are strewn over a passage are no copy; verbatim items and one changed word of 8 are."""
+    ship_package(spark)
+    items, docs = [], []
+    for length in (5, 6, 7, 8, 10, 20):
+        item = [f"w{length}x{i}" for i in range(length)]
+        strewn = [w for word in item for w in (word, "and", "so", "it", "was")]
+        few = ["then"] * 9 + item[: -(-length * 6 // 10)] + ["then"] * 9
+        changed = ["then"] * 9 + item[:2] + ["other"] + item[3:] + ["then"] * 9
+        items.append((length, " ".join(item)))
+        docs += [(100 * length + k, " ".join(d)) for k, d in enumerate([strewn, few[:-9] if length < 20 else strewn, changed, ["a", *item, "b"]])]
+    got = decontaminate.find(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"),
+        max_share=1.0,
+    ).collect()
+    want = {(100 * n + 3, n) for n in (5, 6, 7, 8, 10, 20)} | {(100 * n + 2, n) for n in (8, 10, 20)}
+    assert {(r.doc_id, r.item_id) for r in got} == want
+
+
 def test_factors_cover_repeated_windows(spark, odd):
     seen, want = set(), {}
     for doc_id, text in sorted(ODD):
