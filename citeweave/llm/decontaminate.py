@@ -7,8 +7,8 @@ vectors: with a random matrix R, one pass over all passages adds up ``A^T (A R)`
 orthonormalised columns span them. Items and passages are compared by cosine in that space.
 
 Items are compared in pieces of at most ``STRIDE`` words: wherever such a stretch stands in a
-document, one passage holds all of it. A candidate (cosine at least ``COSINE``, half of the piece's terms
-present) is checked on words, for the whole item: the longest common subsequence of the item and some stretch of at most twice its length, at the passage,
+document, one passage holds all of it. A candidate (half of the piece's terms present and a cosine of at
+least ``COSINE``, or ``SURE`` of the terms and any cosine) is checked on words, for the whole item: the longest common subsequence of the item and some stretch of at most twice its length, at the passage,
 must reach ``LEAST`` of the item; of items under ``SHORT`` words a stretch of their own length must hold all
 words in order, but one from 8 words on. That of the item's answer (its last sentence, or a given
 column) and the surroundings must reach half of the answer. Paraphrases that keep the order of most words pass, passages with the same topic do not.
@@ -37,11 +37,12 @@ from citeweave.llm.common import array_total
 from citeweave.llm.textops import ranges, raw, row_sums, slices, words
 
 SIZE, STRIDE = 64, 32
-RANK = 32
+RANK = 64
 BLOCK = 2000
 COUNTED = 1 << 21  # cells of passages and pieces that are counted at once
 MAX_SHARE = 0.05
 COSINE = 0.2
+SURE = 0.8
 LEAST = 0.6
 ANSWER = 0.5
 MIN_WORDS = 5
@@ -218,6 +219,7 @@ class Asked:
     latent: np.ndarray  # (pieces, rank), length one
     holders: np.ndarray  # pieces, by the terms that they hold
     first: np.ndarray  # where the holders of each term begin
+    sure: np.ndarray  # how many make it a candidate whatever its cosine
     enough: np.ndarray  # how many distinct terms of each piece a passage must hold
 
     def counts(self, owner: np.ndarray, terms: np.ndarray, rows: int) -> np.ndarray:
@@ -230,7 +232,7 @@ class Asked:
 
 def _ask(space: Space, items: list[tuple], least: float) -> Asked:
     used = space.idf > 0
-    owner, loose, latent, holders, held, enough = [], [], [], [], [], []
+    owner, loose, latent, holders, held, sure, enough = [], [], [], [], [], [], []
     for i, (_, sequence, _) in enumerate(items):
         free = not used[space.ids(sequence)[1]].any()
         for piece in pieces(sequence):
@@ -240,6 +242,7 @@ def _ask(space: Space, items: list[tuple], least: float) -> Asked:
                 continue
             holders.append(np.full(len(kept), len(owner)))
             held.append(kept)
+            sure.append(math.ceil(SURE * len(kept) - 1e-9))
             # A short item stands whole in one passage, so no more terms than words may be missing.
             missing = len(sequence) - demand(len(sequence), least)[0] if len(sequence) < SHORT else len(kept) // 2
             enough.append(max(1, len(kept) - missing))
@@ -251,7 +254,7 @@ def _ask(space: Space, items: list[tuple], least: float) -> Asked:
     first = np.searchsorted(terms[order], np.arange(len(space.vocabulary) + 1))
     return Asked(
         np.array(owner), np.array(loose), _unit(np.array(latent)).astype(np.float32), np.concatenate(holders)[order], first,
-        np.array(enough),
+        np.array(sure), np.array(enough),
     )
 
 
@@ -288,7 +291,7 @@ def _retrieve(docs: DataFrame, space: Space, items: list[tuple], least: float, c
                     counts = asked.counts(owner[mine] - start, terms[mine], stop - start)
                     where, piece = np.nonzero(counts >= enough)
                     alike = np.einsum("pr,pr->p", near[where + start], asked.latent[piece])
-                    passed = (alike >= cosine) | asked.loose[piece]
+                    passed = (alike >= cosine) | (counts[where, piece] >= asked.sure[piece]) | asked.loose[piece]
                     for p, i, c in zip(
                         (where[passed] + start).tolist(), asked.item[piece[passed]].tolist(), alike[passed].tolist(), strict=True
                     ):

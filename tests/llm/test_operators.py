@@ -329,6 +329,17 @@ def test_short_items_leave_clean_documents(spark):
     assert {(r.doc_id, r.item_id) for r in got} == want
 
 
+def test_copies_pass_whatever_their_cosine(spark):
+    ship_package(spark)
+    items = [(n, " ".join(f"w{n}x{i}" for i in range(n))) for n in (8, 12, 50)]
+    docs = [(n, f"before {t} after") for n, t in items]
+    got = decontaminate.find(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"),
+        max_share=1.0, cosine=1.5,
+    ).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(8, 8), (12, 12), (50, 50)}
+
+
 def test_factors_cover_repeated_windows(spark, odd):
     seen, want = set(), {}
     for doc_id, text in sorted(ODD):
