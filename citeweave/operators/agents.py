@@ -1,4 +1,4 @@
-"""Agent trajectories: planner rules, bounded runs and trajectory metrics."""
+"""Agent trajectories: retry rules, reviews, checkpoints and trajectory metrics."""
 
 from __future__ import annotations
 
@@ -6,41 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeweave.functions.metrics import ratio_or
-from citeweave.operators.scale import exact_quantiles, running_totals
+from citeweave.operators.scale import exact_quantiles
 
 REFUSAL_REASONS = [
     "grounded_refusal", "insufficient_evidence", "unrecoverable_tool_failure", "citation_validation_failure",
 ]
 
 
-def planner_decision(rows: DataFrame) -> DataFrame:
-    """Next action, tool and route of a state row."""
-    c = F.col
-    retry = c("retrieval_attempt_count") < c("maximum_retrieval_attempts")
-    terminal = c("termination_reason").isNotNull()
-    action = (
-        F.when(terminal, "refuse")
-        .when(F.size("evidence_ids") == 0, "tool")
-        .when(c("evidence_sufficient").isNull(), "tool")
-        .when(c("evidence_sufficient"), "generate")
-        .when(retry, "tool")
-        .otherwise("refuse")
-    )
-    tool = F.when(
-        c("action") == "tool",
-        F.when((F.size("evidence_ids") > 0) & c("evidence_sufficient").isNull(), "check_evidence_sufficiency")
-        .otherwise("hybrid_retrieve"),
-    )
-    route = (
-        F.when((c("action") == "tool") & (c("tool_call_count") >= c("maximum_tool_calls")), "tool_budget_exhausted")
-        .when(c("action") == "tool", "execute_tool")
-        .when(c("action") == "generate", "generate")
-        .when(c("action") == "human_review", "human_review")
-        .otherwise("grounded_refusal")
-    )
-    return rows.withColumn("action", action).withColumn("selected_tool", tool).withColumn("route", route)
-
-
 def failure_class(message: Column) -> Column:
     low = F.lower(message)
     return (
@@ -59,15 +31,6 @@ def retries_allowed(tool: Column, failure: Column, policy: dict[tuple[str, str],
     return F.coalesce(F.try_element_at(table, F.concat_ws("|", tool, failure)), F.lit(0))
 
 
-def fault_on_calls(calls: DataFrame, key: str, order: str, failing: list[int]) -> DataFrame:
-    """Mark the calls of each key whose running number is in ``failing``."""
-    numbered = running_totals(
-        calls.withColumn("__slot", F.floor(F.col(order) / 1024)), [key], "__slot", [F.col(order)],
-        {"call_no": F.lit(1).cast("bigint")},
-    ).drop("__slot")
-    return numbered.withColumn("faulted", F.col("call_no").isin(*failing))
-
-
 def review_response(rows: DataFrame) -> DataFrame:
     """Apply approve / reject / edit to a state waiting for review.
 
