@@ -8,7 +8,10 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.llm import decontaminate, language, ngram_join, quality, secret_scan, sentencepieces, sharding, substring, topk, toxicity
+from citeweave.llm import (
+    decontaminate, divergence, language, merkle, minhash, ngram_join, quality, secret_scan, sentencepieces, sharding, substring, topk,
+    toxicity,
+)
 from citeweave.llm.common import fold, one_label, table
 from citeweave.session import ship_package
 
@@ -163,3 +166,130 @@ FROM w LEFT JOIN per USING (doc_id)
 @query("op10_substring_dedup", SUBSTRING_SQL)
 def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.deduplicate(table(spark, sf_dir, "documents"))
+
+
+MINHASH_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+    lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id
+  JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 85 * (any_value(x.n) + any_value(y.n) - count(*))),
+reach(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.c = l.a)
+SELECT d.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(r.c) AS component_id, d.doc_id = min(r.c) AS kept
+FROM documents d JOIN reach r ON r.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+
+@query("op11_minhash_dedup", MINHASH_SQL)
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = minhash.groups(table(spark, sf_dir, "documents"))
+    return placed.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def merkle_sql(levels: int = 5) -> str:
+    """SQL for trees of at most 16**levels leaves. A level repeats a tree of one node as it is."""
+
+    def raised(prefix: str) -> str:
+        return "".join(f"""
+{prefix}{k + 1} AS (
+  SELECT tree, place // 16 AS place, any_value((total + 15) // 16) AS total,
+    CASE WHEN any_value(total) > 1 THEN sha256(string_agg(digest, '' ORDER BY place)) ELSE any_value(digest) END AS digest
+  FROM {prefix}{k} GROUP BY tree, place // 16),""" for k in range(levels))
+
+    def sides(prefix: str, tree: str, place: str, first: int) -> str:
+        columns = []
+        for k in range(levels):
+            near = f"FROM {prefix}{k} x WHERE x.tree = {tree} AND x.place // 16 = {place} // {16 ** (k + 1)} AND x.total > 1"
+            for name, sign in (("b", "<"), ("a", ">")):
+                at = f"x.place {sign} {place} // {16 ** k}"
+                columns.append(f"coalesce((SELECT string_agg(x.digest, '' ORDER BY x.place) {near} AND {at}), '') AS {name}{first + k}")
+        return ", ".join(columns)
+
+    crc = "xor(c >> 1, 3988292384 * (c & 1))"
+    shifted = f"list_reduce(list_concat([xor(s, x)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: {crc})"
+    codes = "list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))"
+    crc32 = f"xor(list_reduce(list_concat([4294967295], {codes}), lambda s, x: {shifted}), 4294967295)"
+
+    def part(value: str) -> str:
+        return f"coalesce(strlen({value}) || ':' || {value}, '-')"
+
+    head = " || ".join(part(v) for v in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)"))
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    siblings = sides("l", "d.tree", "d.place", 0) + ", " + sides("t", "''", "r.place", levels)
+    folds = ", ".join(
+        f"f{k + 1} AS (SELECT *, CASE WHEN n{k} > 1 THEN sha256(b{k} || h{k} || a{k}) ELSE h{k} END AS h{k + 1} FROM f{k})"
+        for k in range(2 * levels)
+    )
+    sizes = ", ".join(f"(d.total + {16 ** k - 1}) // {16 ** k} AS n{k}" for k in range(levels))
+    top_sizes = ", ".join(f"(r.total + {16 ** k - 1}) // {16 ** k} AS n{k + levels}" for k in range(levels))
+    proof = " || ".join(f"b{k} || a{k}" for k in range(2 * levels))
+    return f"""
+WITH d AS (
+  SELECT doc_id, coalesce('+' || source, '') AS tree, sha256({head} || {part("text")}) AS leaf,
+    sha256({head} || CASE WHEN {crc32} % 5 = 0 THEN {part(lower)} ELSE {part("text")} END) AS seen FROM documents),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id) - 1 AS place, count(*) OVER (PARTITION BY tree) AS total FROM d),
+l0 AS (SELECT tree, place, total, leaf AS digest FROM leaves),{raised("l")}
+t0 AS (
+  SELECT '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS total, digest, tree AS source_tree
+  FROM l{levels}),{raised("t")}
+f0 AS (
+  SELECT d.doc_id, d.leaf, r.digest AS subroot, d.seen AS h0, {siblings}, {sizes}, {top_sizes}
+  FROM leaves d JOIN t0 r ON r.source_tree = d.tree),
+{folds}
+SELECT doc_id, leaf, subroot, t.digest AS root, sha256({proof}) AS proof_sha256, h{2 * levels} AS folded_root,
+  h{2 * levels} = t.digest AS verified
+FROM f{2 * levels} CROSS JOIN t{levels} t
+"""
+
+
+@query("op12_merkle_manifest", merkle_sql())
+def dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+DIVERGENCE_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+t AS (
+  SELECT row_id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+vocabulary AS (
+  SELECT lang, term, count(*) AS total FROM t GROUP BY lang, term HAVING count(DISTINCT row_id) >= 3),
+langs AS (SELECT lang, count(*) AS v, CAST(sum(total) AS BIGINT) AS n FROM vocabulary GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS c FROM t SEMI JOIN vocabulary USING (lang, term) GROUP BY lang, source, term),
+sums AS (SELECT lang, source, CAST(sum(c) AS BIGINT) AS n FROM c GROUP BY lang, source),
+shares AS (
+  SELECT g.lang, g.source, o.term, coalesce(c.c, 0) AS c, o.total, l.n AS whole, l.v,
+    1 + (1000000000 * (coalesce(c.c, 0) + 1)) // (coalesce(s.n, 0) + l.v) AS p
+  FROM groups g JOIN vocabulary o ON o.lang = g.lang JOIN langs l ON l.lang = g.lang
+  LEFT JOIN sums s ON s.lang = g.lang AND s.source = g.source
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = o.term),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+telling AS (
+  SELECT lang, source, term AS item, (p - q) * (p - q) // q AS value
+  FROM (SELECT *, 1 + (1000000000 * (total + 1)) // (whole + v) AS q FROM shares) WHERE c > 0 AND p > q),
+parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(p.value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL SELECT lang, source, 'term', item, CAST(value AS BIGINT) FROM telling),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM parts)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
+@query("op13_source_divergence", DIVERGENCE_SQL)
+def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
