@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,27 +62,24 @@ def share_column(count: Column, total: Column) -> Column:
     return 1 + _div(high, total) * SCALE_LOW + _div((high % total) * SCALE_LOW, total)
 
 
-def _counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, count, docs) added up; a row with null term for every group that occurs."""
+def _counts(texts: DataFrame) -> DataFrame:
+    """(lang, source, term, count, docs) added up; a row with an empty term for every group that occurs.
+
+    Rows are added under one text: length of the language, language, source, line end, term. A term has no line end.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, sources = (batch.column(i).dictionary_encode() for i in (0, 1))
-            places = len(sources.dictionary)
-            codes = np.asarray(langs.indices).astype(np.int64) * places + np.asarray(sources.indices)
+            groups = batch.column(0).dictionary_encode()
+            codes, heads = np.asarray(groups.indices), groups.dictionary
 
             def rows(code: np.ndarray, terms: pa.Array, counts: np.ndarray, held: np.ndarray) -> pa.RecordBatch:
-                return pa.record_batch(
-                    [
-                        langs.dictionary.take(pa.array(code // places)), sources.dictionary.take(pa.array(code % places)),
-                        terms, pa.array(counts, pa.int64()), pa.array(held, pa.int64()),
-                    ],
-                    names,
-                )
-
-            present = np.unique(codes)
-            yield rows(present, pa.nulls(len(present), pa.string()), np.zeros(len(present)), np.zeros(len(present)))
-            for low, high, data, offsets in slices(batch.column(2), SLICE):
+                keys = pc.binary_join_element_wise(heads.take(pa.array(code)), terms, "\n")
+                return pa.record_batch([keys, pa.array(counts, pa.int64()), pa.array(held, pa.int64())], ["key", "count", "docs"])
+
+            none = np.zeros(len(heads), np.int64)
+            yield rows(np.arange(len(heads)), pa.array([""] * len(heads), pa.string()), none, none)
+            for low, high, data, offsets in slices(batch.column(1), SLICE):
                 data = _TERM[data]
                 found = words(data, offsets)
                 if not len(found.starts):
@@ -99,9 +97,16 @@ def _counts(docs: DataFrame) -> DataFrame:
                 terms = pa.StringArray.from_buffers(len(at), pa.py_buffer(ends), pa.py_buffer(letters))
                 yield rows(code[first], terms, np.diff(np.append(first, len(order))), np.add.reduceat(new_row.astype(np.int64), first))
 
-    names = ["lang", "source", "term", "count", "docs"]
-    found = docs.mapInArrow(count, "lang string, source string, term string, count bigint, docs bigint")
-    return found.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
+    head = F.concat(F.length("lang").cast("string"), F.lit(":"), "lang", "source")
+    found = texts.select(head.alias("head"), "text").mapInArrow(count, "key string, count bigint, docs bigint")
+    added = found.groupBy("key").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
+    term = F.substring_index("key", "\n", -1)
+    size = F.substring_index("key", ":", 1)
+    names = F.substring("key", F.length(size) + 2, F.length("key") - F.length(term) - F.length(size) - 2)
+    return added.select(names.alias("names"), size.cast("int").alias("size"), term.alias("term"), "count", "docs").select(
+        F.substring("names", F.lit(1), F.col("size")).alias("lang"), F.substring("names", F.col("size") + 1, F.length("names")).alias("source"),
+        "term", "count", "docs",
+    )
 
 
 def trees(counts: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
@@ -155,7 +160,7 @@ def audit(docs: DataFrame, lang: str = "lang", source: str = "source", text: str
     """(lang, source, part, item, value, rank): every pair of sources of a language, and each source's telling terms."""
     texts = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text"))])
     counts = stored(_counts(texts))
-    found = counts.where("term is not null")
+    found = counts.where("term <> ''")
     terms = stored(
         found.groupBy("lang", "term").agg(F.sum("count").alias("total"), F.sum("docs").alias("docs"))
         .where(F.col("docs") >= LEAST).select("lang", "term", "total", (-F.col("total")).alias("rare"))
@@ -169,7 +174,7 @@ def audit(docs: DataFrame, lang: str = "lang", source: str = "source", text: str
     langs = placed.groupBy("lang").agg(F.max("kept").alias("kept"))
     sums = kept.groupBy("lang", "source").agg(F.sum("count").alias("sum"))
     groups = stored(
-        counts.where("term is null").select("lang", "source").join(sums, ["lang", "source"], "left").join(langs, "lang", "left")
+        counts.where("term = ''").select("lang", "source").join(sums, ["lang", "source"], "left").join(langs, "lang", "left")
         .select("lang", "source", F.coalesce("sum", F.lit(0)).alias("sum"), F.coalesce("kept", F.lit(0)).alias("kept"))
     )
     most = groups.groupBy("lang").count().agg(F.max("count")).first()[0] or 1
