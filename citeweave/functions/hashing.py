@@ -11,13 +11,16 @@ def blinded_key(seed: int, query_id: Column, chunk_id: Column) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(str(seed)), query_id.cast("string"), chunk_id), 256)
 
 
-def stable_fraction(seed: int, key: Column) -> Column:
-    """First eight digest bytes as an unsigned integer over 2**64."""
-    digest = F.sha2(F.concat_ws(":", F.lit(str(seed)), key), 256)
+def leading_fraction(digest: Column) -> Column:
+    """First eight bytes of a hexadecimal digest as an unsigned integer over 2**64."""
     high = F.conv(F.substring(digest, 1, 16), 16, 10).cast("decimal(20,0)").cast("double")
     return high / F.lit(float(2**64))
 
 
+def stable_fraction(seed: int, key: Column) -> Column:
+    return leading_fraction(F.sha2(F.concat_ws(":", F.lit(str(seed)), key), 256))
+
+
 def canonical_json(value: Column, kind: DataType) -> Column:
     """JSON text with sorted keys, nulls written out, ", " and ": " between parts."""
     if isinstance(kind, StructType):

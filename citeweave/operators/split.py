@@ -9,15 +9,21 @@ is cut by ``checkpoint()``.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from citeweave.functions.hashing import stable_fraction
+from citeweave.functions.hashing import leading_fraction, stable_fraction
 from citeweave.operators.scale import running_totals, with_group_values
 from citeweave.session import ensure_checkpoint_dir
 
 FRACTION_BUCKETS = 4096
+PIECE = 1 << 16
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -79,24 +85,68 @@ def example_components(links: DataFrame) -> DataFrame:
     )
 
 
-def document_keys(links: DataFrame, members: DataFrame) -> DataFrame:
-    """Comma-joined sorted document ids per component, as an ordering name.
-
-    One text per component: use it for components of moderate size; ``split``
-    falls back to the component's own name.
+def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (component, text) in order as comma-joined pieces (component, part, piece, text) of at least ``PIECE`` characters,
+    the last of a run excepted."""
+    part, number = TaskContext.get().partitionId(), 0
+    owner, held, size = None, [], 0
+    for frame in batches:
+        out = []
+        for component, text in zip(frame["component"], frame["text"]):
+            if held and (component != owner or size >= PIECE):
+                out.append((owner, part, number, ",".join(held)))
+                held, size, number = [], 0, number + 1
+            owner = component
+            held.append(text)
+            size += len(text) + 1
+        if out:
+            yield pd.DataFrame(out, columns=["component", "part", "piece", "text"])
+    if held:
+        yield pd.DataFrame([(owner, part, number, ",".join(held))], columns=["component", "part", "piece", "text"])
+
+
+def document_order(links: DataFrame, members: DataFrame, seed: int) -> DataFrame:
+    """(component, fraction, component_key): the place of a component by its sorted, comma-joined document ids.
+
+    The ids of all components are sorted over all tasks and joined to pieces there. One task then feeds the
+    pieces of a component to SHA-256, one after the other, so the joined text never exists as a whole, however
+    many documents a component has. No document is in two components, so the first id with its comma orders
+    components of equal fraction as the whole texts would. Rows without document id are left out.
     """
-    held = links.join(members, "example_id").select("component", "document_id").distinct()
-    return held.groupBy("component").agg(
-        F.concat_ws(",", F.array_sort(F.collect_list("document_id")).cast("array<string>")).alias("component_key")
+    held = links.join(members, "example_id").where("document_id IS NOT NULL").select("component", "document_id").distinct()
+    dealt = held.repartitionByRange("component", "document_id").sortWithinPartitions("component", "document_id")
+    pieces = dealt.select("component", F.col("document_id").cast("string").alias("text")).mapInPandas(
+        _pieces, "component string, part int, piece int, text string"
     )
 
-
-def split(members: DataFrame, dev_fraction: float, seed: int, keys: DataFrame | None = None) -> DataFrame:
+    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        owner, state, first = None, None, ""
+        for frame in batches:
+            out = []
+            for component, text in zip(frame["component"], frame["text"]):
+                if component != owner:
+                    if owner is not None:
+                        out.append((owner, state.hexdigest(), first))
+                    owner, state, first = component, hashlib.sha256(f"{seed}:".encode()), text.split(",", 1)[0] + ","
+                    state.update(text.encode())
+                else:
+                    state.update(f",{text}".encode())
+            if out:
+                yield pd.DataFrame(out, columns=["component", "digest", "component_key"])
+        if owner is not None:
+            yield pd.DataFrame([(owner, state.hexdigest(), first)], columns=["component", "digest", "component_key"])
+
+    streams = pieces.repartition("component").sortWithinPartitions("component", "part", "piece")
+    found = streams.select("component", "text").mapInPandas(digests, "component string, digest string, component_key string")
+    return found.select("component", leading_fraction(F.col("digest")).alias("fraction"), "component_key")
+
+
+def split(members: DataFrame, dev_fraction: float, seed: int, order: DataFrame | None = None) -> DataFrame:
     """Assign whole components to train or dev.
 
-    ``members(example_id, component)``. Components are ordered by a keyed hash
-    of their name (or of ``keys(component, component_key)``); dev is the prefix whose size is closest to the target (the
-    shorter prefix on a tie), never empty and never everything.
+    ``members(example_id, component)``. Components are ordered by ``order(component, fraction, component_key)``, see
+    ``document_order``, or else by a keyed hash of their name; dev is the prefix whose size is closest to the target
+    (the shorter prefix on a tie), never empty and never everything.
     """
     if not 0.0 <= dev_fraction <= 1.0:
         raise ValueError("dev_fraction must be between 0 and 1")
@@ -104,15 +154,18 @@ def split(members: DataFrame, dev_fraction: float, seed: int, keys: DataFrame |
         side = "train" if dev_fraction == 0.0 else "dev"
         return members.withColumn("side", F.lit(side))
     sizes = members.groupBy("component").agg(F.count("*").alias("n"))
-    if keys is None:
-        sizes = sizes.withColumn("component_key", F.col("component"))
-    else:
-        sizes = sizes.join(keys, "component")
-    sizes = sizes.withColumn("fraction", stable_fraction(seed, F.col("component_key"))).withColumn(
-        "bucket", F.floor(F.col("fraction") * FRACTION_BUCKETS)
-    )
+    if order is None:
+        sizes = sizes.withColumn("component_key", F.col("component")).withColumn(
+            "fraction", stable_fraction(seed, F.col("component_key"))
+        )
+    else:  # a component without documents has the empty text as its key
+        sizes = sizes.join(order, "component", "left").select(
+            "component", "n", F.coalesce("component_key", F.lit("")).alias("component_key"),
+            F.coalesce("fraction", stable_fraction(seed, F.lit(""))).alias("fraction"),
+        )
+    sizes = sizes.withColumn("bucket", F.floor(F.col("fraction") * FRACTION_BUCKETS))
     placed = running_totals(
-        sizes, [], "bucket", [F.col("fraction"), F.col("component_key")],
+        sizes, [], "bucket", [F.col("fraction"), F.col("component_key"), F.col("component")],
         {"cumulative": F.col("n"), "prefix": F.lit(1).cast("bigint")},
     )
     totals = sizes.agg(F.sum("n").alias("examples"), F.count("*").alias("components"))

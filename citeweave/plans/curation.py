@@ -11,6 +11,7 @@ from citeweave.operators import chunking, integrity, leakage, record_tables, sel
 from citeweave.plans import sql as S
 from citeweave.plans import tables as P
 from citeweave.plans.registry import query
+from citeweave.session import stored
 from citeweave.sources import catalog, index_store
 
 # --- text functions over whole tables ----------------------------------------
@@ -362,10 +363,15 @@ _COMPONENT_SQL = (
 )
 
 
+def line_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as examples, their lines as documents."""
+    links = P.documents(spark, sf_dir).select(F.col("doc_id").alias("example_id"), F.explode(F.split("text", "\n")).alias("line"))
+    return links.select("example_id", F.sha2("line", 256).alias("document_id"))
+
+
 def line_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that share a line belong together."""
-    links = P.documents(spark, sf_dir).select(F.col("doc_id").alias("example_id"), F.explode(F.split("text", "\n")).alias("line"))
-    return split.example_components(links.select("example_id", F.sha2("line", 256).alias("document_id")))
+    return split.example_components(line_links(spark, sf_dir))
 
 
 @query("split_components", f"{_COMPONENT_SQL} SELECT example_id, component FROM comp")
@@ -375,13 +381,16 @@ def split_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "train_dev_split",
-    f"""{_COMPONENT_SQL}, sizes AS (SELECT component, count(*) AS n, ('0x' || substr(sha256('20260810:' || component), 1, 16))::UBIGINT::DOUBLE AS f FROM comp GROUP BY 1),
-        placed AS (SELECT *, sum(n) OVER (ORDER BY f, component) AS c, row_number() OVER (ORDER BY f, component) AS p, count(*) OVER () AS k, sum(n) OVER () AS total FROM sizes),
+    f"""{_COMPONENT_SQL}, keys AS (SELECT component, string_agg(DISTINCT l, ',' ORDER BY l) AS key FROM comp JOIN links ON d = example_id GROUP BY 1),
+        sizes AS (SELECT component, key, count(*) AS n, ('0x' || substr(sha256('20260810:' || key), 1, 16))::UBIGINT::DOUBLE AS f FROM comp JOIN keys USING (component) GROUP BY 1, 2),
+        placed AS (SELECT *, sum(n) OVER (ORDER BY f, key) AS c, row_number() OVER (ORDER BY f, key) AS p, count(*) OVER () AS k, sum(n) OVER () AS total FROM sizes),
         best AS (SELECT p FROM placed WHERE p < k ORDER BY abs(c - greatest(1, least(total - 1, round_even(total * 0.1, 0)))), p LIMIT 1)
         SELECT example_id, component, CASE WHEN p <= (SELECT p FROM best) THEN 'dev' ELSE 'train' END AS side FROM comp JOIN placed USING (component)""",
 )
 def train_dev_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split.split(line_components(spark, sf_dir), 0.1, 20260810)
+    links = line_links(spark, sf_dir)
+    members = stored(split.example_components(links))
+    return split.split(members, 0.1, 20260810, split.document_order(links, members, 20260810))
 
 
 @query(

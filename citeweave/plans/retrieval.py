@@ -59,7 +59,7 @@ _COSINE = """SELECT a.vec_id AS query_id, b.vec_id AS chunk_id,
   FROM embeddings a, embeddings b"""
 
 
-def _embedding_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def embedding_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = P.table(spark, sf_dir, "embeddings")
     return (
         rows.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector")),
@@ -68,23 +68,23 @@ def _embedding_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
 
 
 
-_DENSE_TOP = (
+DENSE_TOP = (
     f"""WITH s AS ({_COSINE.replace(', 6)', ', 8)')}),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s)
         SELECT query_id, chunk_id, score, rank FROM r WHERE rank <= 10"""
 )
 
 
-@query("dense_top10", _DENSE_TOP)
+@query("dense_top10", DENSE_TOP)
 def dense_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus, asked = _embedding_sides(spark, sf_dir)
+    corpus, asked = embedding_sides(spark, sf_dir)
     return dense.search(corpus, asked, 10).select(*_RANKED)
 
 
-@query("dense_top10_grid", _DENSE_TOP)
+@query("dense_top10_grid", DENSE_TOP)
 def dense_top10_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The path for query tables beyond the broadcast bound."""
-    corpus, asked = _embedding_sides(spark, sf_dir)
+    corpus, asked = embedding_sides(spark, sf_dir)
     return dense.search(corpus, asked, 10, max_broadcast_queries=0, cell_rows=256).select(*_RANKED)
 
 
@@ -102,7 +102,7 @@ def dense_chunks_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def backend_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both dense paths must give the same ranking for every query vector."""
-    corpus, asked = _embedding_sides(spark, sf_dir)
+    corpus, asked = embedding_sides(spark, sf_dir)
     left = dense.search(corpus, asked, 10)
     right = dense.search(corpus, asked, 10, max_broadcast_queries=0, cell_rows=256)
     return fusion.rank_agreement(left, right, 10)
