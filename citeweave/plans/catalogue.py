@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from citeweave.plans import curation, evaluation, grounding, retrieval, training  # noqa: F401
+from citeweave.plans import curation, evaluation, grounding, retrieval, studies, training  # noqa: F401
 from citeweave.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
