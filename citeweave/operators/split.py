@@ -85,26 +85,6 @@ def example_components(links: DataFrame) -> DataFrame:
     )
 
 
-def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (component, text) in order as comma-joined pieces (component, part, piece, text) of at least ``PIECE`` characters,
-    the last of a run excepted."""
-    part, number = TaskContext.get().partitionId(), 0
-    owner, held, size = None, [], 0
-    for frame in batches:
-        out = []
-        for component, text in zip(frame["component"], frame["text"]):
-            if held and (component != owner or size >= PIECE):
-                out.append((owner, part, number, ",".join(held)))
-                held, size, number = [], 0, number + 1
-            owner = component
-            held.append(text)
-            size += len(text) + 1
-        if out:
-            yield pd.DataFrame(out, columns=["component", "part", "piece", "text"])
-    if held:
-        yield pd.DataFrame([(owner, part, number, ",".join(held))], columns=["component", "part", "piece", "text"])
-
-
 def document_order(links: DataFrame, members: DataFrame, seed: int) -> DataFrame:
     """(component, fraction, component_key): the place of a component by its sorted, comma-joined document ids.
 
@@ -113,10 +93,28 @@ def document_order(links: DataFrame, members: DataFrame, seed: int) -> DataFrame
     many documents a component has. No document is in two components, so the first id with its comma orders
     components of equal fraction as the whole texts would. Rows without document id are left out.
     """
+    def join_ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Sorted ids as comma-joined pieces (component, part, piece, text) of ``PIECE`` characters or a little more."""
+        part, number = TaskContext.get().partitionId(), 0
+        owner, held, size = None, [], 0
+        for frame in batches:
+            out = []
+            for component, text in zip(frame["component"], frame["text"]):
+                if held and (component != owner or size >= PIECE):
+                    out.append((owner, part, number, ",".join(held)))
+                    held, size, number = [], 0, number + 1
+                owner = component
+                held.append(text)
+                size += len(text) + 1
+            if out:
+                yield pd.DataFrame(out, columns=["component", "part", "piece", "text"])
+        if held:
+            yield pd.DataFrame([(owner, part, number, ",".join(held))], columns=["component", "part", "piece", "text"])
+
     held = links.join(members, "example_id").where("document_id IS NOT NULL").select("component", "document_id").distinct()
     dealt = held.repartitionByRange("component", "document_id").sortWithinPartitions("component", "document_id")
     pieces = dealt.select("component", F.col("document_id").cast("string").alias("text")).mapInPandas(
-        _pieces, "component string, part int, piece int, text string"
+        join_ids, "component string, part int, piece int, text string"
     )
 
     def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
