@@ -298,3 +298,40 @@ def regression_failures(report: DataFrame, minimums: dict[str, float], expected:
     ]
     found = F.explode_outer(F.array_compact(F.array(*identity, *floors)))
     return report.select(found.alias("failure")).where("failure IS NOT NULL")
+
+
+# The identities and floors of a regression policy, in the order of its messages.
+IDENTITIES = ["query_count", "generation_provider", "generation_model"]
+FLOORS = [
+    "answerability_accuracy", "answerable_completion_rate", "unsupported_refusal_rate", "claim_citation_coverage_rate",
+    "citation_reference_validity_rate", "source_document_coverage_rate", "expected_term_recall", "structural_validity_rate",
+]
+
+
+def policy_failures(reports: DataFrame, policies: DataFrame, key: str) -> DataFrame:
+    """(key, position, failure): what every report breaks of its policy, in the order of the policy.
+
+    ``reports`` has ``key``, the identities and the rates; ``policies`` has ``key``, ``expected_*`` for the identities and
+    ``minimum_*`` for the floors. A policy without report fails once; a rate that is missing or no share fails as such.
+    """
+    both = policies.join(reports.withColumn("__there", F.lit(True)), key, "left")
+    there = F.col("__there").isNotNull()
+    kinds = dict(reports.dtypes)
+
+    def shown(column: str, name: str) -> Column:
+        text = F.coalesce(F.col(column).cast("string"), F.lit("null"))
+        return F.concat(F.lit("'"), text, F.lit("'")) if kinds[name] == "string" else text
+
+    checks = [F.when(~there, F.lit("report: missing"))]
+    for name in IDENTITIES:
+        message = F.concat(F.lit(f"{name}: expected "), shown(f"expected_{name}", name), F.lit(", found "), shown(name, name))
+        checks.append(F.when(there & ~F.col(name).eqNullSafe(F.col(f"expected_{name}")), message))
+    for name in FLOORS:
+        rate, least = F.col(name).cast("double"), F.col(f"minimum_{name}").cast("double")
+        no_share = ~F.coalesce(rate.between(0.0, 1.0), F.lit(False)) | F.isnan(rate)
+        checks.append(
+            F.when(there & no_share, F.concat(F.lit(f"{name}: no share: "), F.coalesce(rate.cast("string"), F.lit("null"))))
+            .when(there & (rate < least), F.format_string(f"{name}: found %.4f, required at least %.4f", rate, least))
+        )
+    listed = F.posexplode(F.array(*checks)).alias("position", "failure")
+    return both.select(key, listed).where("failure IS NOT NULL")

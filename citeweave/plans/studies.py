@@ -594,3 +594,36 @@ def adaptive_paired_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 def paired_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = paired_study.paired_questions(single_runs(spark, sf_dir), adaptive_runs(spark, sf_dir), ["total_latency_ms", "retrieval_attempt_count"])
     return pairs.withColumn("total_latency_ms_delta", F.round("total_latency_ms_delta", 6))
+
+
+_FLOORS = {"single_pass": 0.55, "bounded_adaptive": 0.7}
+_FLOOR_SQL = " UNION ALL ".join(
+    f"SELECT condition, {i + 4} AS position, '{m}: found ' || printf('%.4f', {m}) || ', required at least ' || printf('%.4f', least) AS failure FROM p WHERE {m} < least"
+    for i, m in enumerate(answer_metrics.FLOORS)
+)
+
+
+@query(
+    "policy_failures",
+    f"""WITH {_QUALITY_SQL}, p AS (SELECT *, CASE condition {' '.join(f"WHEN '{c}' THEN {v}" for c, v in _FLOORS.items())} END AS least,
+          (SELECT count(*) FROM orders) AS query_count, (SELECT min(o_orderpriority) FROM orders) AS generation_model FROM rates)
+      SELECT condition, position, failure FROM (
+        SELECT 'other' AS condition, 0 AS position, 'report: missing' AS failure
+        UNION ALL SELECT condition, 1, 'query_count: expected ' || (SELECT count(*) FROM customer) || ', found ' || query_count FROM p WHERE query_count <> (SELECT count(*) FROM customer)
+        UNION ALL SELECT condition, 2, 'generation_provider: expected ''remote'', found ''local''' FROM p WHERE condition = 'single_pass'
+        UNION ALL SELECT condition, 3, 'generation_model: expected ''5-LOW'', found ''' || generation_model || '''' FROM p WHERE generation_model <> '5-LOW'
+        UNION ALL {_FLOOR_SQL})""",
+)
+def policy_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both conditions against a policy each, with all identities and floors; a third policy has no report."""
+    orders = P.table(spark, sf_dir, "orders").agg(F.min("o_orderpriority").alias("generation_model"))
+    reports = answer_metrics.summarize_answers(study_answers(spark, sf_dir), ["condition"]).select(
+        "condition", "query_count", F.lit("local").alias("generation_provider"), orders.scalar().alias("generation_model"), *answer_metrics.FLOORS
+    )
+    customers = P.table(spark, sf_dir, "customer").agg(F.count("*").alias("n"))
+    rows = [(c, "remote" if c == "single_pass" else "local", *[v] * len(answer_metrics.FLOORS)) for c, v in [*_FLOORS.items(), ("other", 0.5)]]
+    names = ["condition", "expected_generation_provider", *[f"minimum_{m}" for m in answer_metrics.FLOORS]]
+    policies = spark.createDataFrame(rows, names).select(
+        "*", customers.scalar().alias("expected_query_count"), F.lit("5-LOW").alias("expected_generation_model")
+    )
+    return answer_metrics.policy_failures(reports, policies, "condition")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from citeweave.functions import nested, prompting
-from citeweave.operators import closed_book, paired_study, receipts, spread, stage_timings, taxonomy
+from citeweave.operators import answer_metrics, closed_book, paired_study, receipts, spread, stage_timings, taxonomy
 
 R = closed_book.REFUSAL
 
@@ -211,3 +211,17 @@ def test_spread_takes_the_same_rows_as_a_sort(spark, count):
     ordered = sorted(rows, key=lambda r: (r[1], r[0]))
     assert found(spread.select_spread(table, "size", "id", count), "id", "size") == sorted((ordered[i] for i in spread.wanted_ranks(100, count)), key=repr)
     assert spread.wanted_ranks(6, 4) == [0, 2, 3, 5] and spread.wanted_ranks(5, 1) == [2] and spread.wanted_ranks(0, 3) == []
+
+
+def test_policy_lists_every_failure_in_order(spark):
+    rates = {m: 0.9 for m in answer_metrics.FLOORS}
+    reports = [("good", 10, "p", "m", *rates.values()), ("bad", 9, "q", None, *{**rates, "expected_term_recall": 0.5, "structural_validity_rate": 1.5}.values())]
+    named = ["id", *answer_metrics.IDENTITIES, *answer_metrics.FLOORS]
+    table = spark.createDataFrame(reports, ", ".join(f"{n} {k}" for n, k in zip(named, ["string", "long", "string", "string"] + ["double"] * 8, strict=True)))
+    wanted = ["id", *[f"expected_{n}" for n in answer_metrics.IDENTITIES], *[f"minimum_{n}" for n in answer_metrics.FLOORS]]
+    policies = spark.createDataFrame([(i, 10, "p", "m", *rates.values()) for i in ("good", "bad", "gone")], wanted)
+    assert found(answer_metrics.policy_failures(table, policies, "id"), "id", "position", "failure") == [
+        ("bad", 1, "query_count: expected 10, found 9"), ("bad", 10, "expected_term_recall: found 0.5000, required at least 0.9000"),
+        ("bad", 11, "structural_validity_rate: no share: 1.5"), ("bad", 2, "generation_provider: expected 'p', found 'q'"),
+        ("bad", 3, "generation_model: expected 'm', found 'null'"), ("gone", 0, "report: missing"),
+    ]
