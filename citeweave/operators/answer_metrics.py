@@ -86,8 +86,8 @@ RATES = [
 ]
 
 
-def summarize_answers(evaluated: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """All counts and rates in one aggregation; an empty denominator gives 1.0."""
+def summarize_answers(evaluated: DataFrame, keys: list[str] | None = None, digits: int | None = 6) -> DataFrame:
+    """All counts and rates in one aggregation; an empty denominator gives 1.0. ``digits`` None leaves rates as they are."""
     done = ~F.col("generation_failed")
     wanted = F.col("expected_answerable")
     given = F.col("predicted_answerable")
@@ -128,9 +128,8 @@ def summarize_answers(evaluated: DataFrame, keys: list[str] | None = None) -> Da
         "expected_term_recall": ("matched_term_total", "expected_term_total"),
         "structural_validity_rate": ("structurally_valid_answer_count", "query_count"),
     }
-    return counts.withColumns(
-        {n: F.round(success_rate(F.col(a), F.col(b)), 6) for n, (a, b) in pairs.items()}
-    )
+    rates = {n: success_rate(F.col(a), F.col(b)) for n, (a, b) in pairs.items()}
+    return counts.withColumns(rates if digits is None else {n: F.round(r, digits) for n, r in rates.items()})
 
 
 def provider_telemetry(rows: DataFrame, kind_key: str = "provider") -> DataFrame:

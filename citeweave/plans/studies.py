@@ -514,14 +514,10 @@ _COUNT_SQL = """SELECT condition, count(*) AS query_count, coalesce(sum(n) FILTE
       round(quantile_cont(retrieval_ms, 0.5) FILTER (WHERE NOT failed), 6) AS p50_retrieval_ms, round(quantile_cont(retrieval_ms, 0.95) FILTER (WHERE NOT failed), 6) AS p95_retrieval_ms FROM rows GROUP BY 1"""
 
 
-def study_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = paired_study.condition_report(study_rows(spark, sf_dir))
-    return report.withColumns({c: F.round(c, 6) for c in report.columns if c.startswith(("mean_", "p50_", "p95_"))})
-
-
 @query("adaptive_condition_report", f"WITH {_STUDY_SQL}, {_REPORT_SQL} {_COUNT_SQL}")
 def adaptive_condition_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return study_report(spark, sf_dir)
+    report = paired_study.condition_report(study_rows(spark, sf_dir))
+    return report.withColumns({c: F.round(c, 6) for c in report.columns if c.startswith(("mean_", "p50_", "p95_"))})
 
 
 _QUALITY_SQL = """ev AS (
@@ -574,14 +570,14 @@ _DELTAS = [*answer_metrics.RATES, *paired_study.LATENCIES]
 
 @query(
     "adaptive_paired_deltas",
-    f"""WITH {_STUDY_SQL}, {_REPORT_SQL}, {_QUALITY_SQL}, r AS ({_COUNT_SQL}), b AS (SELECT * FROM rates JOIN r USING (condition))
+    f"""WITH {_STUDY_SQL}, {_REPORT_SQL}, {_QUALITY_SQL}, r AS ({_COUNT_SQL.replace('round(', '(').replace(', 6) AS', ') AS')}), b AS (SELECT * FROM rates JOIN r USING (condition))
       SELECT unnest([{', '.join(f"'{m}'" for m in _DELTAS)}]) AS metric, unnest([{', '.join(f"round(t.{m}::DOUBLE - s.{m}::DOUBLE, 6)" for m in _DELTAS)}]) AS delta
       FROM b t, b s WHERE t.condition = 'bounded_adaptive' AND s.condition = 'single_pass'""",
 )
 def adaptive_paired_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fifteen metrics, adaptive minus single pass."""
-    quality = answer_metrics.summarize_answers(study_answers(spark, sf_dir), ["condition"]).select("condition", *answer_metrics.RATES)
-    both = stored(quality.join(study_report(spark, sf_dir), "condition"))
+    """Fifteen metrics, adaptive minus single pass, each rounded once."""
+    quality = answer_metrics.summarize_answers(study_answers(spark, sf_dir), ["condition"], None).select("condition", *answer_metrics.RATES)
+    both = stored(quality.join(paired_study.condition_report(study_rows(spark, sf_dir)), "condition"))
     return answer_metrics.condition_deltas(both, "condition", "bounded_adaptive", "single_pass", _DELTAS).select("metric", "delta")
 
 
@@ -617,7 +613,7 @@ _FLOOR_SQL = " UNION ALL ".join(
 def policy_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both conditions against a policy each, with all identities and floors; a third policy has no report."""
     orders = P.table(spark, sf_dir, "orders").agg(F.min("o_orderpriority").alias("generation_model"))
-    reports = answer_metrics.summarize_answers(study_answers(spark, sf_dir), ["condition"]).select(
+    reports = answer_metrics.summarize_answers(study_answers(spark, sf_dir), ["condition"], None).select(
         "condition", "query_count", F.lit("local").alias("generation_provider"), orders.scalar().alias("generation_model"), *answer_metrics.FLOORS
     )
     customers = P.table(spark, sf_dir, "customer").agg(F.count("*").alias("n"))
