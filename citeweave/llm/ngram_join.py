@@ -7,7 +7,8 @@ least ``need = ceil(t n)`` of them are in any linked set, so the first ``n - nee
 contain the first l common ones: two linked sets share l shingles within their l-prefixes. Every
 document chooses its own l: a longer prefix costs more postings, but fewer candidates share l of
 them; the sketch estimates both. A pair needs ``min(l1, l2)`` shared shingles, counted in the
-prefixes of that l, before its sets are compared exactly.
+prefixes of that l, before its sets are compared exactly. For a pair the sizes tell more: with
+``c = t / (1 + t) (n1 + n2)`` common shingles needed, prefixes of ``n - c + l`` do.
 
 Components need not see every link. First each document is compared with two leaders of the postings
 it shares (the smallest id and the most central document), which collapses groups of near copies
@@ -18,7 +19,10 @@ common shingles outside that centre if their parts in common with it are too sma
 so they are joined on those instead.
 
 Hot postings: a posting list whose sketch count is below ``COLD`` cannot be longer than that; a list
-that may be longer is dealt into parts with a leader each.
+that may be longer is dealt into parts with a leader each. The members of a list are never paired
+as they are: they are grouped by set size and place of the shingle, groups are paired first, and only
+groups whose sizes and places leave room for enough common shingles have their members paired. A
+shingle that all pages of a template share, each beside words of its own, thus costs its groups.
 
 Defined results: null, empty and blank texts have no shingle and stay alone (component = own id);
 with fewer words than ``size`` the whole sequence is the one shingle; repeated rows get the same
@@ -32,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeweave.llm.common import stored
@@ -144,7 +148,7 @@ def prefixes(
 
 
 def _postings(docs: DataFrame, keys: DataFrame, sets: Sets, size: int, percent: int) -> DataFrame:
-    """(token, key, n, l, r, parts): r is the smallest l whose prefix holds the token."""
+    """(token, key, n, l, at, parts): at is the token's place in the document's order, from 0."""
     usual = float(np.median(sets.sketch))
     shared = docs.sparkSession.sparkContext.broadcast(sets.sketch.astype(np.int64))
 
@@ -164,12 +168,8 @@ def _postings(docs: DataFrame, keys: DataFrame, sets: Sets, size: int, percent:
     key = docs.schema["key"].dataType.simpleString()
     rows = docs.select("key", "text").mapInArrow(cut, f"key {key}, n int, l int, tokens array<bigint>, parts array<int>")
     one = rows.join(keys, "key", "left_semi")
-    spare = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int")
     flat = one.select("key", "n", "l", F.posexplode(F.arrays_zip("tokens", "parts")).alias("at", "t"))
-    return flat.select(
-        F.col("t.tokens").alias("token"), "key", "n", "l", F.greatest(F.lit(1), F.col("at") + 1 - spare).cast("int").alias("r"),
-        F.col("t.parts").alias("parts"),
-    )
+    return flat.select(F.col("t.tokens").alias("token"), "key", "n", "l", "at", F.col("t.parts").alias("parts"))
 
 
 def _shared(postings: DataFrame) -> DataFrame:
@@ -180,8 +180,8 @@ def _shared(postings: DataFrame) -> DataFrame:
     """
     part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("key"), F.col("parts"))).otherwise(F.lit(0)).cast("int")
     lists = Window.partitionBy("token", "part")
-    return postings.select("token", part.alias("part"), "key", "n", "l", "r", "parts").select(
-        "token", "key", "n", "l", "r", F.min("key").over(lists).alias("leader"),
+    return postings.select("token", part.alias("part"), "key", "n", "l", "at", "parts").select(
+        "token", "key", "n", "l", "at", F.min("key").over(lists).alias("leader"),
         ((F.col("parts") > 1) | (F.min("key").over(lists) < F.max("key").over(lists))).alias("stays"),
     ).where("stays").drop("stays")
 
@@ -240,40 +240,78 @@ def _fits(percent: int):
     return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
 
 
+def _common(percent: int) -> Column:
+    """Common shingles that sets of na and nb need."""
+    return F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / (100 + percent))
+
+
 def _by_leader(rows: DataFrame, percent: int) -> DataFrame:
     """For each document the leader with which it shares most tokens, if they are enough for a candidate.
 
-    ``rows``: (token, key, n, l, r, leader, ln, ll, lr).
+    ``rows``: (token, key, n, l, at, leader, ln, ll, lat).
     """
-    valid = (F.col("r") <= F.col("ll")) & (F.col("lr") <= F.col("l"))
-    pairs = rows.where(F.col("key") != F.col("leader")).where(valid).select(
+    pairs = rows.where(F.col("key") != F.col("leader")).select(
         F.col("key").alias("a"), F.col("leader").alias("b"), F.col("n").alias("na"), F.col("ln").alias("nb"),
-        F.least("l", "ll").alias("least"),
+        F.least("l", "ll").alias("least"), "at", "lat",
     ).where(_fits(percent))
-    counted = pairs.groupBy("a", "b", "least").agg(F.count("*").alias("c")).where("c >= least")
+    inside = (F.col("at") < F.col("na") - _common(percent) + F.col("least")) & (
+        F.col("lat") < F.col("nb") - _common(percent) + F.col("least")
+    )
+    counted = pairs.where(inside).groupBy("a", "b", "least").agg(F.count("*").alias("c")).where("c >= least")
     return counted.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
 
 
+def _met(rows: DataFrame, lists: list[str], kind: list[str], allowed: Column, carried: list[str]) -> DataFrame:
+    """Pairs (keya, keyb) of different components whose rows share a list, with ``kind`` and ``carried`` of both sides.
+
+    Rows of one list and one ``kind`` form a group. Groups are paired under ``allowed``, a condition on the kinds
+    of both sides, and members meet only inside paired groups, on the list and both kinds.
+    """
+    groups = stored(rows.groupBy(*lists, *kind).agg(F.min("comp").alias("low"), F.max("comp").alias("high")))
+    sides = [groups.select(*lists, *[F.col(c).alias(f"{c}{x}") for c in [*kind, "low", "high"]]) for x in "ab"]
+    paired = sides[0].join(sides[1], lists).where("lowa < highb").where(allowed).drop("lowa", "lowb", "higha", "highb")
+    left, right = [
+        rows.select(*lists, *[F.col(c).alias(f"{c}{x}") for c in dict.fromkeys(["key", "comp", *kind, *carried])]) for x in "ab"
+    ]
+    opened = left.join(stored(paired), [*lists, *[f"{c}a" for c in kind]])
+    return opened.join(right, [*lists, *[f"{c}b" for c in kind]]).where("compa < compb")
+
+
 def _crossing(rows: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of different components; ``rows``: (token, key, n, l, r, comp, centre, o).
+    """Candidate pairs of different components; ``rows``: (token, key, n, l, at, comp, centre, o).
 
-    Of two documents with the same centre, the common part is at most the smaller part in common with the centre
-    and what both hold beside it. Where the former does not suffice, ``_beside_centres`` finds the pair.
+    Two sets with enough in common share a token within the prefixes of l = 1, so pairs are taken from those alone;
+    tokens shared in the prefixes of the pair's own l are then counted. Of two documents with the same centre, the
+    common part is at most the smaller part in common with the centre and what both hold beside it. Where the former
+    does not suffice, ``_beside_centres`` finds the pair.
     """
     mixed = rows.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
     rest = stored(rows.join(stored(mixed), "token"))
-    fields = ("key", "n", "l", "r", "comp", "centre", "o")
-    left = rest.select("token", *[F.col(c).alias(f"{c}a") for c in fields])
-    right = rest.select("token", *[F.col(c).alias(f"{c}b") for c in fields])
     open_pair = F.coalesce(
         (F.col("centrea") != F.col("centreb"))
         | ((100 + percent) * F.least("oa", "ob") >= percent * (F.col("na") + F.col("nb"))), F.lit(True)
     )
-    met = left.join(right, "token").where("compa < compb and ra <= lb and rb <= la").where(_fits(percent)).where(open_pair)
-    return (
-        met.groupBy(F.col("keya").alias("a"), F.col("keyb").alias("b"), F.least("la", "lb").alias("least"))
-        .agg(F.count("*").alias("c")).where("c >= least").select("a", "b")
+    first = _fits(percent) & (F.col("ata") <= F.col("na") - _common(percent)) & (
+        F.col("atb") <= F.col("nb") - _common(percent)
+    )
+    head = rest.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100))
+    met = _met(head, ["token"], ["n", "at"], first, ["l", "centre", "o"]).where(open_pair)
+    pairs = stored(
+        met.select(
+            F.col("keya").alias("a"), F.col("keyb").alias("b"), F.least("la", "lb").alias("least"),
+            *[(F.col(f"n{x}") - _common(percent) + F.least("la", "lb")).cast("int").alias(f"cut{x}") for x in "ab"],
+        ).distinct()
+    )
+    several = pairs.where("least > 1")
+    wanted = several.select(F.col("a").alias("key")).union(several.select(F.col("b").alias("key"))).distinct()
+    held = stored(rest.join(wanted, "key", "left_semi").groupBy("key").agg(F.collect_list(F.struct("at", "token")).alias("p")))
+    both = several.join(held.select(F.col("key").alias("a"), F.col("p").alias("pa")), "a").join(
+        held.select(F.col("key").alias("b"), F.col("p").alias("pb")), "b"
     )
+    inside_a = F.filter("pa", lambda t: t["at"] < F.col("cuta"))["token"]
+    inside_b = F.filter("pb", lambda t: t["at"] < F.col("cutb"))["token"]
+    enough = both.where(F.size(F.array_intersect(inside_a, inside_b)) >= F.col("least"))
+    return pairs.where("least = 1").select("a", "b").union(enough.select("a", "b"))
 
 
 def _beside_centres(centred: DataFrame, percent: int) -> DataFrame:
@@ -290,16 +328,12 @@ def _beside_centres(centred: DataFrame, percent: int) -> DataFrame:
     own = Window.partitionBy("key")
     placed = stored(
         rest.withColumn("at", F.row_number().over(own.orderBy("many", "token"))).withColumn("w", F.count("*").over(own))
+        .withColumn("behind", F.col("w") - F.col("at"))
     )
-    fields = ("key", "n", "o", "comp", "at", "w")
-    left = placed.select("centre", "token", *[F.col(c).alias(f"{c}a") for c in fields])
-    right = placed.select("centre", "token", *[F.col(c).alias(f"{c}b") for c in fields])
-    common = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / (100 + percent))
-    short = F.greatest(F.lit(1), common - F.least("oa", "ob"))
-    met = left.join(right, ["centre", "token"]).where("compa < compb").where(_fits(percent))
-    return met.where((F.col("ata") <= F.col("wa") - short + 1) & (F.col("atb") <= F.col("wb") - short + 1)).select(
-        F.col("keya").alias("a"), F.col("keyb").alias("b")
-    ).distinct()
+    short = F.greatest(F.lit(1), _common(percent) - F.least("oa", "ob"))
+    allowed = _fits(percent) & (F.least("behinda", "behindb") + 1 >= short)
+    met = _met(placed, ["centre", "token"], ["n", "o", "behind"], allowed, [])
+    return met.select(F.col("keya").alias("a"), F.col("keyb").alias("b")).distinct()
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -310,15 +344,15 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5
     classes = stored(filled.groupBy("s1", "s2").agg(F.min("key").alias("rep")))
     keys = classes.where("rep is not null").select(F.col("rep").alias("key"))
     shared = stored(_shared(_postings(work.docs, keys, sets, size, percent)))
-    own = [F.col(c).alias(f"l{c}") for c in ("n", "l", "r")]
+    own = [F.col(c).alias(f"l{c}") for c in ("n", "l", "at")]
     head = shared.where("key = leader").select("token", "leader", *own)
     smallest = _by_leader(shared.join(head, ["token", "leader"]), percent)
     # The most central document of a list has the fewest prefix tokens that nobody shares.
     cut = F.least(F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + F.col("l"), F.col("n"))
     lost = stored(shared.groupBy("key").agg((F.count("*") - F.max(cut)).alias("lost")))
-    order = F.struct("lost", "key", "n", "l", "r")
+    order = F.struct("lost", "key", "n", "l", "at")
     tops = stored(shared.join(lost, "key").groupBy("token").agg(F.max(order).alias("top")).select(
-        "token", F.col("top.key").alias("leader"), *[F.col(f"top.{c}").alias(f"l{c}") for c in ("n", "l", "r")]
+        "token", F.col("top.key").alias("leader"), *[F.col(f"top.{c}").alias(f"l{c}") for c in ("n", "l", "at")]
     ))
     central = _by_leader(shared.drop("leader").join(tops, "token"), percent)
     stars = central.withColumn("central", F.lit(True)).union(smallest.withColumn("central", F.lit(False)))
@@ -332,7 +366,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5
     centred = stored(around.join(near, "key", "left").select("key", "n", "centre", "o", "d", place))
     rows = stored(
         shared.join(centred.select("key", "centre", "o"), "key", "left").join(near, "key", "left")
-        .select("token", "key", "n", "l", "r", place, "centre", "o")
+        .select("token", "key", "n", "l", "at", place, "centre", "o")
     )
     pairs = stored(_crossing(rows, percent).union(_beside_centres(centred, percent)).distinct())
     known = components(stored(links.union(work.linked(work.compare(pairs)))))

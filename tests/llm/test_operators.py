@@ -212,6 +212,33 @@ def test_near_copies_with_strays(spark):
     assert all(r.n_shingles == len(sets[r.doc_id]) for r in got)
 
 
+def test_template_lines_are_not_paired(spark, monkeypatch):
+    """Rows that share all but one shingle of a short template: none is linked, and no pair of them is opened.
+
+    Rows with two more words of the template link in pairs, over the same hot shingles.
+    """
+    ship_package(spark)
+    tail = "of our site may copy this page with notice only"
+    rows = [(i, f"user{i} {tail}") for i in range(1500)]
+    rows += [(2000 + i, f"{tail} and keep all of these lines as they are for reader{i // 2} x{i % 2}") for i in range(40)]
+    opened = []
+    real = ngram_join._met
+
+    def counting(*args):
+        met = real(*args)
+        opened.append(met.count())
+        return met
+
+    monkeypatch.setattr(ngram_join, "_met", counting)
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    found = {r.doc_id: r.component_id for r in got}
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in rows}
+    near = [(a, b) for a in range(2000, 2040) for b in range(2000, a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    joined = {r["id"]: r["component"] for r in graph.components(spark.createDataFrame(near, "a long, b long")).collect()}
+    assert found == {i: joined.get(i, i) for i, _ in rows}
+    assert len(opened) == 2 and sum(opened) < len(rows)
+
+
 def test_words_and_windows():
     texts = ["a bb  a", "", None, " x y z", "tail a"]
     data, offsets = textops.raw(pa.array(texts))
