@@ -5,15 +5,17 @@ segment of length l, the squared distance of two vectors is at least the sum ove
 ``l * ((m1 - m2)**2 + (s1 - s2)**2)``, and finer cuts give larger bounds. As ``2 q.x = |q|**2 +
 |x|**2 - distance**2``, a lower bound of the distance is an upper bound of the product. A block of
 queries is compared with a block of vectors coarse to fine: pairs whose bound falls below the
-query's k-th best product so far leave, and only survivors are multiplied out, in 64-bit integers.
+query's k-th best product so far leave, and only survivors are multiplied out, in 64-bit integers
+or, where the largest components of two blocks could leave 64 bits on the way, in Python's.
 
 Queries and vectors are dealt into blocks whose number follows their counts; every query block
 meets every vector block in its own task. A task returns at most k rows per query, so neither side
 is broadcast and no pair table exists.
 
-Defined results: vectors that are null or hold a null or non-finite component take no part, nor do
-those with a component beyond ``LARGEST`` (products would leave 64 bits); vectors of different
-length are never compared; equal products go to the smaller id, repeated ids are separate rows.
+Defined results: vectors that are null or hold a null or non-finite component take no part; vectors of
+different length are never compared, vectors without components have product 0; equal products go to
+the smaller id, repeated ids are separate rows. A scaled component or a product of a pair that is
+multiplied out beyond 64 bits has no place in the result's type and ends the job with an error.
 """
 
 from __future__ import annotations
@@ -28,17 +30,30 @@ from citeweave.operators.scale import top_k
 QUERY_BLOCK = 1024
 VECTOR_BLOCK = 16384
 STEP = 2048
-LARGEST = 1 << 26
-NONE = -(1 << 62)  # below every product
+NONE = 1 - (1 << 63)  # below every product, and its negative fits
 
 
 def integers(vector: str, scale: int = 1024) -> Column:
     """floor(scale * x) of every component as long; null for a vector that takes no part."""
-    cells = F.transform(F.col(vector), lambda x: x.cast("double") * scale)
+    wide = F.raise_error(F.lit("a vector has a component beyond 64 bits after scaling"))
     sound = F.forall(
-        cells, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) <= LARGEST), F.lit(False))
+        F.col(vector), lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))
+    )
+    cells = F.transform(F.col(vector), lambda x: x.cast("double") * scale)
+    return F.when(sound, F.transform(cells, lambda x: F.when(F.abs(x) < 2.0**63, F.floor(x)).otherwise(wide)))
+
+
+def products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Exact inner products along the last axis; an error where one leaves 64 bits."""
+    limit = left.shape[-1] * float(np.abs(left.astype(np.float64)).max(initial=0)) * float(
+        np.abs(right.astype(np.float64)).max(initial=0)
     )
-    return F.when(sound, F.transform(cells, lambda x: F.floor(x)))
+    if limit < 2.0**62:
+        return np.einsum("...d,...d->...", left, right)
+    exact = (left.astype(object) * right.astype(object)).sum(axis=-1)
+    if any(abs(x) >= -NONE for x in exact.ravel()):
+        raise OverflowError("an inner product leaves 64 bits")
+    return exact.astype(np.int64)
 
 
 def levels(dimension: int) -> list[np.ndarray]:
@@ -81,7 +96,7 @@ def best_of_block(
         # With no k-th product yet, the best k by the coarse bound are multiplied out first.
         if low == 0 and len(part) > k and cuts:
             seeds = np.argpartition(-bound, k, axis=1)[:, : k + 1]
-            first = np.einsum("qd,qsd->qs", queries, part[seeds])
+            first = np.stack([products(queries, part[s]) for s in seeds.T], axis=1)
             first[part_ids[seeds] == query_ids[:, None]] = NONE
             kth = np.maximum(kth, np.sort(first, axis=1)[:, -k].astype(np.float64))
         rows, columns = np.nonzero((bound + slack >= kth[:, None]) & (part_ids[None, :] != query_ids[:, None]))
@@ -95,7 +110,7 @@ def best_of_block(
         exact = np.zeros(len(rows), np.int64)
         for at in range(0, len(rows), 1 << 16):
             r, c = rows[at : at + (1 << 16)], columns[at : at + (1 << 16)]
-            exact[at : at + (1 << 16)] = np.einsum("pd,pd->p", queries[r], part[c])
+            exact[at : at + (1 << 16)] = products(queries[r], part[c])
         stay = exact >= kth[rows]
         rows, exact, found = rows[stay], exact[stay], part_ids[columns[stay]]
         order = np.lexsort((found, -exact, rows))

@@ -239,6 +239,25 @@ def test_template_lines_are_not_paired(spark, monkeypatch):
     assert len(opened) == 2 and sum(opened) < len(rows)
 
 
+def test_topk_of_large_components(spark):
+    """Nothing is left out by size: small, large and mixed vectors against whole-number products."""
+    ship_package(spark)
+    rng = np.random.default_rng(5)
+    vectors = [(i, [float(x) for x in rng.normal(size=16) * 10.0 ** (i % 7)]) for i in range(300)]
+    vectors += [(300, [0.0] * 15 + [70000.0]), (301, [70000.0] + [1.0] * 15), (302, [float("inf")] + [0.0] * 15), (303, [])]
+    frame = spark.createDataFrame(vectors, "id long, x array<double>").select("id", topk.integers("x").alias("v"))
+    whole = {i: [math.floor(1024 * x) for x in v] for i, v in vectors if i not in (302, 303)}
+    got = topk.search(frame.where("id % 50 = 0 or id = 301"), frame, 10, query_block=3, vector_block=90).collect()
+    found = {(r.query_id, r.rank): (r.vec_id, r.score) for r in got}
+    for q in [*range(0, 301, 50), 301]:
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q)
+        assert [found[q, r + 1] for r in range(10)] == [(i, -s) for s, i in scores[:10]]
+    big = np.array([[1 << 40, 1 << 21]])
+    assert topk.products(big, np.array([[1 << 22, -(1 << 41)]])).tolist() == [0]
+    with pytest.raises(OverflowError):
+        topk.products(big, big)
+
+
 def test_words_and_windows():
     texts = ["a bb  a", "", None, " x y z", "tail a"]
     data, offsets = textops.raw(pa.array(texts))
