@@ -261,15 +261,18 @@ def _by_leader(rows: DataFrame, percent: int) -> DataFrame:
     return counted.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
 
 
-def _met(rows: DataFrame, lists: list[str], kind: list[str], allowed: Column, carried: list[str]) -> DataFrame:
+def _met(
+    rows: DataFrame, lists: list[str], kind: list[str], allowed: Column, carried: list[str], facts: dict[str, Column] | None = None
+) -> DataFrame:
     """Pairs (keya, keyb) of different components whose rows share a list, with ``kind`` and ``carried`` of both sides.
 
     Rows of one list and one ``kind`` form a group. Groups are paired under ``allowed``, a condition on the kinds
-    of both sides, and members meet only inside paired groups, on the list and both kinds.
+    and aggregated ``facts`` of both sides, and members meet only inside paired groups, on the list and both kinds.
     """
-    groups = stored(rows.groupBy(*lists, *kind).agg(F.min("comp").alias("low"), F.max("comp").alias("high")))
-    sides = [groups.select(*lists, *[F.col(c).alias(f"{c}{x}") for c in [*kind, "low", "high"]]) for x in "ab"]
-    paired = sides[0].join(sides[1], lists).where("lowa < highb").where(allowed).drop("lowa", "lowb", "higha", "highb")
+    own = {"low": F.min("comp"), "high": F.max("comp"), **(facts or {})}
+    groups = stored(rows.groupBy(*lists, *kind).agg(*[v.alias(c) for c, v in own.items()]))
+    sides = [groups.select(*lists, *[F.col(c).alias(f"{c}{x}") for c in [*kind, *own]]) for x in "ab"]
+    paired = sides[0].join(sides[1], lists).where("lowa < highb").where(allowed).drop(*[f"{c}{x}" for c in own for x in "ab"])
     left, right = [
         rows.select(*lists, *[F.col(c).alias(f"{c}{x}") for c in dict.fromkeys(["key", "comp", *kind, *carried])]) for x in "ab"
     ]
@@ -295,7 +298,14 @@ def _crossing(rows: DataFrame, percent: int) -> DataFrame:
         F.col("atb") <= F.col("nb") - _common(percent)
     )
     head = rest.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100))
-    met = _met(head, ["token"], ["n", "at"], first, ["l", "centre", "o"]).where(open_pair)
+    # Groups around one and the same centre meet only where their largest common parts with it leave a pair open.
+    one = F.when(F.count("centre") == F.count("*"), F.min("centre"))
+    facts = {"one": F.when(one == F.max("centre"), one), "most": F.max("o")}
+    apart = F.coalesce(
+        (F.col("onea") != F.col("oneb"))
+        | ((100 + percent) * F.least("mosta", "mostb") >= percent * (F.col("na") + F.col("nb"))), F.lit(True)
+    )
+    met = _met(head, ["token"], ["n", "at"], first & apart, ["l", "centre", "o"], facts).where(open_pair)
     pairs = stored(
         met.select(
             F.col("keya").alias("a"), F.col("keyb").alias("b"), F.least("la", "lb").alias("least"),
