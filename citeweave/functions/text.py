@@ -7,7 +7,6 @@ Java, Python and RE2 read the same way.
 from __future__ import annotations
 
 import html
-import sys
 
 import pandas as pd
 from pyspark.sql import Column
@@ -52,10 +51,11 @@ SCOPE_MARKERS = [
 GENERIC_FACET_TERMS = ["a", "an", "and", "aircraft", "aircrafts", "system", "systems", "propulsion", "the"]
 # ---------------------------------------------------------------------------
 
-# Derived from the standard library's Unicode tables.
-_LETTERS = [chr(i) for i in range(sys.maxunicode + 1) if not 0xD800 <= i < 0xE000]
+# Derived from the standard library's Unicode tables; no code point beyond plane 1 is a blank or has case.
+_LETTERS = [chr(i) for i in range(0x20000) if not 0xD800 <= i < 0xE000]
 BLANKS = "".join(c for c in _LETTERS if c.isspace())
 BLANK_RUN = f"[{BLANKS}]+"
+ASCII_BLANK_RUN = "[\\x09-\\x0d\\x1c-\\x20]+"
 _FOLDED = {c: c.casefold() for c in _LETTERS if c.casefold() != c}
 FOLD_FROM = "".join(c for c, f in _FOLDED.items() if len(f) == 1)
 FOLD_TO = "".join(f for f in _FOLDED.values() if len(f) == 1)
@@ -71,17 +71,23 @@ def _literal_map(values: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
 
 
+def _is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
 def fold_case(text: Column) -> Column:
     """Unicode case folding: single letters by one translation, the others ("ß" to "ss") letter by letter.
 
-    ASCII texts, nearly all in practice, need neither.
+    ASCII and Latin-1 texts, nearly all in practice, need neither: lower case folds all their letters but two.
     """
+    latin = F.replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit("µ"), F.lit("μ"))
     single = F.translate(text, FOLD_FROM, FOLD_TO)
     expanded = F.array_join(
         F.transform(F.split(single, ""), lambda c: F.coalesce(F.try_element_at(_literal_map(FOLD_LONG), c), c)), ""
     )
     return (
-        F.when(~text.rlike("[^\\x00-\\x7f]"), F.lower(text))
+        F.when(_is_ascii(text), F.lower(text))
+        .when(~text.rlike("[^\\x00-\\xff]"), latin)
         .when(text.rlike(f"[{''.join(FOLD_LONG)}]"), expanded)
         .otherwise(single)
     )
@@ -99,7 +105,8 @@ def collapse(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Words between Unicode blanks, without empties."""
-    return F.filter(F.split(text, BLANK_RUN), lambda w: w != "")
+    parts = F.when(_is_ascii(text), F.split(text, ASCII_BLANK_RUN)).otherwise(F.split(text, BLANK_RUN))
+    return F.filter(parts, lambda w: w != "")
 
 
 def lexical_tokens(text: Column) -> Column:

@@ -87,7 +87,7 @@ def chunk_nested(documents: DataFrame, settings: ChunkSettings = ChunkSettings()
     )
     staged = documents.select(
         F.col("doc_id").alias("document_id"), "source", "text", pages.alias("pages")
-    ).withColumn("words", T.words(F.col("text")))
+    ).withColumn("words", F.flatten("pages.words"))  # a line break is a blank
     staged = staged.withColumn("n", F.size("words").cast("bigint")).withColumn(
         "ends", _running_ends(F.col("pages"))
     )

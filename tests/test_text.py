@@ -101,3 +101,13 @@ def test_hashes_and_rates(spark):
     assert sum(one(spark, metrics.softmax(F.array(F.lit(3.0), F.lit(-2.0))))) == pytest.approx(1.0)
     assert one(spark, metrics.signed_points(F.lit(13.158))) == "+13.16 pp"
     assert one(spark, T.strip_code_fence(F.col("s")), s='```json\n{"a": 1}\n```') == '{"a": 1}'
+
+
+def test_latin_letters_and_blanks_fold_and_split_as_in_the_standard_library(spark):
+    letters = [chr(i) for i in range(1, 0x180)] + ["Straße µ", "ǅ İ ﬁ", "\x1cA\x1fB\x85C　d", "", "  "]
+    got = spark.createDataFrame([(t, f"x{t}y") for t in letters], "t string, u string").select(
+        "t", T.fold_case(F.col("t")).alias("f"), T.words(F.col("t")).alias("w"), T.words(F.col("u")).alias("v")
+    ).collect()
+    for row in got:
+        assert (row.f, row.w, row.v) == (row.t.casefold(), row.t.split(), f"x{row.t}y".split()), repr(row.t)
+    assert not any(chr(i).isspace() or chr(i).casefold() != chr(i) for i in range(0x20000, 0x110000))
