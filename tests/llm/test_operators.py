@@ -166,13 +166,75 @@ def test_block_max_index_equals_full_search():
     rng = np.random.default_rng(2)
     examples = np.where(rng.random((300, 40)) < 0.1, rng.random((300, 40)), 0)
     examples /= np.maximum(np.sqrt((examples**2).sum(axis=1, keepdims=True)), 1e-9)
-    cosines, who = toxicity.BlockMaxIndex(examples, 16).search(examples[:50], 7, own=np.arange(50))
-    full = np.round(examples[:50] @ examples.T, 12)
-    full[np.arange(50), np.arange(50)] = -1
-    for i in range(50):
-        want = sorted(zip(-full[i], range(300), strict=True))[:7]
-        assert [int(w) for w in who[i]] == [j for _, j in want]
-        assert np.allclose(cosines[i], [-s for s, _ in want])
+    filled = [np.flatnonzero(e) for e in examples]
+    vectors = toxicity.Vectors(
+        np.append(0, np.cumsum([len(f) for f in filled])), np.concatenate(filled), examples[examples > 0]
+    )
+    for block, pilots in [(16, 0), (16, 5), (64, 9), (512, 4)]:
+        index = toxicity.BlockMaxIndex(vectors, 40, block, pilots)
+        cosines, who = index.search(vectors.rows(np.arange(50)), 7, own=np.arange(50))
+        full = np.round(examples[:50] @ examples.T, 12)
+        full[np.arange(50), np.arange(50)] = 0
+        for i in range(50):
+            want = sorted((-c, j) for j, c in enumerate(full[i]) if c > 0)[:7]
+            assert [int(w) for w in who[i] if w < 300] == [j for _, j in want]
+            assert np.allclose(cosines[i][: len(want)], [-s for s, _ in want]) and not cosines[i][len(want) :].any()
+
+
+def test_toxic_votes_match_plain_loops(spark):
+    """Terms, frequencies, weights, neighbours and votes against loops; ids are texts, one is null, one is repeated."""
+    ship_package(spark)
+    rng = np.random.default_rng(5)
+    docs = []
+    for i in range(160):
+        said = [f"w{int(w)}" for w in rng.zipf(1.5, 30) if w < 200] + (["Vile", "rot"] if i % 4 == 0 and i % 7 else [])
+        docs.append((f"d{i:03}", " ".join(said) + "!"))
+    docs += [(None, "vile w1"), ("none", None), ("void", ""), ("far", "zzz"), docs[3]]
+    y = {f"d{i:03}": int(i % 4 == 0) for i in range(120)}
+    table = spark.createDataFrame([(k, t, 9) for k, t in docs], "doc_id string, text string, label int").repartition(3)
+    labels = spark.createDataFrame(list(y.items()), "key string, y int")
+    model = toxicity.fit(table, labels, k=5)
+    got = {(r.doc_id, r.text): r for r in toxicity.score(
+        table, model, {"doc_id": F.col("doc_id"), "text": F.col("text")}, evidence=5).collect()}
+
+    counted = {k: {} for k in y}
+    for k, t in docs:
+        if k in y:
+            counted[k] = {w: t.lower().rstrip("!").split(" ").count(w) for w in t.lower().rstrip("!").split(" ")}
+    known = {w for c in counted.values() for w in c}
+    n1 = sum(y.values())
+    n0 = len(y) - n1
+    value = {}
+    for w in known:
+        df = sum(w in (t or "").lower().rstrip("!").split(" ") for _, t in docs)
+        held = sum(w in c for c in counted.values())
+        a = sum(w in c for k, c in counted.items() if y[k])
+        chi = (n1 + n0) * (a * n0 - (held - a) * n1) ** 2 / max(held * (n1 + n0 - held) * n1 * n0, 1)
+        value[w] = (math.log((len(docs) + 1) / (df + 1)) + 1e-6) * (toxicity.FLOOR + chi)
+
+    def vector(counts):
+        v = {w: (1 + math.log(n)) * value[w] for w, n in counts.items() if w in known}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / size for w, x in v.items()}
+
+    examples = {k: vector(c) for k, c in counted.items()}
+    for k, t in docs:
+        split = (t or "").lower().rstrip("!").split(" ")
+        v = vector({w: split.count(w) for w in split})
+        near = sorted((-round(sum(x * e.get(w, 0) for w, x in v.items()), 9), name) for name, e in examples.items())
+        near = [(name, -c) for c, name in near if c < 0][:5]
+        r = got[k, t]
+        assert np.allclose([e.cosine for e in r.evidence], [c for _, c in near], atol=1e-8)
+        assert all(e.label == y[e.example] for e in r.evidence)
+        if not near:
+            assert r.score == pytest.approx(n1 / (n1 + n0))
+            continue
+        trust = [1 / (1.05 - min(c, 1)) for _, c in near]
+        # Equal cosines at the last place may name another example; then its label decides.
+        vote = sum(t_ * e.label for t_, e in zip(trust, r.evidence, strict=True)) / sum(trust)
+        slope, base = model.curve
+        assert r.score == pytest.approx(1 / (1 + math.exp(-(slope * vote + base))), abs=1e-6)
+    assert len(got) == len(docs) - 1 and len({round(r.score, 6) for r in got.values()}) > 5
 
 
 def test_components(spark):
