@@ -10,14 +10,17 @@ Items are compared in pieces of at most ``STRIDE`` words: wherever such a stretc
 document, one passage holds all of it. A candidate (half of the piece's terms present and a cosine of at
 least ``COSINE``, or ``SURE`` of the terms and any cosine) is checked on words, for the whole item: the longest common subsequence of the item and some stretch of at most twice its length, at the passage,
 must reach ``LEAST`` of the item; of items under ``SHORT`` words a stretch of their own length must hold all
-words in order, but one from 8 words on. That of the item's answer (its last sentence, or a given
+words in order, but one from 8 words on, so an item of a few words is found where it stands verbatim. That of the item's answer (its last sentence, or a given
 column) and the surroundings must reach half of the answer. Paraphrases that keep the order of most words pass, passages with the same topic do not.
 
 The benchmark is handled in blocks of about ``BLOCK`` pieces, each with its own passes, so what is sent to
 the tasks has a bound.
 
-Defined results: null and empty texts and items match nothing; an item without any term in the space
-is compared on words wherever half of its words occur; repeated rows give one row per id and item.
+Defined results: null and empty texts and items and items with a null id match nothing; an item without any
+term in the space is compared on words wherever half of its words occur; repeated rows give one row per id and
+item, items that share an id are searched each and the best passage of any stands for the id; documents
+with a null id count as one id. Ids keep their type. Equal passages: most common words, then the larger
+cosine, then the earlier start.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from citeweave.llm.common import array_total
 from citeweave.llm.textops import ranges, raw, row_sums, slices, words
@@ -45,7 +50,6 @@ COSINE = 0.2
 SURE = 0.8
 LEAST = 0.6
 ANSWER = 0.5
-MIN_WORDS = 5
 SHORT = 12
 
 
@@ -258,7 +262,10 @@ def _ask(space: Space, items: list[tuple], least: float) -> Asked:
     )
 
 
-def _retrieve(docs: DataFrame, space: Space, items: list[tuple], least: float, cosine: float) -> DataFrame:
+def _retrieve(
+    docs: DataFrame, space: Space, items: list[tuple], least: float, cosine: float, item_kind: DataType
+) -> DataFrame:
+    item_arrow = to_arrow_type(item_kind)
     shared = docs.sparkSession.sparkContext.broadcast((space, items, _ask(space, items, least)))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,7 +319,7 @@ def _retrieve(docs: DataFrame, space: Space, items: list[tuple], least: float, c
                 columns = list(zip(*out, strict=True))
                 yield pa.record_batch(
                     [
-                        batch.column(0).take(pa.array(columns[0], pa.int64())), pa.array(columns[1], pa.int64()),
+                        batch.column(0).take(pa.array(columns[0], pa.int64())), pa.array(columns[1], item_arrow),
                         pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.float64()),
                         *[pa.array(c, pa.int32()) for c in columns[4:]],
                     ],
@@ -322,7 +329,7 @@ def _retrieve(docs: DataFrame, space: Space, items: list[tuple], least: float, c
     kind = docs.schema["key"].dataType.simpleString()
     return docs.select("key", "text").mapInArrow(
         search,
-        f"key {kind}, item bigint, start int, cosine double, common_words int, item_words int, answer_words int",
+        f"key {kind}, item {item_kind.simpleString()}, start int, cosine double, common_words int, item_words int, answer_words int",
     )
 
 
@@ -332,24 +339,25 @@ def find(
     max_share: float = MAX_SHARE, block: int = BLOCK,
 ) -> DataFrame:
     """(key, item, start, cosine, common_words, item_words, answer_words): the best passage of every
-    document and item that match. Items shorter than ``MIN_WORDS`` words identify nothing and are left out."""
+    document and item that match."""
     named = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     asked = benchmark.select(
-        F.col(item).cast("bigint").alias("i"), F.col(item_text).alias("t"),
+        F.col(item).alias("i"), F.col(item_text).alias("t"),
         (F.col(answer) if answer else F.lit(None).cast("string")).alias("a"),
     ).where("i is not null and t is not null").orderBy("i")
+    item_kind = asked.schema["i"].dataType
     items = []
     parts: list[DataFrame] = []
 
     def close() -> None:
         if items:
             space = _fit(named, [s for _, s, _ in items], rank, max_share)
-            parts.append(_retrieve(named, space, list(items), least, cosine))
+            parts.append(_retrieve(named, space, list(items), least, cosine, item_kind))
             items.clear()
 
     for row in asked.toLocalIterator():
         sequence = hashed(row.t)
-        if len(sequence) >= MIN_WORDS:
+        if len(sequence):
             items.append((row.i, sequence, hashed(row.a if row.a else answer_of(row.t))))
         if sum(-(-len(s) // STRIDE) for _, s, _ in items) >= block:
             close()
@@ -357,7 +365,8 @@ def find(
     if not parts:
         kind = named.schema["key"].dataType.simpleString()
         return docs.sparkSession.createDataFrame(
-            [], f"{key} {kind}, {item} bigint, start int, cosine double, common_words int, item_words int, answer_words int"
+            [], f"{key} {kind}, {item} {item_kind.simpleString()}, start int, cosine double, common_words int, "
+            "item_words int, answer_words int"
         )
     found = parts[0]
     for part in parts[1:]:

@@ -437,6 +437,25 @@ def test_short_items_leave_clean_documents(spark):
     assert {(r.doc_id, r.item_id) for r in got} == want
 
 
+def test_items_of_a_few_words_are_exact_windows(spark):
+    """Items of one to four words are found verbatim only; item and document ids are texts, some null or repeated."""
+    ship_package(spark)
+    docs = [
+        ("one", "so the Zebra ran"), ("two", "a call four word phrase here"), ("strewn", "call it a four or word phrase"),
+        ("turned", "phrase word four call"), ("none", None), ("empty", ""), (None, "call four word phrase"), ("part", "call four word"),
+    ]
+    items = [("z", "zebra"), ("c", "call four word phrase"), ("c", "four word"), ("n", None), (None, "ran"), ("e", " ")]
+    rows = [*docs, docs[0]]
+    got = decontaminate.find(
+        spark.createDataFrame(rows, "doc_id string, text string"), spark.createDataFrame(items, "item_id string, text string"),
+        max_share=1.0,
+    ).collect()
+    assert {(r.doc_id, r.item_id, r.common_words) for r in got} == {
+        ("one", "z", 1), ("two", "c", 4), (None, "c", 4), ("part", "c", 2)
+    }
+    assert len(got) == 4
+
+
 def test_copies_pass_whatever_their_cosine(spark):
     ship_package(spark)
     items = [(n, " ".join(f"w{n}x{i}" for i in range(n))) for n in (8, 12, 50)]
