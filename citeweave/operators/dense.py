@@ -6,8 +6,11 @@ per query and task, never all pairs:
 * ``broadcast``: the query matrix is measured to be small; each corpus partition
   keeps a running top-k while it streams its batches. The corpus is not shuffled.
 * ``grid``: query blocks meet corpus blocks by equi-join key in ``cogroup``;
-  block counts follow the measured sizes, so a cell stays small whatever the
-  number of queries or vectors.
+  a block holds a fixed number of values, whatever the number of queries or
+  vectors, and ``cell_rows`` corpus rows of it are multiplied at a time.
+
+A task holds its vectors as matrices, one product of ``QUERY_BLOCK`` queries with
+``cell_rows`` vectors, and the candidates that can still reach a query's first ``k``.
 """
 
 from __future__ import annotations
@@ -16,16 +19,22 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeweave.operators.scale import fits, top_k
 
 BROADCAST_QUERIES = 20_000
-CELL_ROWS = 50_000
+CELL_ROWS = 4_096
+CORPUS_VALUES, QUERY_VALUES = 4 << 20, 1 << 20  # values of the vectors in a block of the grid
+CELLS_PER_CORE = 3
 QUERY_BLOCK = 256
+BATCH_ROWS = 4_096
+PENDING = 1 << 17  # candidates of a query block before they are cut to k
 SCORE_DIGITS = 8
+MARGIN = 2.0 * 10.0**-SCORE_DIGITS  # scores closer than that may round to the same value
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
@@ -36,77 +45,130 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return matrix / size
 
 
-def _scores(queries: np.ndarray, corpus: np.ndarray) -> np.ndarray:
-    return np.round(np.clip(queries @ corpus.T, -1.0, 1.0), SCORE_DIGITS)
-
-
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Top ``k`` of one query by (score desc, id asc); ties at the cut stay exact."""
-    if len(scores) > k:
-        cut = np.partition(scores, len(scores) - k)[len(scores) - k]
-        keep = np.flatnonzero(scores >= cut)
-        ids, scores = ids[keep], scores[keep]
-    order = np.lexsort((ids, -scores))[:k]
-    return ids[order], scores[order]
-
-
-def _rows(query_ids, best, schema_ids: str) -> pd.DataFrame:
-    parts = [
-        pd.DataFrame({"query_id": query_id, schema_ids: ids, "score": scores})
-        for query_id, (ids, scores) in zip(query_ids, best)
-        if len(ids)
-    ]
-    return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"query_id": [], schema_ids: [], "score": []})
-
-
-def _types(df: DataFrame) -> dict[str, str]:
-    return dict(df.dtypes)
-
-
-def _broadcast_partials(corpus: DataFrame, queries: DataFrame, k: int, exclude_self: bool) -> DataFrame:
-    held = queries.select("query_id", "vector").toPandas()
-    schema = f"query_id {_types(queries)['query_id']}, chunk_id {_types(corpus)['chunk_id']}, score double"
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    """Vectors of one length as a matrix."""
+    if isinstance(vectors, pa.ChunkedArray):
+        vectors = vectors.combine_chunks()
+    sizes = np.unique(pc.list_value_length(vectors).to_numpy(zero_copy_only=False))
+    if len(sizes) > 1:
+        raise ValueError("all vectors must have the same length")
+    values = pc.list_flatten(vectors).to_numpy(zero_copy_only=False)
+    return _unit(values.reshape(len(vectors), -1))
+
+
+def _first(columns: np.ndarray, places: np.ndarray, scores: np.ndarray, k: int):
+    """The first ``k`` entries of each column by (score desc, place asc)."""
+    order = np.lexsort((places, -scores, columns))
+    columns, places, scores = columns[order], places[order], scores[order]
+    kept = np.arange(len(columns)) - np.searchsorted(columns, columns) < k
+    return columns[kept], places[kept], scores[kept]
+
+
+class _Best:
+    """Running top-k of a block of queries over batches of the corpus."""
+
+    def __init__(self, query_ids: pa.Array, matrix: np.ndarray, k: int, exclude_self: bool, tile: int) -> None:
+        self.query_ids, self.matrix, self.k, self.exclude_self, self.tile = query_ids, matrix, k, exclude_self, tile
+        self.columns, self.ids, self.scores = np.array([], np.int64), None, np.array([])
+        self.last = np.full(len(matrix), -np.inf)  # the k-th best score of each full query
+
+    def add(self, ids: pa.Array, unit: np.ndarray) -> None:
+        order = pc.sort_indices(ids, null_placement="at_start").to_numpy()
+        order = order[np.isfinite(unit).all(axis=1)[order]]  # a vector that is not a number is near nothing
+        ids, unit = ids.take(pa.array(order)), unit[order]
+        spans = self._own(ids) if self.exclude_self else None
+        found = [self._block(first, unit, spans) for first in range(0, len(self.matrix), QUERY_BLOCK)]
+        columns, places, scores = (np.concatenate(parts) for parts in zip(*found, strict=True))
+        held = ids.take(pa.array(places))
+        if self.ids is not None:
+            held = pa.concat_arrays([self.ids, held])
+            columns, scores = np.concatenate([self.columns, columns]), np.concatenate([self.scores, scores])
+        place = np.empty(len(held), np.int64)
+        place[pc.sort_indices(held, null_placement="at_start").to_numpy()] = np.arange(len(held))
+        origin = np.argsort(place)
+        self.columns, place, self.scores = _first(columns, place, scores, self.k)
+        self.ids = held.take(pa.array(origin[place]))
+        full = np.flatnonzero(np.bincount(self.columns, minlength=len(self.last)) == self.k)
+        self.last[full] = self.scores[np.searchsorted(self.columns, full, side="right") - 1]
+
+    def _own(self, ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """For every query the run of sorted ``ids`` that equal its own; null equals nothing."""
+        names = pc.unique(ids.drop_null())
+        codes = pc.fill_null(pc.index_in(ids, names), -1).to_numpy()
+        own = pc.fill_null(pc.index_in(self.query_ids.cast(ids.type), names), -2).to_numpy()
+        return np.searchsorted(codes, own), np.searchsorted(codes, own, side="right")
+
+    def _block(self, first: int, unit: np.ndarray, spans):
+        queries = self.matrix[first : first + QUERY_BLOCK]
+        floor = self.last[first : first + QUERY_BLOCK] - MARGIN
+        none = np.array([], np.int64)
+        pending, count = [(none, none, np.array([]))], 0
+        for start in range(0, len(unit), self.tile):
+            scores = queries @ unit[start : start + self.tile].T
+            width = scores.shape[1]
+            if spans is not None:
+                low = np.maximum(spans[0][first : first + QUERY_BLOCK] - start, 0)
+                high = np.minimum(spans[1][first : first + QUERY_BLOCK] - start, width)
+                for row in np.flatnonzero(low < high):
+                    scores[row, low[row] : high[row]] = -np.inf
+            if width > self.k and np.isneginf(floor).any():
+                floor = np.maximum(floor, np.partition(scores, width - self.k, axis=1)[:, width - self.k] - MARGIN)
+            # The strict test drops the query's own vector and scores that are not numbers.
+            column, place = np.nonzero(scores > floor[:, None])
+            values = np.round(np.clip(scores[column, place], -1.0, 1.0), SCORE_DIGITS)
+            pending.append((column, place + start, values))
+            count += len(column)
+            if count > PENDING or start + self.tile >= len(unit):
+                merged = _first(*(np.concatenate(parts) for parts in zip(*pending, strict=True)), self.k)
+                pending, count = [merged], len(merged[0])
+                full = np.flatnonzero(np.bincount(merged[0], minlength=len(floor)) == self.k)
+                floor[full] = np.maximum(floor[full], merged[2][np.searchsorted(merged[0], full, side="right") - 1] - MARGIN)
+        column, place, values = pending[0]
+        return column + first, place, values
+
+    def rows(self, schema: pa.Schema) -> pa.RecordBatch:
+        queries = self.query_ids.take(pa.array(self.columns))
+        return pa.record_batch([queries.cast(schema.types[0]), self.ids.cast(schema.types[1]), pa.array(self.scores)], schema=schema)
+
+
+def _schema(corpus: DataFrame, queries: DataFrame) -> str:
+    return f"query_id {dict(queries.dtypes)['query_id']}, chunk_id {dict(corpus.dtypes)['chunk_id']}, score double"
+
+
+def _flat(column: pa.ChunkedArray) -> pa.Array:
+    return column.combine_chunks()
+
+
+def _broadcast_partials(corpus: DataFrame, queries: DataFrame, k: int, exclude_self: bool, cell_rows: int) -> DataFrame:
+    held = queries.select("query_id", "vector").toArrow()
+    schema = _schema(corpus, queries)
     spark = corpus.sparkSession
-    if held.empty:
+    if held.num_rows == 0:
         return spark.createDataFrame([], schema)
-    shared = spark.sparkContext.broadcast(
-        (held["query_id"].to_numpy(), _unit(np.stack(held["vector"].to_numpy())))
-    )
+    shared = spark.sparkContext.broadcast((_flat(held["query_id"]), _matrix(held["vector"])))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        query_ids, matrix = shared.value
-        best = [(np.array([]), np.array([]))] * len(query_ids)
-        seen = False
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
         for batch in batches:
-            if batch.empty:
-                continue
-            ids = batch["chunk_id"].to_numpy()
-            unit = _unit(np.stack(batch["vector"].to_numpy()))
-            for row in range(len(query_ids)):
-                if row % QUERY_BLOCK == 0:
-                    scores = _scores(matrix[row : row + QUERY_BLOCK], unit)
-                row_ids, row_scores = ids, scores[row % QUERY_BLOCK]
-                if exclude_self:
-                    other = row_ids != query_ids[row]
-                    row_ids, row_scores = row_ids[other], row_scores[other]
-                row_ids, row_scores = _best(row_ids, row_scores, k)
-                if seen:
-                    row_ids = np.concatenate([best[row][0], row_ids])
-                    row_scores = np.concatenate([best[row][1], row_scores])
-                    row_ids, row_scores = _best(row_ids, row_scores, k)
-                best[row] = (row_ids, row_scores)
-            seen = True
-        if seen:
-            yield _rows(query_ids, best, "chunk_id")
-
-    return corpus.select("chunk_id", "vector").mapInPandas(run, schema)
+            for start in range(0, batch.num_rows, BATCH_ROWS):
+                piece = batch.slice(start, BATCH_ROWS)
+                best = best or _Best(*shared.value, k, exclude_self, cell_rows)
+                best.add(piece.column(0), _matrix(piece.column(1)))
+        if best is not None:
+            yield best.rows(pa.schema([("query_id", best.query_ids.type), ("chunk_id", best.ids.type), ("score", pa.float64())]))
+
+    return corpus.select("chunk_id", "vector").mapInArrow(run, schema)
 
 
 def _grid_partials(
     corpus: DataFrame, queries: DataFrame, k: int, exclude_self: bool, cell_rows: int
 ) -> DataFrame:
-    corpus_blocks = max(1, math.ceil(corpus.count() / cell_rows))
-    query_blocks = max(1, math.ceil(queries.count() / cell_rows))
+    n, width = corpus.agg(F.count("*"), F.max(F.size("vector"))).first()
+    m, width = queries.count(), max(1, width or 1)
+    # Enough blocks to bound a cell's values, and enough query blocks to occupy all cores.
+    corpus_blocks = max(1, math.ceil(n * width / CORPUS_VALUES))
+    wanted = math.ceil(CELLS_PER_CORE * corpus.sparkSession.sparkContext.defaultParallelism / corpus_blocks)
+    query_blocks = max(1, math.ceil(m * width / QUERY_VALUES), min(wanted, math.ceil(m / QUERY_BLOCK)))
     left = corpus.select("chunk_id", "vector").select(
         F.pmod(F.xxhash64("chunk_id"), F.lit(corpus_blocks)).cast("bigint").alias("cb"),
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(query_blocks - 1).cast("bigint"))).alias("qb"),
@@ -117,25 +179,16 @@ def _grid_partials(
         F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("bigint").alias("qb"),
         "query_id", "vector",
     )
-    schema = f"query_id {_types(queries)['query_id']}, chunk_id {_types(corpus)['chunk_id']}, score double"
-
-    def cell(corpus_rows: pd.DataFrame, query_rows: pd.DataFrame) -> pd.DataFrame:
-        if corpus_rows.empty or query_rows.empty:
-            return pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
-        ids = corpus_rows["chunk_id"].to_numpy()
-        unit = _unit(np.stack(corpus_rows["vector"].to_numpy()))
-        out = []
-        for start in range(0, len(query_rows), QUERY_BLOCK):
-            block = query_rows.iloc[start : start + QUERY_BLOCK]
-            scores = _scores(_unit(np.stack(block["vector"].to_numpy())), unit)
-            best = []
-            for row, query_id in enumerate(block["query_id"]):
-                keep = ids != query_id if exclude_self else slice(None)
-                best.append(_best(ids[keep], scores[row][keep], k))
-            out.append(_rows(block["query_id"], best, "chunk_id"))
-        return pd.concat(out, ignore_index=True)
-
-    return left.groupBy("cb", "qb").cogroup(right.groupBy("cb", "qb")).applyInPandas(cell, schema)
+
+    def cell(corpus_rows: pa.Table, query_rows: pa.Table) -> pa.Table:
+        kinds = [("query_id", query_rows["query_id"].type), ("chunk_id", corpus_rows["chunk_id"].type), ("score", pa.float64())]
+        if not corpus_rows.num_rows or not query_rows.num_rows:
+            return pa.schema(kinds).empty_table()
+        best = _Best(_flat(query_rows["query_id"]), _matrix(query_rows["vector"]), k, exclude_self, cell_rows)
+        best.add(_flat(corpus_rows["chunk_id"]), _matrix(corpus_rows["vector"]))
+        return pa.Table.from_batches([best.rows(pa.schema(kinds))])
+
+    return left.groupBy("cb", "qb").cogroup(right.groupBy("cb", "qb")).applyInArrow(cell, _schema(corpus, queries))
 
 
 def search(
@@ -152,7 +205,7 @@ def search(
     """
     corpus, queries = corpus.where(_directed()), queries.where(_directed())
     if fits(queries, max_broadcast_queries):
-        partial = _broadcast_partials(corpus, queries, k, exclude_self)
+        partial = _broadcast_partials(corpus, queries, k, exclude_self, cell_rows)
     else:
         partial = _grid_partials(corpus, queries, k, exclude_self, cell_rows)
     return top_k(partial, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
