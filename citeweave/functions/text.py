@@ -55,7 +55,10 @@ GENERIC_FACET_TERMS = ["a", "an", "and", "aircraft", "aircrafts", "system", "sys
 _LETTERS = [chr(i) for i in range(0x20000) if not 0xD800 <= i < 0xE000]
 BLANKS = "".join(c for c in _LETTERS if c.isspace())
 BLANK_RUN = f"[{BLANKS}]+"
-ASCII_BLANK_RUN = "[\\x09-\\x0d\\x1c-\\x20]+"
+# Java tests single letters up to Latin-1 by one table; ranges and later letters cost a comparison each.
+ASCII_WORD = "[^\\x09\\x0a\\x0b\\x0c\\x0d\\x1c\\x1d\\x1e\\x1f\\x20]+"
+LATIN_WORD = f"{ASCII_WORD[:-2]}\\x85\\xa0]+"
+WORD = f"[^{BLANKS}]+"
 _FOLDED = {c: c.casefold() for c in _LETTERS if c.casefold() != c}
 FOLD_FROM = "".join(c for c, f in _FOLDED.items() if len(f) == 1)
 FOLD_TO = "".join(f for f in _FOLDED.values() if len(f) == 1)
@@ -75,6 +78,10 @@ def _is_ascii(text: Column) -> Column:
     return F.octet_length(text) == F.length(text)
 
 
+def _is_latin(text: Column) -> Column:
+    return ~text.rlike("[^\\x00-\\xff]")
+
+
 def fold_case(text: Column) -> Column:
     """Unicode case folding: single letters by one translation, the others ("ß" to "ss") letter by letter.
 
@@ -87,7 +94,7 @@ def fold_case(text: Column) -> Column:
     )
     return (
         F.when(_is_ascii(text), F.lower(text))
-        .when(~text.rlike("[^\\x00-\\xff]"), latin)
+        .when(_is_latin(text), latin)
         .when(text.rlike(f"[{''.join(FOLD_LONG)}]"), expanded)
         .otherwise(single)
     )
@@ -105,8 +112,10 @@ def collapse(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Words between Unicode blanks, without empties."""
-    parts = F.when(_is_ascii(text), F.split(text, ASCII_BLANK_RUN)).otherwise(F.split(text, BLANK_RUN))
-    return F.filter(parts, lambda w: w != "")
+    ascii_words, latin_words, all_words = (
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)) for pattern in (ASCII_WORD, LATIN_WORD, WORD)
+    )
+    return F.when(_is_ascii(text), ascii_words).when(_is_latin(text), latin_words).otherwise(all_words)
 
 
 def lexical_tokens(text: Column) -> Column:
@@ -141,6 +150,11 @@ def stemmed_tokens(text: Column) -> Column:
     return F.transform(simple_tokens(fold_case(text)), stem)
 
 
+def distinct_stems(text: Column) -> Column:
+    """Stems in order of their first token; every distinct token is stemmed once."""
+    return F.array_distinct(F.transform(F.array_distinct(simple_tokens(fold_case(text))), stem))
+
+
 def informative_terms(query: Column) -> Column:
     """Ordered distinct stems without stop words and single letters."""
     stop = _literal_array(STOP_WORDS)

@@ -38,7 +38,7 @@ def cosine(left: Column, right: Column) -> Column:
     return F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value)), 8)
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=50_000)
 def _slot(word: str) -> int:
     return int(hashlib.sha256(word.encode("utf-8")).hexdigest()[:8], 16) % HASH_DIMENSIONS
 
@@ -51,8 +51,9 @@ def hashed_counts(texts: pd.Series) -> np.ndarray:
     """
     out = np.zeros((len(texts), HASH_DIMENSIONS), dtype=np.float32)
     for row, text in enumerate(texts):
-        for word in (text or "").lower().split():
-            out[row, _slot(word)] += 1.0
+        slots = list(map(_slot, (text or "").lower().split()))
+        if slots:
+            out[row] = np.bincount(slots, minlength=HASH_DIMENSIONS)
     return out
 
 

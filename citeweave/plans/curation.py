@@ -28,7 +28,7 @@ def token_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.documents(spark, sf_dir).select(
         "doc_id", F.size(T.lexical_tokens(text)).alias("lexical_tokens"),
         F.size(F.array_distinct(T.lexical_tokens(text))).alias("lexical_terms"),
-        F.size(T.simple_tokens(text)).alias("simple_tokens"), F.size(F.array_distinct(T.stemmed_tokens(text))).alias("stems"),
+        F.size(T.simple_tokens(text)).alias("simple_tokens"), F.size(T.distinct_stems(text)).alias("stems"),
         F.size(T.words(text)).alias("words"),
     )
 

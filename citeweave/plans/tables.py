@@ -54,15 +54,12 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shingles(rows: DataFrame, key: str, text, size: int = 8) -> DataFrame:
     """Digests of all ``size``-word windows of a normalized text."""
-    tokens = F.split(T.normalize_semantic_text(text), " ")
-    windows = F.when(
-        F.size("tokens") >= size,
-        F.transform(
-            F.sequence(F.lit(1), F.size("tokens") - (size - 1)),
-            lambda i: F.xxhash64(F.array_join(F.slice("tokens", i, size), " ")),
-        ),
+    # One match per word that starts a whole window; the outer form keeps Spark from building all windows a second time.
+    window = f"(?=((?:[a-z0-9]++ ){{{size - 1}}}[a-z0-9]++))[a-z0-9]++"
+    windows = F.array_distinct(F.regexp_extract_all(T.normalize_semantic_text(text), F.lit(window), F.lit(1)))
+    return rows.select(key, F.explode_outer(windows).alias("window")).where("window IS NOT NULL").select(
+        key, F.xxhash64("window").alias("shingle")
     )
-    return rows.select(key, tokens.alias("tokens")).select(key, F.explode(F.array_distinct(windows)).alias("shingle"))
 
 
 def qrels(corpus: DataFrame, asked: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from citeweave.functions import text as T
 from citeweave.operators import chunking, dense, facets, fusion, lexical, ranking_metrics
+from citeweave.plans import tables as P
 
 
 def plain_chunks(words, size=300, overlap=60):
@@ -122,6 +123,46 @@ def test_dense_paths_against_numpy(spark):
         assert got == want
 
 
+def test_dense_blocks_follow_the_values_and_not_the_tile(spark):
+    rng = np.random.default_rng(2)
+    vectors = rng.integers(-1, 2, size=(300, 3)).astype(float)
+    vectors[np.abs(vectors).sum(axis=1) == 0] = 1.0
+    # Many equal scores, every id twice.
+    rows = [(i // 2, v.tolist()) for i, v in enumerate(vectors)]
+    corpus = spark.createDataFrame(rows, "chunk_id bigint, vector array<double>").repartition(3)
+    asked = spark.createDataFrame(rows[::2], "query_id bigint, vector array<double>")
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    scores = np.round(np.clip(unit[::2] @ unit.T, -1, 1), 8)
+    ids = np.arange(300) // 2
+    want = set()
+    for q in range(150):
+        other = np.flatnonzero(ids != q)
+        order = other[np.lexsort((ids[other], -scores[q][other]))[:7]]
+        want |= {(q, int(ids[c]), float(scores[q][c]), r + 1) for r, c in enumerate(order)}
+    for options in ({"cell_rows": 16}, {"max_broadcast_queries": 0, "cell_rows": 4}):
+        got = {tuple(r) for r in dense.search(corpus, asked, 7, exclude_self=True, **options).select("query_id", "chunk_id", "score", "rank").collect()}
+        assert got == want
+    # One block holds the whole corpus: k rows per query, whatever the tile.
+    assert dense._grid_partials(corpus, asked, 7, True, 4).count() == 150 * 7
+
+
+def test_vectors_that_are_not_numbers_are_near_nothing(spark):
+    corpus = spark.createDataFrame([(i, [float("nan") if i == 2 else 1.0, float(i)]) for i in range(5)], "chunk_id bigint, vector array<double>")
+    asked = spark.createDataFrame([(9, [1.0, 0.0])], "query_id bigint, vector array<double>")
+    for bound in (10, 0):
+        got = dense.search(corpus, asked, 3, max_broadcast_queries=bound).orderBy("rank").collect()
+        assert [r.chunk_id for r in got] == [0, 1, 3]
+
+
+def test_passage_windows_are_built_once(spark):
+    rows = spark.createDataFrame([("a", "One two, three four five six seven EIGHT nine nine-ten"), ("b", "one two"), ("c", None)], "k string, t string")
+    found = P.shingles(rows, "k", F.col("t"))
+    words = "one two three four five six seven eight nine nine ten".split()
+    want = spark.createDataFrame([(" ".join(words[i : i + 8]),) for i in range(4)], "w string").select(F.xxhash64("w"))
+    assert {tuple(r) for r in found.collect()} == {("a", r[0]) for r in want.collect()}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("{7}") == 1
+
+
 def test_vectors_without_direction_are_rows_of_a_report(spark):
     corpus = spark.createDataFrame([(1, [0.0, 0.0]), (2, [3.0, 4.0]), (3, None)], "chunk_id bigint, vector array<double>")
     asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0])], "query_id bigint, vector array<double>")

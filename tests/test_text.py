@@ -33,6 +33,13 @@ def test_words_match_split(spark):
         assert r.w == r.s.split()
 
 
+def test_distinct_stems_match_all_stems(spark):
+    texts = [*SAMPLES, "Cells cooling cooled CELL cell batteries battery flies fly flying 12 12", "\u00a0caf\u00e9 \u2009x"]
+    rows = spark.createDataFrame([(s,) for s in texts], "s string")
+    for r in rows.select(T.distinct_stems(F.col("s")).alias("got"), T.stemmed_tokens(F.col("s")).alias("all")).collect():
+        assert r.got == list(dict.fromkeys(r["all"]))
+
+
 def test_blanks_and_case_follow_the_standard_library(spark):
     rows = spark.createDataFrame([(s,) for s in SAMPLES], "s string")
     s = F.col("s")
