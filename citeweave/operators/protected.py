@@ -1,8 +1,9 @@
 """Manifests of evidence that training must not touch, and their consistency at any number of manifests.
 
 A manifest lists its documents and chunks and, per query, the evidence retrieved for it. Whether the lists equal
-the union over the queries is decided on set fingerprints: count, sum and exclusive-or of the hashes of distinct
-ids. They combine map-side and do not collect a set; ids are compared one by one only where fingerprints differ.
+the union over the queries is decided id by id in one exchange of both sides, and only what breaks a rule is kept.
+``differing_sets`` tells which sets differ without the ids, by fingerprints: count, sum and exclusive-or of the hashes
+of distinct ids, which combine map-side and do not collect a set.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeweave.operators.integrity import all_of
+from citeweave.session import stored
 
 KEYS = ["manifest_id", "kind"]
 
@@ -71,7 +73,13 @@ def violations(headers: DataFrame, queries: DataFrame, refs: DataFrame, listed:
         ]
 
     asked = queries.groupBy("manifest_id", "query_id").agg(F.count("*").alias("n"))
-    held = listed.groupBy(*KEYS, "id").agg(F.count("*").alias("n"))
+    # Both sides of every id in one exchange; what is in order leaves no row.
+    sides = refs.select(*KEYS, "id", F.lit(True).alias("used"), F.lit(0).alias("n")).unionByName(
+        listed.select(*KEYS, "id", F.lit(False).alias("used"), F.lit(1).alias("n"))
+    ).groupBy(*KEYS, "id").agg(F.max("used").alias("used"), F.sum("n").alias("n"))
+    is_listed = F.col("n") > 0
+    not_positive = is_listed & (F.col("kind") == "document") & F.coalesce(F.expr("try_cast(id AS bigint)") < 1, F.lit(True))
+    found = stored(sides.where((F.col("n") > 1) | not_positive | (F.col("used") != is_listed) | F.col("id").isNull()))
     evidence = refs.where("kind = 'chunk'").groupBy("manifest_id", "query_id").agg(F.count("*").alias("n"))
     sizes = (
         asked.select("manifest_id", "query_id").join(evidence, ["manifest_id", "query_id"], "left")
@@ -81,9 +89,8 @@ def violations(headers: DataFrame, queries: DataFrame, refs: DataFrame, listed:
     counted = (
         headers.join(asked.groupBy("manifest_id").agg(F.sum("n").alias("queries")), "manifest_id", "left")
         .join(
-            held.groupBy("manifest_id").agg(
-                F.sum(F.when(F.col("kind") == "document", F.col("n"))).alias("documents"),
-                F.sum(F.when(F.col("kind") == "chunk", F.col("n"))).alias("chunks"),
+            listed.groupBy("manifest_id").agg(
+                F.count_if(F.col("kind") == "document").alias("documents"), F.count_if(F.col("kind") == "chunk").alias("chunks"),
             ), "manifest_id", "left",
         )
     )
@@ -95,17 +102,16 @@ def violations(headers: DataFrame, queries: DataFrame, refs: DataFrame, listed:
         )
     ])
     totals = counted.select("manifest_id", F.explode(pairs).alias("t")).where(~F.col("t.stated").eqNullSafe(F.col("t.found")))
-    used = refs.select(*KEYS, "id").distinct()
-    once = held.select(*KEYS, "id")
-    open_sets = differing_sets(used, once)
-    some_used, some_listed = (side.join(open_sets, KEYS, "left_semi") for side in (used, once))
-    not_positive = (F.col("kind") == "document") & F.coalesce(F.expr("try_cast(id AS bigint)") < 1, F.lit(True))
+    # An id without a value equals none; it counts where the sets differ otherwise.
+    differs = F.col("used") != is_listed
+    open_sets = found.where(differs).select(*KEYS).distinct()
+    astray = found.where(differs | F.col("id").isNull()).join(open_sets, KEYS, "left_semi")
     return all_of(
         asked.where("n > 1").select(*row("duplicate_query", F.col("query_id"), F.col("n"))),
         totals.select(*row(F.col("t.name"), F.col("manifest_id"), F.concat_ws(" found ", F.col("t.stated"), F.col("t.found")))),
-        held.where("n > 1").select(*row(F.concat(F.lit("duplicate_"), "kind"), F.col("id"), F.col("n"))),
-        held.where(not_positive).select(*row("document_not_positive", F.col("id"), F.lit(""))),
+        found.where("n > 1").select(*row(F.concat(F.lit("duplicate_"), "kind"), F.col("id"), F.col("n"))),
+        found.where(not_positive).select(*row("document_not_positive", F.col("id"), F.lit(""))),
         sizes.select(*row("evidence_size", F.col("query_id"), F.coalesce("n", F.lit(0)))),
-        some_used.join(some_listed, [*KEYS, "id"], "left_anti").select(*row(F.concat(F.lit("unknown_"), "kind"), F.col("id"), F.lit(""))),
-        some_listed.join(some_used, [*KEYS, "id"], "left_anti").select(*row(F.concat(F.lit("unused_"), "kind"), F.col("id"), F.lit(""))),
+        astray.where(F.col("used") & (~is_listed | F.col("id").isNull())).select(*row(F.concat(F.lit("unknown_"), "kind"), F.col("id"), F.lit(""))),
+        astray.where(is_listed & (~F.col("used") | F.col("id").isNull())).select(*row(F.concat(F.lit("unused_"), "kind"), F.col("id"), F.lit(""))),
     )

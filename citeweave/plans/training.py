@@ -13,7 +13,7 @@ from citeweave.plans import sql as S
 from citeweave.plans import tables as P
 from citeweave.plans.registry import query
 from citeweave.plans.retrieval import DENSE_TOP, embedding_sides
-from citeweave.session import stored
+from citeweave.session import stored, stored_table
 
 # --- examples ----------------------------------------------------------------
 
@@ -243,11 +243,14 @@ def protected_manifest_violations(spark: SparkSession, sf_dir: str) -> DataFrame
         F.struct(F.lit("chunk").alias("kind"), F.col("l_partkey").cast("string").alias("id")),
         F.struct(F.lit("document").alias("kind"), F.col("l_suppkey").cast("string").alias("id")),
     )
-    held = orders.join(lines, "o_orderkey").select(
+    struck = (F.col("manifest_id") % 3 == 0) & (F.col("l_discount") == 0.1)
+    refs = orders.join(lines, "o_orderkey").select(
         F.col("o_custkey").alias("manifest_id"), merged.alias("query_id"), "l_discount", F.explode(pairs).alias("p")
-    ).select("manifest_id", "query_id", "p.kind", "p.id", "l_discount")
+    ).select("manifest_id", "query_id", "p.kind", "p.id", (~struck).alias("listed"))
+    # Written once: the references and the lists are read by several rules.
+    refs = stored_table(refs.groupBy("manifest_id", "query_id", "kind", "id").agg(F.max("listed").alias("listed")))
     key = F.col("c_custkey")
-    listed = held.where(~((F.col("manifest_id") % 3 == 0) & (F.col("l_discount") == 0.1))).select("manifest_id", "kind", "id").distinct()
+    listed = stored_table(refs.where("listed").select("manifest_id", "kind", "id").distinct())
     listed = listed.unionByName(customers.where(key % 7 == 0).select(key.alias("manifest_id"), F.lit("chunk").alias("kind"), F.lit("0").alias("id")))
     listed = listed.unionByName(customers.where(key % 11 == 0).select(
         key.alias("manifest_id"), F.lit("document").alias("kind"), F.col("c_nationkey").cast("string").alias("id")
@@ -260,4 +263,4 @@ def protected_manifest_violations(spark: SparkSession, sf_dir: str) -> DataFrame
         "manifest_id", (2 + number % 3).alias("evidence_top_k"), (F.coalesce("q", F.lit(0)) + (number % 17 == 0).cast("int")).alias("query_count"),
         F.coalesce("d", F.lit(0)).alias("document_count"), (F.coalesce("c", F.lit(0)) + (number % 19 == 0).cast("int")).alias("chunk_count"),
     )
-    return protected.violations(heads, asked, held.select("manifest_id", "query_id", "kind", "id").distinct(), listed)
+    return protected.violations(heads, asked, refs.drop("listed"), listed)

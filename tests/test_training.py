@@ -150,3 +150,25 @@ def test_split_by_document_order(spark):
     got = split.split(members, 0.3, 3, split.document_order(links, members, 3))
     assert {r.component for r in got.where("side = 'dev'").collect()} == {f"k{c}" for c in order[: best[1]]}
     assert got.count() == len(rows)
+
+
+def test_manifest_rules_read_the_references_twice_at_most(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(value):
+        read.add(1)
+        return value
+
+    rows = [(1, q, kind, i) for q in (1, 2) for kind, i in (("chunk", "5"), ("chunk", None), ("document", f"{q}"))]
+    refs = spark.createDataFrame(rows, "manifest_id int, query_id int, kind string, id string").withColumn("id", seen("id"))
+    listed = spark.createDataFrame(
+        [(1, "chunk", "5"), (1, "chunk", None), (1, "chunk", "6"), (1, "chunk", "6"), (1, "document", "1"), (1, "document", "2")],
+        "manifest_id int, kind string, id string",
+    )
+    headers = spark.createDataFrame([(1, 2, 2, 4, 2)], "manifest_id int, query_count int, document_count int, chunk_count int, evidence_top_k int")
+    queries = spark.createDataFrame([(1, 1), (1, 2)], "manifest_id int, query_id int")
+    got = {(r.check_name, r.row_key) for r in protected.violations(headers, queries, refs, listed).collect()}
+    # A missing id equals none, so it is both unknown and unused where the sets differ otherwise.
+    assert got == {("duplicate_chunk", "6"), ("unused_chunk", "6"), ("unused_chunk", None), ("unknown_chunk", None)}
+    assert read.value <= 2 * len(rows)
