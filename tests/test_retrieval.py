@@ -90,6 +90,27 @@ def test_bm25_against_a_loop(spark, bound):
         lexical.search(index, asked, 0)
 
 
+@pytest.mark.parametrize("bound", [100_000, 600])
+def test_bm25_of_many_questions_without_a_row_per_question_and_chunk(spark, bound, monkeypatch):
+    def joined(*_):
+        raise AssertionError("a row per question and chunk")
+
+    monkeypatch.setattr(lexical, "score", joined)
+    rng = random.Random(6)
+    vocabulary = ["the"] * 10 + [f"t{i}" for i in range(40)]
+    chunks = [(f"c{i:02d}", " ".join(rng.choices(vocabulary, k=rng.randrange(0, 25)))) for i in range(50)]
+    queries = [(i, " ".join(rng.choices(vocabulary, k=rng.randrange(0, 6)))) for i in range(1_100)]
+    index = lexical.build_index(spark.createDataFrame(chunks, "chunk_id string, text string"))
+    asked = spark.createDataFrame(queries, "query_id bigint, query string")
+    got = {}
+    for r in lexical.search(index, asked, 4, max_query_terms=bound).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.chunk_id, r.score))
+    for query_id, query in queries:
+        mine, want = sorted(got.get(query_id, [])), plain_bm25(chunks, query, 4)
+        assert [c for _, c, _ in mine] == [c for c, _ in want]
+        assert [s for _, _, s in mine] == pytest.approx([s for _, s in want], abs=2e-8)
+
+
 def test_bm25_scores_without_shuffling_the_postings(spark):
     chunks = spark.range(500).select(F.concat(F.lit("c"), "id").alias("chunk_id"), F.concat(F.lit("a b c"), "id").alias("text"))
     asked = spark.createDataFrame([("q", "a b")], "query_id string, query string")
