@@ -8,10 +8,12 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 HASH_DIMENSIONS = 64
+BLOCK_ROWS = 256
 
 Encoder = Callable[[pd.Series], np.ndarray]
 
@@ -58,11 +60,19 @@ def hashed_counts(texts: pd.Series) -> np.ndarray:
 
 
 def encode(text: Column, encoder: Encoder = hashed_counts) -> Column:
-    """Embed a text column with any batch encoder (Arrow batches)."""
+    """Embed a text column with any batch encoder, ``BLOCK_ROWS`` texts at a time.
 
-    @F.pandas_udf("array<float>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    Only a block's texts are Python strings at once, however many rows Spark puts into an Arrow batch.
+    """
+    kind = pa.list_(pa.float32())
+
+    @F.arrow_udf("array<float>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pd.Series(list(encoder(batch)))
+            blocks = [pa.array([], kind)]
+            for start in range(0, len(batch), BLOCK_ROWS):
+                texts = pd.Series(batch.slice(start, BLOCK_ROWS).to_pylist(), dtype=object)
+                blocks.append(pa.array(list(encoder(texts)), kind))
+            yield pa.concat_arrays(blocks)
 
     return run(text)

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from citeweave.functions import text as T
+from citeweave.functions import vectors as V
 from citeweave.operators import chunking, dense, facets, fusion, lexical, ranking_metrics
 from citeweave.plans import tables as P
 
@@ -270,3 +271,19 @@ def test_pool_is_blinded_and_complete(spark):
     want = sorted(["c0", "c1", "c2", "c5"], key=lambda c: hashlib.sha256(f"42:q:{c}".encode()).hexdigest())
     assert [r.chunk_id for r in pool] == want and pool[0].candidate_id == "q:c001"
     assert {r.chunk_id: r.retrieved_by for r in pool}["c0"] == ["bm25", "v0.1-qrels"]
+
+
+def test_an_encoder_gets_few_texts_at_a_time_and_every_one(spark):
+    rows = spark.range(1000, numPartitions=1).select(
+        "id", F.when(F.col("id") % 7 != 0, F.concat(F.lit("word "), F.col("id").cast("string"))).alias("text")
+    )
+
+    def sizes(texts):
+        return np.array([[len(texts), -1.0 if t is None else float(t.split()[1])] for t in texts])
+
+    found = rows.select("id", V.encode(F.col("text"), sizes).alias("vector")).collect()
+    assert max(r.vector[0] for r in found) <= V.BLOCK_ROWS
+    assert [r.vector[1] for r in sorted(found)] == [-1.0 if i % 7 == 0 else float(i) for i in range(1000)]
+    plain = rows.select("id", V.encode(F.col("text")).alias("vector")).orderBy("id").toPandas()
+    assert (np.array(plain["vector"].tolist()) == V.hashed_counts(rows.orderBy("id").toPandas()["text"])).all()
+    assert rows.where("id < 0").select(V.encode(F.col("text")).alias("vector")).collect() == []
