@@ -289,3 +289,11 @@ def test_shares_do_not_overflow(spark):
     assert divergence.share(count, total).tolist() == want
     table = spark.createDataFrame(pairs, "c long, t long").coalesce(1)
     assert [r[0] for r in table.select(divergence.share_column(F.col("c"), F.col("t"))).collect()] == want
+
+
+def test_minhash_plans_no_groups_where_every_list_is_short(spark):
+    rows = spark.createDataFrame([(l, k, 10, k) for l in (1, 2) for k in range(3 * l)], "list bigint, key bigint, n int, weight bigint")
+    short, stars = minhash._stars(rows, 6)
+    assert short.count() == 9 and stars is None
+    short, stars = minhash._stars(rows, 3)
+    assert short.count() == 3 and sorted(r.key for r in stars.collect()) == [0, 1, 2, 3, 4]
