@@ -297,3 +297,16 @@ def test_minhash_plans_no_groups_where_every_list_is_short(spark):
     assert short.count() == 9 and stars is None
     short, stars = minhash._stars(rows, 3)
     assert short.count() == 3 and sorted(r.key for r in stars.collect()) == [0, 1, 2, 3, 4]
+
+
+def test_minhash_rounds_store_little(spark, monkeypatch):
+    """Each step that is stored adds jobs and shuffles, of which the driver and the disk keep records."""
+    monkeypatch.setattr(minhash, "FEW", 6)
+    compared, steps = [], []
+    compare, stored = minhash._compare, minhash.stored
+    monkeypatch.setattr(minhash, "_compare", lambda *a: compared.append(1) or compare(*a))
+    monkeypatch.setattr(minhash, "stored", lambda df: steps.append(1) or stored(df))
+    rows = edited_copies(6)
+    got = minhash.groups(documents(spark, [(i, t, "en", "s") for i, t in rows]))
+    assert len(compared) == 2 and len(steps) <= 20
+    assert sorted(tuple(r) for r in got.collect()) == plain_groups(rows)
