@@ -310,3 +310,12 @@ def test_minhash_rounds_store_little(spark, monkeypatch):
     got = minhash.groups(documents(spark, [(i, t, "en", "s") for i, t in rows]))
     assert len(compared) == 2 and len(steps) <= 20
     assert sorted(tuple(r) for r in got.collect()) == plain_groups(rows)
+
+
+def test_minhash_stores_no_lists_of_one_member(spark, monkeypatch):
+    kept, stored = [], minhash.stored
+    monkeypatch.setattr(minhash, "stored", lambda df: kept.append(stored(df)) or kept[-1])
+    rows = [(k, k, 10, k) for k in range(50)] + [(7, 70, 10, 1), (7, 71, 10, 2)]
+    short, stars = minhash._stars(spark.createDataFrame(rows, "list bigint, key bigint, n int, weight bigint"), 6)
+    assert sorted(r.key for r in short.collect()) == [7, 70, 71] and stars is None
+    assert [df.count() for df in kept] == [1]
