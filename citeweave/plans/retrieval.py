@@ -9,7 +9,7 @@ from citeweave.operators import chunking, dense, facets, fusion, lexical, pairs,
 from citeweave.plans import sql as S
 from citeweave.plans import tables as P
 from citeweave.plans.registry import query
-from citeweave.session import ensure_checkpoint_dir
+from citeweave.session import ensure_checkpoint_dir, stored
 
 _RANKED = ["query_id", "chunk_id", "score", "rank"]
 
@@ -101,10 +101,10 @@ def dense_chunks_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT vec_id AS query_id, true AS exact_order, 0.0::DOUBLE AS max_score_delta, 1.0::DOUBLE AS overlap_at_k FROM embeddings",
 )
 def backend_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both dense paths must give the same ranking for every query vector."""
+    """Both dense paths must give the same ranking for every query vector, whatever the size of the table."""
     corpus, asked = embedding_sides(spark, sf_dir)
-    left = dense.search(corpus, asked, 10)
-    right = dense.search(corpus, asked, 10, max_broadcast_queries=0, cell_rows=256)
+    left = dense.streamed(corpus, asked, 10)
+    right = stored(dense.gridded(corpus, asked, 10, cell_rows=256))
     return fusion.rank_agreement(left, right, 10)
 
 

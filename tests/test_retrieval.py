@@ -323,3 +323,16 @@ def test_streamed_queries_in_batches_against_numpy(spark):
 def test_copies_beyond_the_first_are_not_multiplied():
     unit = dense._unit(np.repeat(np.array([[1.0, 2.0], [2.0, 1.0], [0.0, 1.0]]), [5, 1, 3], axis=0))
     assert np.flatnonzero(dense._needed(unit, 2)).tolist() == [0, 1, 5, 6, 7]
+
+
+def test_backend_equivalence_compares_two_paths_at_any_size(spark, tmp_path, monkeypatch):
+    from citeweave.plans import retrieval
+
+    vectors = np.random.default_rng(5).normal(size=(40, 3)).tolist()
+    spark.createDataFrame(list(enumerate(vectors)), "vec_id bigint, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert {tuple(r)[1:] for r in retrieval.backend_equivalence(spark, str(tmp_path)).collect()} == {(True, 0.0, 1.0)}
+    grid = dense._grid_partials
+    monkeypatch.setattr(dense, "fits", lambda *_, **__: False)  # as with a large table
+    monkeypatch.setattr(dense, "_grid_partials", lambda *args: grid(*args).withColumn("score", F.round(F.col("score") - 0.5, 8)))
+    got = retrieval.backend_equivalence(spark, str(tmp_path)).collect()
+    assert len(got) == 40 and {r.max_score_delta for r in got} == {0.5}
