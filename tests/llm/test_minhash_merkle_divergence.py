@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from citeweave.llm import divergence, merkle, minhash
+from citeweave.llm import divergence, graph, merkle, minhash
 from citeweave.llm.textops import shingles, slices
 from citeweave.session import ship_package
 
@@ -319,3 +319,24 @@ def test_minhash_stores_no_lists_of_one_member(spark, monkeypatch):
     short, stars = minhash._stars(spark.createDataFrame(rows, "list bigint, key bigint, n int, weight bigint"), 6)
     assert sorted(r.key for r in short.collect()) == [7, 70, 71] and stars is None
     assert [df.count() for df in kept] == [1]
+
+
+def test_no_side_of_a_join_goes_through_the_driver(spark, monkeypatch):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    base = [" ".join(rng.choice(words) for _ in range(40)) for _ in range(6)]
+    rows = [(i, " ".join(w if rng.random() > 0.02 else rng.choice(words) for w in base[i % 6].split())) for i in range(90)]
+    plans, store = [], minhash.stored
+
+    def stored(df):
+        out = store(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(minhash, "stored", stored)
+    monkeypatch.setattr(graph, "stored", stored)
+    found = minhash.groups(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3))
+    assert found.count() == 90
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert any("SortMergeJoin" in plan for plan in plans)
+    assert not any("BroadcastExchange" in plan for plan in plans)
