@@ -336,3 +336,37 @@ def test_backend_equivalence_compares_two_paths_at_any_size(spark, tmp_path, mon
     monkeypatch.setattr(dense, "_grid_partials", lambda *args: grid(*args).withColumn("score", F.round(F.col("score") - 0.5, 8)))
     got = retrieval.backend_equivalence(spark, str(tmp_path)).collect()
     assert len(got) == 40 and {r.max_score_delta for r in got} == {0.5}
+
+
+@pytest.mark.parametrize("common", [0.0, 0.05, 2.0])
+def test_bm25_blocks_by_product_and_one_by_one(common, monkeypatch):
+    """(question, chunk) scores of a block are the same, whatever share of the terms is multiplied as a matrix."""
+    monkeypatch.setattr(lexical, "COMMON", common)
+    monkeypatch.setattr(lexical, "COMMON_TERMS", 11)
+    monkeypatch.setattr(lexical, "SPREAD", 50)
+    rng = np.random.default_rng(9)
+    share = 1 / np.arange(1, 41)
+    weight = rng.random((30, 40)) * (rng.random((30, 40)) < share)
+    idf = rng.random((40, 20)) * (rng.random((40, 20)) < share[:, None])
+    idf[np.arange(40), rng.integers(0, 20, 40)] = 1.0  # every term of a block is asked for
+    row, at = np.nonzero(weight)
+    place, column = np.nonzero(idf)
+    got = lexical._added_up(row, at, weight[row, at], place, column, idf[place, column], (20, 30))
+    assert got == pytest.approx((weight @ idf).T)
+
+
+def test_bm25_leaders_over_blocks_of_chunks():
+    rng = np.random.default_rng(10)
+    scores = np.round(rng.random((8, 60)) * (rng.random((8, 60)) < 0.2), 1)  # many ties and questions with few chunks
+    scores[0] = 0
+    ids = np.array([f"c{i:02d}" for i in rng.permutation(60)])
+    best = lexical._Leaders(8, 4)
+    for start in (0, 3, 20, 40, 59):
+        end = {0: 3, 3: 20, 20: 40, 40: 59, 59: 60}[start]
+        best.add(ids[start:end], scores[:, start:end])
+    got = {(int(q), str(c), float(s)) for q, c, s in zip(best.columns, best.ids, best.scores, strict=True)}
+    want = {
+        (q, str(ids[c]), float(scores[q, c]))
+        for q in range(8) for c in [c for c in np.lexsort((ids, -scores[q])) if scores[q, c] > 0][:4]
+    }
+    assert got == want
